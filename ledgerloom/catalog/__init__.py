@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["ingest", "enrichment"]
+_MODULES = ["ingest", "enrichment", "marts", "categorize"]
 
 
 def _load():

@@ -25,7 +25,9 @@ def with_ctes(needs, sql):
     for name in needs:
         visit(name)
     head = ",\n".join(f"{n} AS (\n{CTES[n][1].strip()}\n)" for n in order)
-    return f"WITH {head}\n{sql.strip()}" if order else sql.strip()
+    body = sql.strip()
+    glue = "" if body.startswith(",") else "\n"
+    return f"WITH {head}{glue}{body}" if order else body
 
 
 def query(name, needs=(), sql=None):

@@ -11,11 +11,17 @@ from ledgerloom.functions import text
 
 def literal(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A constant table as a local relation, so its exact size is known to the optimizer."""
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    types = [c.strip().split(" ")[1] for c in schema.split(",")]
-    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for n, t, v in zip(names, types, row)])
-               for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    fields = [c.strip().split(" ") for c in schema.split(",")]
+
+    def cell(v):
+        if v is None:
+            return "NULL"
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+
+    body = ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
+    names = ", ".join(n for n, _ in fields)
+    casts = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in fields)
+    return spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({names})")
 
 
 def category_menu(spark) -> DataFrame:

@@ -232,3 +232,15 @@ def frontier_assign(df: DataFrame, frontier: DataFrame, path="category_path") ->
     chosen = (paths.select(path, F.explode(prefixes).alias("node"))
               .join(frontier.select("node"), "node").select(path, F.col("node").alias("bucket")))
     return df.join(chosen, path, "left")
+
+
+def date_anchor(df: DataFrame, date_to: str | None = None):
+    """The day trailing windows count back from: the upper bound, else the last date."""
+    if date_to:
+        return F.to_date(F.lit(date_to[:10]))
+    return df.select(F.max("day")).scalar()
+
+
+def trailing_window_rows(df: DataFrame, days: int, date_to: str | None = None) -> DataFrame:
+    """Rows dated at most `days` before the anchor; the anchor is a scalar subquery."""
+    return df.filter(F.col("day") >= F.date_sub(date_anchor(df, date_to), days))

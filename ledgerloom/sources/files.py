@@ -108,3 +108,15 @@ def parse_ledger(raw: DataFrame) -> DataFrame:
                      text.money("Debit Less Credit").alias("spend"))
     return out.filter(F.col("month").isNotNull() & F.col("spend").isNotNull()
                       & (F.col("spend") != 0))
+
+
+def ledger_sums(ledger: DataFrame, persons=None, date_from=None, date_to=None) -> DataFrame:
+    """Net spend per category and month; person and month bounds are the filters it can honor."""
+    df = ledger
+    if persons:
+        df = df.filter(F.col("person").isin(*persons))
+    if date_from:
+        df = df.filter(F.col("month") >= date_from[:7])
+    if date_to:
+        df = df.filter(F.col("month") <= date_to[:7])
+    return df.groupBy("category", "month").agg(F.sum("spend").alias("spend"))

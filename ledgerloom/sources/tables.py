@@ -43,43 +43,119 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slot(index, part: int):
-    """Category text of a slot number, as a literal array lookup."""
-    values = F.array(*[F.lit(pair[part]).cast("string") for pair in SLOTS])
-    return F.get(values, index.cast("int"))
-
-
-def letters(number):
-    return F.translate(number.cast("string"), "0123456789", "abcdefghij")
-
-
-def merchant_label(key):
-    """Merchant text of a supplier: well-known names on some, invented ones on the rest."""
-    k = key % 12
-    return (F.when(k == 0, "Uber Eats").when(k == 1, "UBER")
-            .when(k == 2, F.concat(F.lit("STARBUCKS #"), key.cast("string")))
-            .when(k == 3, "DoorDash")
-            .when(k == 4, F.concat(F.lit("Shell Oil "), key.cast("string")))
-            .when(k == 5, "Netflix.com")
-            .when(k == 6, F.concat(F.lit("Acme "), letters(key), F.lit(" LLC")))
-            .otherwise(F.concat(F.lit("Store "), letters(key))))
-
-
-def merchant_name(key):
-    return F.when(key % 7 == 0, F.lit(None).cast("string")).otherwise(merchant_label(key))
-
-
-def entity_id(key):
-    return F.when(key % 5 == 0, F.lit(None).cast("string")).otherwise(
-        F.concat(F.lit("ent_"), key.cast("string")))
-
-
-def day(ts):
-    return F.col(ts).cast("date").cast("string")
-
-
-def null(dtype="string"):
-    return F.lit(None).cast(dtype)
+def sql_text(value):
+    return "CAST(NULL AS STRING)" if value is None else "'" + value.replace("'", "\\'") + "'"
+
+
+def slot(index: str, part: int) -> str:
+    """SQL text: category text of a slot number, as a literal array lookup."""
+    return f"get(array({', '.join(sql_text(p[part]) for p in SLOTS)}), CAST({index} AS INT))"
+
+
+def slot_pair(index: str, primary="primary", detailed="detailed"):
+    return [F.expr(slot(index, 0)).alias(primary), F.expr(slot(index, 1)).alias(detailed)]
+
+
+def letters(number: str) -> str:
+    return f"translate(string({number}), '0123456789', 'abcdefghij')"
+
+
+def merchant_label(key: str) -> str:
+    """SQL text: merchant of a supplier, well-known names on some, invented ones on the rest."""
+    return f"""CASE {key} % 12 WHEN 0 THEN 'Uber Eats' WHEN 1 THEN 'UBER'
+      WHEN 2 THEN concat('STARBUCKS #', {key}) WHEN 3 THEN 'DoorDash'
+      WHEN 4 THEN concat('Shell Oil ', {key}) WHEN 5 THEN 'Netflix.com'
+      WHEN 6 THEN concat('Acme ', {letters(key)}, ' LLC') ELSE concat('Store ', {letters(key)}) END"""
+
+
+def merchant_name(key: str) -> str:
+    return f"CASE WHEN {key} % 7 <> 0 THEN {merchant_label(key)} END"
+
+
+def entity_id(key: str) -> str:
+    return f"CASE WHEN {key} % 5 <> 0 THEN concat('ent_', {key}) END"
+
+
+def day(ts: str) -> str:
+    return f"string(date({ts}))"
+
+
+_INDEX = (f"(CASE WHEN l_suppkey % 6 = 1 THEN l_suppkey % {len(SLOTS)} "
+          f"ELSE (l_partkey * 7 + l_linenumber) % {len(SLOTS)} END)")
+_NAME = """concat(CASE p_size % 10 WHEN 0 THEN 'TST* ' WHEN 1 THEN 'COT*FLT ' WHEN 2 THEN 'COT*HTL '
+  ELSE '' END, upper(p_name), ' #', l_orderkey)"""
+
+LINE = {
+    "transaction_id": "concat(l_orderkey, '-', l_linenumber)",
+    "account_id": "concat('acct_', o_custkey)",
+    "txn_owner": "CASE WHEN o_custkey % 10 <> 0 THEN concat('owner_', o_custkey % 4) END",
+    "pending": "l_linestatus = 'O' AND l_linenumber = 1",
+    "pending_transaction_id": "CASE WHEN l_linenumber = 2 THEN concat(l_orderkey, '-1') END",
+    "date": day("l_shipdate"),
+    "authorized_date": f"""CASE WHEN o_orderstatus = 'P' THEN NULL WHEN l_orderkey % 17 = 0 THEN ''
+        WHEN l_orderkey % 997 = 1 THEN 'not a date' ELSE {day('o_orderdate')} END""",
+    "name": _NAME,
+    "original_description": f"""CASE WHEN l_linenumber <> 3 THEN
+        concat({_NAME}, ' CARD XXXX', l_partkey % 100) END""",
+    "merchant_name": merchant_name("l_suppkey"),
+    "merchant_entity_id": entity_id("l_suppkey"),
+    "website": """CASE l_suppkey % 12 WHEN 1 THEN 'uber.com' WHEN 3 THEN 'www.DoorDash.com'
+        WHEN 5 THEN 'netflix.com' WHEN 7 THEN 'amazon.com' WHEN 8 THEN '' END""",
+    "logo_url": "CASE WHEN l_suppkey % 4 = 0 THEN concat('https://logo.test/', l_suppkey) END",
+    "amount": """CASE WHEN l_returnflag = 'R' THEN -CAST(l_extendedprice AS DECIMAL(18,2))
+        ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END""",
+    "iso_currency_code": """CASE WHEN n_nationkey % 3 = 0 THEN NULL
+        WHEN r_name = 'AMERICA' THEN 'USD' ELSE 'eur' END""",
+    "unofficial_currency_code": "CASE WHEN n_nationkey % 3 = 0 THEN 'usd' END",
+    "payment_channel": """CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'in store'
+        WHEN o_orderpriority = '3-MEDIUM' THEN 'online'
+        WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'other' END""",
+    "transaction_type": "'place'",
+    "personal_finance_category": f"""named_struct('primary', {slot(_INDEX, 0)},
+        'detailed', {slot(_INDEX, 1)}, 'confidence_level',
+        get(array('LOW', 'MEDIUM', 'HIGH', 'VERY_HIGH', NULL, 'low'), int(l_partkey % 6)),
+        'version', 'v2')""",
+    "location": """named_struct('address', NULL, 'city',
+        CASE WHEN o_custkey % 9 <> 0 THEN concat('City_', o_custkey % 50) END, 'region', NULL,
+        'postal_code', NULL, 'country', CASE WHEN r_name = 'AMERICA' THEN 'US'
+        WHEN r_name = 'AFRICA' THEN NULL WHEN n_nationkey = 2 THEN '' ELSE n_name END,
+        'lat', NULL, 'lon', NULL, 'store_number', NULL)""",
+    "counterparties": f"""CASE WHEN l_suppkey % 7 = 0 THEN array(named_struct('name',
+        CASE WHEN l_suppkey % 2 = 0 THEN concat('CP ', {letters('l_suppkey')}) END,
+        'type', 'merchant', 'entity_id', {entity_id('l_suppkey')}, 'confidence_level', 'LOW')) END""",
+}
+
+_BILL_SLOT = "(CASE WHEN c_custkey % 3 = 0 THEN 7 ELSE 17 END)"
+
+BILL = {
+    "transaction_id": "concat('bill-', c_custkey, '-', k)",
+    "account_id": "concat('acct_', c_custkey)",
+    "txn_owner": "CASE WHEN c_custkey % 10 <> 0 THEN concat('owner_', c_custkey % 4) END",
+    "pending": "false",
+    "date": """string(date_add(DATE'2000-01-01', int(c_custkey % 28 + k * CASE c_custkey % 4
+        WHEN 1 THEN 14 WHEN 2 THEN 7 WHEN 3 THEN 50 ELSE 30 END)))""",
+    "name": f"concat('BILL ', {letters('c_custkey')})",
+    "merchant_name": f"concat('Utility ', {letters('c_custkey')})",
+    "merchant_entity_id": "concat('bill_', c_custkey)",
+    "amount": "20 + c_custkey % 80 + CASE WHEN c_custkey % 5 = 0 THEN k * k * 40 ELSE k % 3 END",
+    "iso_currency_code": "'USD'",
+    "payment_channel": "'online'",
+    "transaction_type": "'special'",
+    "personal_finance_category": f"""named_struct('primary', {slot(_BILL_SLOT, 0)},
+        'detailed', {slot(_BILL_SLOT, 1)}, 'confidence_level', 'VERY_HIGH', 'version', 'v2')""",
+    "location": """named_struct('address', NULL, 'city', NULL, 'region', NULL, 'postal_code', NULL,
+        'country', 'US', 'lat', NULL, 'lon', NULL, 'store_number', NULL)""",
+}
+
+_SEQ = [("l_shipdate", "timestamp_ntz"), ("l_partkey", "long"), ("l_suppkey", "long"),
+        ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"),
+        ("l_tax", "double"), ("l_returnflag", "string"), ("l_linestatus", "string")]
+
+
+def _record(values, seq):
+    """Every column of the nested schema, null where the source has no value, then `seq`."""
+    cols = [f"CAST({values.get(n, 'NULL')} AS {t}) AS {n}" for n, t in schema.TXN_FIELDS]
+    return cols + [f"struct({', '.join(seq)}) AS seq"]
 
 
 def line_feed(spark, sf_dir) -> DataFrame:
@@ -87,124 +163,19 @@ def line_feed(spark, sf_dir) -> DataFrame:
     li, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     part, customer = read(spark, sf_dir, "part"), read(spark, sf_dir, "customer")
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    place = (customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+             .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
     df = (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
           .join(part, F.col("l_partkey") == F.col("p_partkey"))
-          .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-          .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-          .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
-    c = F.col
-    index = F.when(c("l_suppkey") % 6 == 1, c("l_suppkey") % len(SLOTS)).otherwise(
-        (c("l_partkey") * 7 + c("l_linenumber")) % len(SLOTS))
-    prefix = (F.when(c("p_size") % 10 == 0, "TST* ").when(c("p_size") % 10 == 1, "COT*FLT ")
-              .when(c("p_size") % 10 == 2, "COT*HTL ").otherwise(""))
-    name = F.concat(prefix, F.upper("p_name"), F.lit(" #"), c("l_orderkey").cast("string"))
-    america = c("r_name") == "AMERICA"
-    party = F.struct(
-        F.when(c("l_suppkey") % 2 == 0, F.concat(F.lit("CP "), letters(c("l_suppkey"))))
-        .alias("name"),
-        F.lit("merchant").alias("type"), entity_id(c("l_suppkey")).alias("entity_id"),
-        F.lit("LOW").alias("confidence_level"))
-    values = {
-        "transaction_id": F.concat(c("l_orderkey").cast("string"), F.lit("-"),
-                                   c("l_linenumber").cast("string")),
-        "account_id": F.concat(F.lit("acct_"), c("o_custkey").cast("string")),
-        "txn_owner": F.when(c("o_custkey") % 10 != 0,
-                            F.concat(F.lit("owner_"), (c("o_custkey") % 4).cast("string"))),
-        "pending": (c("l_linestatus") == "O") & (c("l_linenumber") == 1),
-        "pending_transaction_id": F.when(c("l_linenumber") == 2, F.concat(
-            c("l_orderkey").cast("string"), F.lit("-1"))),
-        "date": day("l_shipdate"),
-        "authorized_date": F.when(c("o_orderstatus") == "P", null())
-        .when(c("l_orderkey") % 17 == 0, "").when(c("l_orderkey") % 997 == 1, "not a date")
-        .otherwise(day("o_orderdate")),
-        "name": name,
-        "original_description": F.when(c("l_linenumber") != 3, F.concat(
-            name, F.lit(" CARD XXXX"), (c("l_partkey") % 100).cast("string"))),
-        "merchant_name": merchant_name(c("l_suppkey")),
-        "merchant_entity_id": entity_id(c("l_suppkey")),
-        "website": F.when(c("l_suppkey") % 12 == 1, "uber.com")
-        .when(c("l_suppkey") % 12 == 3, "www.DoorDash.com")
-        .when(c("l_suppkey") % 12 == 5, "netflix.com")
-        .when(c("l_suppkey") % 12 == 7, "amazon.com").when(c("l_suppkey") % 12 == 8, ""),
-        "logo_url": F.when(c("l_suppkey") % 4 == 0, F.concat(
-            F.lit("https://logo.test/"), c("l_suppkey").cast("string"))),
-        "amount": F.when(c("l_returnflag") == "R", -c("l_extendedprice").cast("decimal(18,2)"))
-        .otherwise(c("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)"),
-        "iso_currency_code": F.when(c("n_nationkey") % 3 != 0, F.when(america, "USD")
-                                    .otherwise("eur")),
-        "unofficial_currency_code": F.when(c("n_nationkey") % 3 == 0, "usd"),
-        "payment_channel": F.when(c("o_orderpriority").isin("1-URGENT", "2-HIGH"), "in store")
-        .when(c("o_orderpriority") == "3-MEDIUM", "online")
-        .when(c("o_orderpriority") == "4-NOT SPECIFIED", "other"),
-        "transaction_type": F.lit("place"),
-        "personal_finance_category": F.struct(
-            slot(index, 0).alias("primary"), slot(index, 1).alias("detailed"),
-            F.get(F.array(*[F.lit(v).cast("string") for v in
-                            ("LOW", "MEDIUM", "HIGH", "VERY_HIGH", None, "low")]),
-                  (c("l_partkey") % 6).cast("int")).alias("confidence_level"),
-            F.lit("v2").alias("version")),
-        "location": F.struct(
-            null().alias("address"),
-            F.when(c("o_custkey") % 9 != 0, F.concat(
-                F.lit("City_"), (c("o_custkey") % 50).cast("string"))).alias("city"),
-            null().alias("region"), null().alias("postal_code"),
-            F.when(america, "US").when(c("r_name") == "AFRICA", null())
-            .when(c("n_nationkey") == 2, "").otherwise(c("n_name")).alias("country"),
-            null("double").alias("lat"), null("double").alias("lon"),
-            null().alias("store_number")),
-        "counterparties": F.when(c("l_suppkey") % 7 == 0, F.array(party)),
-    }
-    seq = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-                   "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    return df.select(*_record(values), seq.alias("seq"))
+          .join(place, F.col("o_custkey") == F.col("c_custkey")))
+    return df.selectExpr(*_record(LINE, [n for n, _ in _SEQ]))
 
 
 def bill_feed(spark, sf_dir) -> DataFrame:
     """Twelve recurring charges per customer; every fifth customer's amounts vary too much."""
-    c = F.col
-    k = (read(spark, sf_dir, "customer")
-         .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(BILL_MONTHS - 1)))))
-    key = c("c_custkey")
-    wild = key % 5 == 0
-    values = {
-        "transaction_id": F.concat(F.lit("bill-"), key.cast("string"), F.lit("-"),
-                                   c("k").cast("string")),
-        "account_id": F.concat(F.lit("acct_"), key.cast("string")),
-        "txn_owner": F.when(key % 10 != 0, F.concat(F.lit("owner_"), (key % 4).cast("string"))),
-        "pending": F.lit(False),
-        "date": F.date_add(F.to_date(F.lit("2000-01-01")),
-                           (key % 28 + c("k") * F.when(key % 4 == 1, 14).when(key % 4 == 2, 7)
-                            .when(key % 4 == 3, 50).otherwise(30)).cast("int")).cast("string"),
-        "name": F.concat(F.lit("BILL "), letters(key)),
-        "merchant_name": F.concat(F.lit("Utility "), letters(key)),
-        "merchant_entity_id": F.concat(F.lit("bill_"), key.cast("string")),
-        "amount": (F.lit(20) + key % 80 + F.when(wild, c("k") * c("k") * 40).otherwise(
-            c("k") % 3)).cast("decimal(18,2)"),
-        "iso_currency_code": F.lit("USD"),
-        "payment_channel": F.lit("online"),
-        "transaction_type": F.lit("special"),
-        "personal_finance_category": F.struct(
-            slot(F.when(key % 3 == 0, 7).otherwise(17), 0).alias("primary"),
-            slot(F.when(key % 3 == 0, 7).otherwise(17), 1).alias("detailed"),
-            F.lit("VERY_HIGH").alias("confidence_level"), F.lit("v2").alias("version")),
-        "location": F.struct(
-            null().alias("address"), null().alias("city"), null().alias("region"),
-            null().alias("postal_code"), F.lit("US").alias("country"),
-            null("double").alias("lat"), null("double").alias("lon"),
-            null().alias("store_number")),
-    }
-    seq = F.struct(null("timestamp_ntz").alias("l_shipdate"), null("long").alias("l_partkey"),
-                   null("long").alias("l_suppkey"), null("double").alias("l_quantity"),
-                   null("double").alias("l_extendedprice"), null("double").alias("l_discount"),
-                   null("double").alias("l_tax"), null().alias("l_returnflag"),
-                   null().alias("l_linestatus"))
-    return k.select(*_record(values), seq.alias("seq"))
-
-
-def _record(values):
-    """All columns of the nested schema, null where the source has no value."""
-    return [(values[n] if n in values else F.lit(None)).cast(t).alias(n)
-            for n, t in schema.TXN_FIELDS]
+    k = read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", f"explode(sequence(0, {BILL_MONTHS - 1})) AS k")
+    return k.selectExpr(*_record(BILL, [f"CAST(NULL AS {t}) AS {n}" for n, t in _SEQ]))
 
 
 def feed(spark, sf_dir) -> DataFrame:
@@ -214,122 +185,103 @@ def feed(spark, sf_dir) -> DataFrame:
 
 def accounts(spark, sf_dir) -> DataFrame:
     """Account dimension, one per customer; some have no person, some are left out."""
-    key = F.col("c_custkey")
-    return read(spark, sf_dir, "customer").select(
-        F.concat(F.lit("acct_"), key.cast("string")).alias("account_id"),
-        F.when(key % 20 != 0, F.concat(F.lit("person_"), (key % 4).cast("string")))
-        .alias("person"),
-        F.concat(F.lit("Account "), key.cast("string")).alias("name"),
-        F.when(F.col("c_mktsegment") == "BUILDING", "credit").otherwise("depository")
-        .alias("type"),
-        F.when(F.col("c_mktsegment") == "BUILDING", "credit card").otherwise("checking")
-        .alias("subtype"),
-        F.concat(F.lit("Bank "), F.col("c_nationkey").cast("string")).alias("institution"),
-        (key % 25 != 3).alias("include"),
-    ).filter(key % 30 != 7)
+    return read(spark, sf_dir, "customer").filter("c_custkey % 30 <> 7").selectExpr(
+        "concat('acct_', c_custkey) AS account_id",
+        "CASE WHEN c_custkey % 20 <> 0 THEN concat('person_', c_custkey % 4) END AS person",
+        "concat('Account ', c_custkey) AS name",
+        "CASE WHEN c_mktsegment = 'BUILDING' THEN 'credit' ELSE 'depository' END AS type",
+        "CASE WHEN c_mktsegment = 'BUILDING' THEN 'credit card' ELSE 'checking' END AS subtype",
+        "concat('Bank ', c_nationkey) AS institution", "c_custkey % 25 <> 3 AS include")
 
 
 def overlay(spark, sf_dir) -> DataFrame:
     """Personal keyword rules, one per supplier named after letters; some are malformed."""
-    key = F.col("s_suppkey")
-    index = key % len(SLOTS)
-    return read(spark, sf_dir, "supplier").filter(key % 12 > 6).select(
-        F.when(key % 23 == 9, "shape").otherwise("keyword").alias("kind"),
-        key.alias("ord"),
-        F.when(key % 29 != 7, F.concat(F.lit("store "), letters(key))).alias("pattern"),
-        slot(index, 0).alias("primary"), slot(index, 1).alias("detailed"),
-        F.when(key % 3 == 0, "auto").otherwise("flag").alias("trust"))
+    index = f"s_suppkey % {len(SLOTS)}"
+    return read(spark, sf_dir, "supplier").filter("s_suppkey % 12 > 6").selectExpr(
+        "CASE WHEN s_suppkey % 23 = 9 THEN 'shape' ELSE 'keyword' END AS kind",
+        "s_suppkey AS ord",
+        f"CASE WHEN s_suppkey % 29 <> 7 THEN concat('store ', {letters('s_suppkey')}) END "
+        "AS pattern", f"{slot(index, 0)} AS primary", f"{slot(index, 1)} AS detailed",
+        "CASE WHEN s_suppkey % 3 = 0 THEN 'auto' ELSE 'flag' END AS trust")
 
 
 def memory(spark, sf_dir) -> DataFrame:
     """Remembered merchants: an entity key on some suppliers, a name key on others."""
-    key = F.col("s_suppkey")
     sup = read(spark, sf_dir, "supplier")
-    index = (key * 5 + 3) % len(SLOTS)
-    entity = sup.filter((key % 5 != 0) & (key % 4 == 1)).select(
-        F.concat(F.lit("ent:"), entity_id(key)).alias("key"), slot(index, 0).alias("primary"),
-        slot(index, 1).alias("detailed"))
-    named = sup.filter((key % 7 != 0) & (key % 9 == 2)).select(
-        F.concat(F.lit("name:"), text.normalize_merchant(merchant_label(key))).alias("key"),
-        "s_suppkey")
-    names = named.groupBy("key").agg(F.max("s_suppkey").alias("s_suppkey")).select(
-        "key", slot((key * 5 + 3) % len(SLOTS), 0).alias("primary"),
-        slot((key * 5 + 3) % len(SLOTS), 1).alias("detailed"))
-    return entity.unionByName(names)
+    pair = slot_pair(f"(s_suppkey * 5 + 3) % {len(SLOTS)}")
+    entity = sup.filter("s_suppkey % 5 <> 0 AND s_suppkey % 4 = 1").select(
+        F.expr("concat('ent:ent_', s_suppkey)").alias("key"), *pair)
+    name = text.normalize_merchant(F.expr(merchant_label("s_suppkey")))
+    named = (sup.filter("s_suppkey % 7 <> 0 AND s_suppkey % 9 = 2")
+             .select(F.concat(F.lit("name:"), name).alias("key"), "s_suppkey")
+             .groupBy("key").agg(F.max("s_suppkey").alias("s_suppkey")))
+    return entity.unionByName(named.select("key", *pair))
 
 
 def verdicts(spark, sf_dir) -> DataFrame:
     """Reviewer verdicts in order, from the order lines: flags, oks, bad leaves, unknown rows."""
-    c = F.col
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
-                                                "l_suppkey", "l_quantity", "l_extendedprice")
-    kind = (c("l_partkey") + c("l_suppkey")) % 9
-    target = (c("l_partkey") + c("l_suppkey") * 3) % len(SLOTS)
-    return li.filter(kind < 5).select(
-        F.struct(c("l_partkey"), c("l_suppkey"), c("l_quantity"), c("l_extendedprice"))
-        .alias("seq"),
-        F.concat(F.when(c("l_partkey") % 101 == 5, "gone-").otherwise(""),
-                 c("l_orderkey").cast("string"), F.lit("-"),
-                 c("l_linenumber").cast("string")).alias("transaction_id"),
-        F.when(kind == 0, "ok").when(kind == 1, "FLAG").otherwise("flag").alias("verdict"),
-        slot(target, 0).alias("primary"),
-        F.when(kind == 3, F.lit("NO_SUCH_LEAF")).otherwise(slot(target, 1)).alias("detailed"),
-        F.when(kind == 2, F.lit(None)).otherwise(F.concat(
-            F.lit("looks like "), (c("l_partkey") % 10).cast("string"))).alias("reason"))
+    target = f"(l_partkey + l_suppkey * 3) % {len(SLOTS)}"
+    return read(spark, sf_dir, "lineitem").selectExpr(
+        "(l_partkey + l_suppkey) % 9 AS kind",
+        "struct(l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq",
+        "concat(CASE WHEN l_partkey % 101 = 5 THEN 'gone-' ELSE '' END, l_orderkey, '-', "
+        "l_linenumber) AS transaction_id",
+        "CASE (l_partkey + l_suppkey) % 9 WHEN 0 THEN 'ok' WHEN 1 THEN 'FLAG' ELSE 'flag' END "
+        "AS verdict", f"{slot(target, 0)} AS primary",
+        f"CASE (l_partkey + l_suppkey) % 9 WHEN 3 THEN 'NO_SUCH_LEAF' ELSE {slot(target, 1)} END "
+        "AS detailed",
+        "CASE (l_partkey + l_suppkey) % 9 WHEN 2 THEN NULL ELSE "
+        "concat('looks like ', l_partkey % 10) END AS reason").filter("kind < 5").drop("kind")
 
 
 def decisions(spark, sf_dir) -> DataFrame:
     """Human decisions over flagged rows, one per order: accept, reject or re-pick."""
-    key = F.col("o_orderkey")
-    return read(spark, sf_dir, "orders").select(
-        F.concat(key.cast("string"), F.lit("-"), (key % 7 + 1).cast("string"))
-        .alias("transaction_id"),
-        F.when(key % 3 == 0, "accept").when(key % 3 == 1, "reject").otherwise("repick")
-        .alias("decision"),
-        slot(F.col("o_custkey") % len(SLOTS), 0).alias("pick_primary"),
-        slot(F.col("o_custkey") % len(SLOTS), 1).alias("pick_detailed"))
+    pick = f"o_custkey % {len(SLOTS)}"
+    return read(spark, sf_dir, "orders").selectExpr(
+        "concat(o_orderkey, '-', o_orderkey % 7 + 1) AS transaction_id",
+        "CASE o_orderkey % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' ELSE 'repick' END "
+        "AS decision", f"{slot(pick, 0)} AS pick_primary", f"{slot(pick, 1)} AS pick_detailed")
+
+
+INTENT_COLUMNS = ("seq id action source scope match_transaction_id match_entity_id match_name "
+                  "match_other set_primary set_detailed revokes snap_merchant_name "
+                  "snap_entity_id").split()
+
+
+def _intent(df, **values):
+    return df.selectExpr(*[f"CAST({values.get(c, 'NULL')} AS "
+                           f"{'long' if c == 'seq' else 'string'}) AS {c}"
+                           for c in INTENT_COLUMNS])
 
 
 def intents(spark, sf_dir) -> DataFrame:
     """An append-ordered intent log: merchant edits, transaction edits, revokes, bad entries."""
-    c = F.col
-    key = c("s_suppkey")
     sup = read(spark, sf_dir, "supplier")
-    merchant = sup.select(
-        (key * 10).alias("seq"), F.concat(F.lit("m"), key.cast("string")).alias("id"),
-        F.when(key % 41 == 40, "merge").otherwise("edit").alias("action"),
-        F.when(key % 2 == 0, "ui").otherwise("cli").alias("source"),
-        F.when(key % 37 == 36, "galaxy").otherwise("merchant").alias("scope"),
-        null().alias("match_transaction_id"),
-        F.when(key % 3 != 2, entity_id(key)).alias("match_entity_id"),
-        text.or_null(text.normalize_merchant(merchant_name(key))).alias("match_name"),
-        F.when(key % 43 == 42, "region").alias("match_other"),
-        slot(key % len(SLOTS), 0).alias("set_primary"),
-        slot(key % len(SLOTS), 1).alias("set_detailed"), null().alias("revokes"),
-        merchant_name(key).alias("snap_merchant_name"),
-        entity_id(key).alias("snap_entity_id"))
-    okey = c("o_orderkey")
-    line = read(spark, sf_dir, "orders").filter(okey % 40 == 3)
-    txn = line.select(
-        (okey * 10 + 5).alias("seq"), F.concat(F.lit("t"), okey.cast("string")).alias("id"),
-        F.lit("edit").alias("action"),
-        F.when(okey % 3 == 0, "ui").otherwise("cli").alias("source"),
-        F.lit("transaction").alias("scope"),
-        F.when(okey % 60 != 43, F.concat(okey.cast("string"), F.lit("-"),
-                                         (okey % 8 + 1).cast("string")))
-        .alias("match_transaction_id"),
-        null().alias("match_entity_id"), null().alias("match_name"), null().alias("match_other"),
-        slot(c("o_custkey") % 4, 0).alias("set_primary"),
-        slot(c("o_custkey") % 4, 1).alias("set_detailed"), null().alias("revokes"),
-        merchant_name(c("o_custkey") % 30).alias("snap_merchant_name"),
-        entity_id(c("o_custkey") % 30).alias("snap_entity_id"))
-    gone = sup.filter(key % 11 == 4).select(
-        (key * 10 + 7).alias("seq"), F.concat(F.lit("r"), key.cast("string")).alias("id"),
-        F.lit("revoke").alias("action"), F.lit("ui").alias("source"), null().alias("scope"),
-        null().alias("match_transaction_id"), null().alias("match_entity_id"),
-        null().alias("match_name"), null().alias("match_other"), null().alias("set_primary"),
-        null().alias("set_detailed"), F.concat(F.lit("m"), key.cast("string")).alias("revokes"),
-        null().alias("snap_merchant_name"), null().alias("snap_entity_id"))
+    index = f"s_suppkey % {len(SLOTS)}"
+    label = merchant_name("s_suppkey")
+    merchant = _intent(
+        sup, seq="s_suppkey * 10", id="concat('m', s_suppkey)",
+        action="CASE WHEN s_suppkey % 41 = 40 THEN 'merge' ELSE 'edit' END",
+        source="CASE WHEN s_suppkey % 2 = 0 THEN 'ui' ELSE 'cli' END",
+        scope="CASE WHEN s_suppkey % 37 = 36 THEN 'galaxy' ELSE 'merchant' END",
+        match_entity_id=f"CASE WHEN s_suppkey % 3 <> 2 THEN {entity_id('s_suppkey')} END",
+        match_other="CASE WHEN s_suppkey % 43 = 42 THEN 'region' END",
+        set_primary=slot(index, 0), set_detailed=slot(index, 1), snap_merchant_name=label,
+        snap_entity_id=entity_id("s_suppkey"), match_name=label)
+    merchant = merchant.withColumn("match_name",
+                                   text.or_null(text.normalize_merchant("match_name")))
+    who = "(o_custkey % 30)"
+    txn = _intent(
+        read(spark, sf_dir, "orders").filter("o_orderkey % 40 = 3"), seq="o_orderkey * 10 + 5",
+        id="concat('t', o_orderkey)", action="'edit'",
+        source="CASE WHEN o_orderkey % 3 = 0 THEN 'ui' ELSE 'cli' END", scope="'transaction'",
+        match_transaction_id="CASE WHEN o_orderkey % 60 <> 43 THEN "
+                             "concat(o_orderkey, '-', o_orderkey % 8 + 1) END",
+        set_primary=slot("o_custkey % 4", 0), set_detailed=slot("o_custkey % 4", 1),
+        snap_merchant_name=merchant_name(who), snap_entity_id=entity_id(who))
+    gone = _intent(sup.filter("s_suppkey % 11 = 4"), seq="s_suppkey * 10 + 7",
+                   id="concat('r', s_suppkey)", action="'revoke'", source="'ui'",
+                   revokes="concat('m', s_suppkey)")
     return merchant.unionByName(txn).unionByName(gone)
 
 
