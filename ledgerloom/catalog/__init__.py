@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["ingest", "enrichment", "marts", "categorize"]
+_MODULES = ["ingest", "enrichment", "marts", "categorize", "stores"]
 
 
 def _load():

@@ -47,8 +47,8 @@ WITH t AS (SELECT s.*, 'name:' || nullif({norm_sql('merchant_name')}, '') AS nk,
       nullif(original_description, ''))) AS word_text FROM settled s),
 over_ AS (SELECT transaction_id, arg_min(primary_, ord) AS kp, arg_min(detailed, ord) AS kd,
     arg_min('keyword:' || pattern, ord) AS kr, arg_min(trust, ord) AS kt
-  FROM t JOIN (SELECT * FROM rules WHERE part = 0) r ON contains(word_text, pattern)
-    AND regexp_matches(word_text, '(^|[^a-z0-9])' || pattern || '([^a-z0-9]|$)') GROUP BY 1),
+  FROM t JOIN (SELECT * FROM rules WHERE part = 0) r ON contains(
+    ' ' || regexp_replace(word_text, '[^a-z0-9]', ' ', 'g') || ' ', ' ' || pattern || ' ') GROUP BY 1),
 c AS (SELECT t.*, coalesce(e.mp, m.mp) AS p1, coalesce(e.md, m.md) AS d1,
     CASE WHEN e.key IS NOT NULL THEN 'memory:entity_id' WHEN m.key IS NOT NULL THEN 'memory:name'
       END AS r1, CASE WHEN e.key IS NOT NULL THEN 'auto' WHEN m.key IS NOT NULL THEN 'flag' END AS t1,
@@ -374,10 +374,10 @@ def review_adjudicate(spark, sf):
 
 
 cte("judged", ["snapped", "audited"], """
-SELECT v.*, CASE WHEN a.transaction_id IS NULL THEN 'unknown' WHEN verdict = 'flag' AND vd IS NULL
-  THEN 'invalid' WHEN verdict = 'flag' AND (vp IS DISTINCT FROM pfc_primary OR vd IS DISTINCT FROM pfc_detailed)
+SELECT v.*, CASE WHEN a.transaction_id IS NULL THEN 'unknown' WHEN verdict = 'flag' AND v.vd IS NULL
+  THEN 'invalid' WHEN verdict = 'flag' AND (v.vp IS DISTINCT FROM pfc_primary OR v.vd IS DISTINCT FROM pfc_detailed)
   THEN 'flagged' ELSE 'ok' END AS outcome, NOT (a.category_review_flag = '1'
-    AND category_review_primary = vp AND category_review_detailed = vd AND category_review_reason = v.reason
+    AND category_review_primary = v.vp AND category_review_detailed = v.vd AND category_review_reason = v.reason
     AND category_review_confidence = '' AND category_review_source = 'reviewer') AS moves
 FROM snapped v LEFT JOIN audited a USING (transaction_id)""")
 

@@ -77,8 +77,8 @@ def decide(df: DataFrame, authority="flag", flag_laterals=False) -> DataFrame:
     if "reviewer" not in df.columns:
         df = df.withColumn("reviewer", F.lit(None).cast(
             "struct<primary:string,detailed:string,reason:string,confidence:string>"))
-    return df.withColumn("decision", decision_column(authority=authority,
-                                                     flag_laterals=flag_laterals))
+    return rules.compute_once(df, "decision", decision_column(authority=authority,
+                                                              flag_laterals=flag_laterals))
 
 
 def set_provenance(df: DataFrame, when, primary, detailed, step, reason, confidence,
@@ -166,8 +166,7 @@ def audit_transform(df: DataFrame, run_ts: str, memory=None, overlay=(), keyword
             "primary", "detailed", "reason", "confidence").alias("reviewer"))
         out = out.join(verdict, "transaction_id", "left")
     out = decide(out, authority)
-    d = F.col("decision")
-    out = out.withColumn("decision", F.when(F.col("_sel"), d))
+    out = out.withColumn("decision", F.when(F.col("_sel"), F.col("decision")))
     d = F.col("decision")
     out = set_provenance(out, d["action"] == "apply", d["primary"], d["detailed"], d["source"],
                          d["reason"], d["confidence"], run_ts)

@@ -149,11 +149,11 @@ def text_search(df: DataFrame, query: str, limit: int = 10) -> DataFrame:
 def category_valid(df: DataFrame, menu: DataFrame, primary="primary", detailed="detailed",
                    out="valid") -> DataFrame:
     """Adds whether (primary, detailed) is on the menu."""
-    legal = menu.select(F.col("primary").alias("_p"), F.col("detailed").alias("_d"),
+    legal = menu.select(F.col("primary").alias("_mp"), F.col("detailed").alias("_md"),
                         F.lit(True).alias("_ok"))
-    return (df.join(legal, (F.col(primary) == F.col("_p")) & (F.col(detailed) == F.col("_d")),
+    return (df.join(legal, (F.col(primary) == F.col("_mp")) & (F.col(detailed) == F.col("_md")),
                     "left")
-            .withColumn(out, F.coalesce("_ok", F.lit(False))).drop("_p", "_d", "_ok"))
+            .withColumn(out, F.coalesce("_ok", F.lit(False))).drop("_mp", "_md", "_ok"))
 
 
 def snap_to_other(df: DataFrame, menu: DataFrame, primary="primary",

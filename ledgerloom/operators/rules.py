@@ -67,6 +67,13 @@ def _tokens(c) -> Column:
     return F.filter(F.split(c, "[^a-z0-9]+"), lambda t: t != "")
 
 
+def _grams(tokens, n) -> Column:
+    """Every run of n tokens, joined by a space."""
+    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
 def keyword_table_match(df: DataFrame, rules: DataFrame, key="transaction_id") -> DataFrame:
     """(key, hit) of the first matching keyword of a rule table of any length.
 
@@ -81,10 +88,7 @@ def keyword_table_match(df: DataFrame, rules: DataFrame, key="transaction_id") -
     sizes = [r[0] for r in kw.select("_n").distinct().collect()]  # a handful of phrase lengths
     words = df.select(key, F.expr(WORD_TEXT).alias("_text"))
     words = words.withColumn("_t", _tokens(F.col("_text")))
-    grams = [F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1), lambda i, n=n: F.array_join(
-        F.slice("_t", i, n), " ")) for n in sorted(sizes)]
-    grams = [F.when(F.size("_t") >= n, g).otherwise(F.array().cast("array<string>"))
-             for n, g in zip(sorted(sizes), grams)]
+    grams = [_grams(F.col("_t"), n) for n in sorted(sizes)]
     if not grams:
         return df.select(key, F.lit(None).cast(HIT).alias("_kw")).limit(0)
     bag = F.explode(F.array_distinct(F.concat(*grams)))
@@ -141,6 +145,15 @@ def memory_lookup(df: DataFrame, memory: DataFrame) -> DataFrame:
         "_ek", "_nk", "_me_key", "_mn_key", "_me", "_mn")
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later filters and projections refer to but never copy.
+
+    The optimizer pastes a projected expression into every filter above it; a one-element
+    explode is a boundary it does not push through, so a long rule chain runs once per row.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def rule_cascade(df: DataFrame, memory: DataFrame | None = None, overlay=(),
                  keyword_table: DataFrame | None = None) -> DataFrame:
     """Adds `hit`: the first valid one among the first matches of each table, in fixed order.
@@ -159,7 +172,7 @@ def rule_cascade(df: DataFrame, memory: DataFrame | None = None, overlay=(),
                            "_word": word})
     first = F.coalesce(*[F.when(F.col(c)["ok"], F.col(c)) for c in ("_mem", "_pos", "_web",
                                                                    "_word")])
-    return out.withColumn("hit", first).drop("_mem", "_pos", "_web", "_word", "_kw")
+    return compute_once(out, "hit", first).drop("_mem", "_pos", "_web", "_word", "_kw")
 
 
 def rule_catalog(rules: DataFrame) -> DataFrame:

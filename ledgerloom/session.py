@@ -19,6 +19,8 @@ def local_session(cpus: int | None = None) -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName("ledgerloom")
                .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.sql.shuffle.partitions", str(cpus))
                .config("spark.driver.extraJavaOptions", "-XX:+UseParallelGC"))
     for k, v in SETTINGS.items():

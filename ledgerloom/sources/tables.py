@@ -245,7 +245,8 @@ def decisions(spark, sf_dir) -> DataFrame:
 
 INTENT_COLUMNS = ("seq id action source scope match_transaction_id match_entity_id match_name "
                   "match_other set_primary set_detailed revokes snap_merchant_name "
-                  "snap_entity_id").split()
+                  "snap_entity_id snap_before_step snap_before_reason snap_pending_primary "
+                  "snap_pending_detailed snap_source_confidence").split()
 
 
 def _intent(df, **values):
@@ -267,7 +268,10 @@ def intents(spark, sf_dir) -> DataFrame:
         match_entity_id=f"CASE WHEN s_suppkey % 3 <> 2 THEN {entity_id('s_suppkey')} END",
         match_other="CASE WHEN s_suppkey % 43 = 42 THEN 'region' END",
         set_primary=slot(index, 0), set_detailed=slot(index, 1), snap_merchant_name=label,
-        snap_entity_id=entity_id("s_suppkey"), match_name=label)
+        snap_entity_id=entity_id("s_suppkey"), match_name=label,
+        snap_before_step="CASE WHEN s_suppkey % 4 = 0 THEN 'mechanical' END",
+        snap_before_reason="CASE WHEN s_suppkey % 8 = 0 THEN 'keyword:uber' END",
+        snap_source_confidence="CASE WHEN s_suppkey % 3 = 0 THEN 'LOW' END")
     merchant = merchant.withColumn("match_name",
                                    text.or_null(text.normalize_merchant("match_name")))
     who = "(o_custkey % 30)"
@@ -278,7 +282,10 @@ def intents(spark, sf_dir) -> DataFrame:
         match_transaction_id="CASE WHEN o_orderkey % 60 <> 43 THEN "
                              "concat(o_orderkey, '-', o_orderkey % 8 + 1) END",
         set_primary=slot("o_custkey % 4", 0), set_detailed=slot("o_custkey % 4", 1),
-        snap_merchant_name=merchant_name(who), snap_entity_id=entity_id(who))
+        snap_merchant_name=merchant_name(who), snap_entity_id=entity_id(who),
+        snap_pending_primary="CASE WHEN o_orderkey % 9 = 0 THEN 'TRAVEL' "
+                             "WHEN o_orderkey % 9 < 5 THEN 'FOOD_AND_DRINK' END",
+        snap_pending_detailed=slot("o_orderkey % 4", 1))
     gone = _intent(sup.filter("s_suppkey % 11 = 4"), seq="s_suppkey * 10 + 7",
                    id="concat('r', s_suppkey)", action="'revoke'", source="'ui'",
                    revokes="concat('m', s_suppkey)")
@@ -339,3 +346,17 @@ def ledger(spark, sf_dir) -> DataFrame:
         F.when(k % 23 == 0, "0.00").when(k % 29 == 0, "n/a")
         .when(k % 3 == 0, F.concat(F.lit("'-$"), value)).otherwise(F.concat(F.lit("$"), value))
         .alias("Debit Less Credit"))
+
+
+def corrections(spark, sf_dir) -> DataFrame:
+    """Correction notes, one per supplier: what it says now and what it should say."""
+    return read(spark, sf_dir, "supplier").selectExpr(
+        "concat('c', s_suppkey) AS id",
+        "CASE WHEN s_suppkey % 3 = 0 THEN 'merchant' ELSE 'atom' END AS scope",
+        f"CASE WHEN s_suppkey % 4 <> 1 THEN {merchant_name('s_suppkey')} END AS merchant",
+        f"{merchant_name('s_suppkey')} AS original_merchant_name",
+        "'Dining Out' AS original_tier1", "'Other' AS original_tier2",
+        f"{slot(f's_suppkey % {len(SLOTS)}', 1)} AS original_pfc_detailed",
+        "CASE WHEN s_suppkey % 2 = 0 THEN 'Groceries' ELSE 'Dining Out' END AS suggestion_tier1",
+        "CASE WHEN s_suppkey % 5 = 0 THEN 'Groceries' END AS suggestion_tier2",
+        "CASE WHEN s_suppkey % 7 = 2 THEN 'FOOD_AND_DRINK_COFFEE' END AS suggestion_pfc_detailed")
