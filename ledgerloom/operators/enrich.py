@@ -32,15 +32,18 @@ def resolve_taxonomy(df: DataFrame, atom_dim: DataFrame | None = None,
 def merchant_override(df: DataFrame, overrides=None) -> DataFrame:
     """First rule that fully matches the entity id or is found in the merchant name."""
     rules = dims.valid_overrides(fixed.MERCHANT_OVERRIDES if overrides is None else overrides)
-    tier1, tier2 = F.col("tier1"), F.col("tier2")
+    picked = F.lit(None).cast("struct<tier1:string,tier2:string>")
     for regex, one, two in reversed(rules):
-        hit = (F.coalesce(F.col("merchant_entity_id").rlike(f"^(?:{regex})\\z")
-                          & (F.col("merchant_entity_id") != ""), F.lit(False))
-               | F.coalesce(F.col("merchant_name").rlike(regex)
-                            & (F.col("merchant_name") != ""), F.lit(False)))
-        tier1 = F.when(hit, F.lit(one) if one else F.col("tier1")).otherwise(tier1)
-        tier2 = F.when(hit, F.lit(two) if two else F.col("tier2")).otherwise(tier2)
-    return df.withColumns({"tier1": tier1, "tier2": tier2})
+        hit = (F.coalesce(F.col("merchant_name").rlike(regex)
+                          & (F.col("merchant_name") != ""), F.lit(False))
+               | F.coalesce(F.col("merchant_entity_id").rlike(f"^(?:{regex})\\z")
+                            & (F.col("merchant_entity_id") != ""), F.lit(False)))
+        spec = F.struct(F.lit(one).cast("string").alias("tier1"),
+                        F.lit(two).cast("string").alias("tier2"))
+        picked = F.when(hit, spec).otherwise(picked)
+    return df.withColumn("_ov", picked).withColumns({
+        "tier1": F.coalesce(F.col("_ov")["tier1"], "tier1"),
+        "tier2": F.coalesce(F.col("_ov")["tier2"], "tier2")}).drop("_ov")
 
 
 def exclude_flow(df: DataFrame, globs=None) -> DataFrame:

@@ -8,7 +8,9 @@ from ledgerloom.operators import cube as cb
 from ledgerloom.operators import enrich
 from ledgerloom.operators.cube import GroupingSpec, facet_filter
 
-MONTHS_OVER = Window.orderBy(F.asc_nulls_last("month"))
+
+def _by_month():
+    return Window.orderBy(F.asc_nulls_last("month"))
 
 
 def _rows(df, spec, flow="spend"):
@@ -24,7 +26,7 @@ def cash_flow(df: DataFrame, spec: GroupingSpec) -> DataFrame:
                         date_from=spec.date_from, date_to=spec.date_to)
     per = facet_filter(df, flat).groupBy("month").agg(F.sum("income").alias("income"),
                                                       F.sum("spend").alias("spend"))
-    run = MONTHS_OVER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = _by_month().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = per.withColumn("savings", F.col("income") - F.col("spend"))
     out = out.withColumn("cumulative_net", F.sum("savings").over(run))
     return out.select("month", *[F.col(c).cast("double").alias(c) for c in
@@ -83,7 +85,7 @@ def rolling_total(sums: DataFrame, window: int, hidden=(), level="tier1") -> Dat
     visible = sums.filter(~F.col(level).isin(*hidden)) if hidden else sums
     per = visible.groupBy("month").agg(F.sum("spend").cast("double").alias("total"))
     return per.withColumn("trailing", F.avg("total").over(
-        MONTHS_OVER.rowsBetween(-(window - 1), Window.currentRow)))
+        _by_month().rowsBetween(-(window - 1), Window.currentRow)))
 
 
 def heat_scale(df: DataFrame, column: str, midpoint=None, out="intensity") -> DataFrame:

@@ -1,7 +1,5 @@
 """Declared schemas: nested transaction record, provenance columns, cube columns."""
 
-from pyspark.sql import types as T
-
 PFC = "struct<primary:string,detailed:string,confidence_level:string,version:string>"
 LOCATION = ("struct<address:string,city:string,region:string,postal_code:string,country:string,"
             "lat:double,lon:double,store_number:string>")
@@ -25,7 +23,6 @@ TXN_FIELDS = [
 ]
 TXN_COLUMNS = [n for n, _ in TXN_FIELDS]
 TXN_DDL = ", ".join(f"{n} {t}" for n, t in TXN_FIELDS)
-TXN_SCHEMA = T.StructType.fromDDL(TXN_DDL)
 
 ORIGINAL_COLUMNS = ["original_pf_category_primary", "original_pf_category_detailed",
                     "original_pf_category_confidence"]

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # wide records make stages whose generated method the JVM would never compile
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -19,6 +21,7 @@ def local_session(cpus: int | None = None) -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName("ledgerloom")
                .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
+               .config("spark.sql.codegen.cache.maxEntries", "2000")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.sql.shuffle.partitions", str(cpus))
