@@ -120,3 +120,38 @@ def ledger_sums(ledger: DataFrame, persons=None, date_from=None, date_to=None) -
     if date_to:
         df = df.filter(F.col("month") <= date_to[:7])
     return df.groupBy("category", "month").agg(F.sum("spend").alias("spend"))
+
+
+VERDICT_DDL = ("seq long, transaction_id string, verdict string, primary string, "
+               "detailed string, reason string")
+INTENT_DDL = ("seq long, id string, created_at string, action string, source string, scope string, "
+              "match map<string,string>, set struct<primary:string,detailed:string>, note string, "
+              "revokes string, snapshot map<string,string>")
+
+
+def read_verdicts(spark: SparkSession, paths) -> DataFrame:
+    """Reviewer verdicts; `seq` in the data is their order."""
+    good, _ = split_rejects(read_jsonl(spark, paths, VERDICT_DDL))
+    return good.drop("_file")
+
+
+def read_intents(spark: SparkSession, paths) -> DataFrame:
+    """An intent log as flat columns; unreadable lines are left out, `seq` in the data is order."""
+    rows = read_jsonl(spark, paths, INTENT_DDL).filter("_corrupt_record IS NULL")
+    known = F.array(*[F.lit(k) for k in ("transaction_id", "merchant_entity_id",
+                                         "merchant_name_normalized")])
+    keys = F.coalesce(F.map_keys("match"), F.array().cast("array<string>"))
+    other = F.array_join(F.array_except(keys, known), ",")
+    snap = {"merchant_name": "merchant_name", "entity_id": "merchant_entity_id",
+            "before_step": "before_step", "before_reason": "before_reason",
+            "pending_primary": "review_pending_primary",
+            "pending_detailed": "review_pending_detailed", "source_confidence": "source_confidence",
+            "website": "website"}
+    return rows.select(
+        "seq", "id", "created_at", F.coalesce("action", F.lit("edit")).alias("action"), "source",
+        "scope", F.col("match")["transaction_id"].alias("match_transaction_id"),
+        F.col("match")["merchant_entity_id"].alias("match_entity_id"),
+        F.col("match")["merchant_name_normalized"].alias("match_name"),
+        text.or_null(other).alias("match_other"), F.col("set.primary").alias("set_primary"),
+        F.col("set.detailed").alias("set_detailed"), "note", "revokes",
+        *[F.col("snapshot")[k].alias(f"snap_{n}") for n, k in snap.items()])
