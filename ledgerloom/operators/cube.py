@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schema
 from ledgerloom.functions import text
+from ledgerloom.plans.lineage import cut
 
 MEASURES = ("spend", "income", "count", "net", "abs_amount")
 
@@ -204,7 +205,8 @@ def topk_frontier(df: DataFrame, k: int, path="category_path", value="spend") ->
     of non-leaf nodes by total, and the frontier size before each step is a running sum. Only
     non-leaf nodes meet in that one window: category tiers, not merchants.
     """
-    totals = _expand(df.groupBy(F.col(path).alias("p")).agg(F.sum(value).alias("v")))
+    per_path = df.groupBy(F.col(path).alias("p")).agg(F.sum(value).alias("v"))
+    totals = cut(_expand(per_path))  # read four times below, and far smaller than the rows
     depth = F.size("node")
     parent = F.slice("node", F.lit(1), depth - 1)
     fan = totals.groupBy(parent.alias("node")).agg(F.count(F.lit(1)).alias("n_children"))

@@ -1,19 +1,23 @@
-"""Cutting lineage so that a job with several outputs computes its rows once."""
+"""Cutting lineage so that a result with several readers is computed once."""
+
+import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that the session names.
+    """A reliable checkpoint in the shared folder that spark.checkpoint.dir names.
 
-    The folder is read from spark.checkpoint.dir; without one, the job refuses rather than write
-    to a machine-local place that a lost executor would take along.
+    Only a single-machine session may go without the setting; it gets a folder of its own. A
+    cluster session without one is refused, as a machine-local copy is lost with its executor.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
             "spark.checkpoint.dir")
+        if not folder and sc.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="ledgerloom-")
         if not folder:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder)

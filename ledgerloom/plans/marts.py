@@ -7,6 +7,7 @@ from ledgerloom.functions import text
 from ledgerloom.operators import cube as cb
 from ledgerloom.operators import enrich
 from ledgerloom.operators.cube import GroupingSpec, facet_filter
+from ledgerloom.plans.lineage import cut
 
 
 def _by_month():
@@ -34,8 +35,11 @@ def cash_flow(df: DataFrame, spec: GroupingSpec) -> DataFrame:
 
 
 def month_sums(df: DataFrame, spec: GroupingSpec, level="tier1", flow="spend") -> DataFrame:
-    return (_rows(df, spec, flow).filter(F.col("month").isNotNull() & F.col(level).isNotNull())
-            .groupBy(level, "month").agg(F.sum("spend").alias("spend")))
+    """Spend per level value and month. What builds on it reads it several times (which months
+    there are, then the sums), so it is computed once."""
+    per = (_rows(df, spec, flow).filter(F.col("month").isNotNull() & F.col(level).isNotNull())
+           .groupBy(level, "month").agg(F.sum("spend").alias("spend")))
+    return cut(per)
 
 
 def month_list(sums: DataFrame) -> list[str]:
