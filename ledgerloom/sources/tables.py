@@ -172,7 +172,8 @@ def line_feed(spark, sf_dir) -> DataFrame:
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     place = (customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
              .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
-    df = (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # both are fact tables: a sort-merge join, however small the estimate of one side looks
+    df = (li.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
           .join(part, F.col("l_partkey") == F.col("p_partkey"))
           .join(place, F.col("o_custkey") == F.col("c_custkey")))
     return df.selectExpr(*_record(LINE, [n for n, _ in _SEQ]))
