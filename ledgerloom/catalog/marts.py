@@ -183,6 +183,13 @@ def merchant_table(spark, sf):
     return marts.merchant_table(build.cube(spark, sf), ALL)
 
 
+@query("top_merchants", ["cube"], f"""
+SELECT merchant_id, {d('sum(spend)')} AS total FROM cube WHERE flow = 'spend' GROUP BY 1
+HAVING sum(spend) > 0 ORDER BY sum(spend) DESC, merchant_id LIMIT 40""")
+def top_merchants(spark, sf):
+    return marts.merchant_table(build.cube(spark, sf), ALL).select("merchant_id", "total")
+
+
 @query("recurring_table", ["cube"], f"""
 WITH rec AS (SELECT * FROM cube WHERE flow = 'spend' AND recurrence = 'recurring'),
 burden AS (SELECT merchant, round_even(avg(s), 2) AS est_monthly FROM (
