@@ -106,8 +106,11 @@ def hidden_mask(df: DataFrame, rules) -> DataFrame:
         return df.withColumn("hidden", hit)
     names = [c for c in schema.CATEGORY_LEVELS + schema.GEO_LEVELS + schema.FACETS
              + ["merchant_id", "month", "flow"] if c in df.columns]
+    # which of these few dimensions have rules at all: at most one short name per column
+    used = [r[0] for r in rules.filter(F.col("dim").isin(*names)).select("dim").distinct()
+            .orderBy("dim").collect()]
     out = df.withColumn("hidden", F.lit(False))
-    for dim in dict.fromkeys(names):
+    for dim in used:
         wanted = (rules.filter(F.col("dim") == dim).select(F.col("value").alias(dim)).distinct()
                   .withColumn("_hit", F.lit(True)))
         out = out.join(wanted, dim, "left").withColumn(

@@ -59,19 +59,18 @@ def ingest(feed: DataFrame) -> DataFrame:
 def ingest_counts(feed: DataFrame) -> DataFrame:
     """One row: loaded, duplicates dropped, settled dropped, kept, still pending.
 
-    Three aggregates over narrow columns; each is a single row before it is put together.
+    One aggregate over the feed's ids and one over the kept rows, both over narrow columns; what
+    is put together at the end is two rows.
     """
     narrow = feed.select("transaction_id", "seq", "pending", "pending_transaction_id")
-    deduped = dedupe_last(narrow)
-    kept = drop_settled_pending(deduped)
+    kept = drop_settled_pending(dedupe_last(narrow))
     one = F.lit(1)
-    counts = (narrow.agg(F.count(one).alias("n")).select(F.lit("n_loaded").alias("m"), "n")
-              .unionByName(deduped.agg(F.count(one).alias("n"))
-                           .select(F.lit("n_deduped").alias("m"), "n"))
-              .unionByName(kept.agg(F.count(one).alias("n")).select(F.lit("n_kept").alias("m"), "n"))
-              .unionByName(kept.filter("pending").agg(F.count(one).alias("n"))
-                           .select(F.lit("n_pending").alias("m"), "n")))
-    v = counts.groupBy().pivot("m", ["n_loaded", "n_deduped", "n_kept", "n_pending"]).sum("n")
+    loaded = narrow.agg(F.count(one).alias("n_loaded"),
+                        F.countDistinct(text.or_null("transaction_id")).alias("n_deduped"))
+    left = kept.agg(F.count(one).alias("n_kept"),
+                    F.count(F.when(F.col("pending"), one)).alias("n_pending"))
+    v = loaded.unionByName(left, allowMissingColumns=True).agg(*[
+        F.max(c).alias(c) for c in ("n_loaded", "n_deduped", "n_kept", "n_pending")])
     return v.select(
         "n_loaded", (F.col("n_loaded") - F.col("n_deduped")).alias("n_duplicate_ids_dropped"),
         (F.col("n_deduped") - F.col("n_kept")).alias("n_settled_pending_dropped"),
