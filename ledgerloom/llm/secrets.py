@@ -255,7 +255,7 @@ WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 hits AS ({" UNION ALL ".join(parts)}),
 placed AS (
     SELECT doc_id, ord, kind, least, ms[i] AS m,
-           list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], x -> length(x))), 0) AS s
+           list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
     FROM hits),
 kept AS (
     SELECT doc_id, ord, kind, CAST(s AS BIGINT) AS s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS span
