@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets",)
+MODULES = ("secrets", "wavelet")
 
 
 def _merged(name: str) -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,16 +56,35 @@ def spread(rows: int | Column, per: int) -> int:
     return max(1, -(-int(rows) // per))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` cut from its lineage in the shared checkpoint folder; a folder is set only where none is."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if named is None and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; one is made only where none is named."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if named is None:
-            import tempfile
+        import tempfile
 
-            named = tempfile.mkdtemp(prefix="checkpoints-")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` cut from its lineage in the shared folder."""
+    folder = shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as a table below the shared folder and read again."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
