@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets", "wavelet")
+MODULES = ("secrets", "packing", "wavelet", "counts")
 
 
 def _merged(name: str) -> dict:

@@ -30,6 +30,11 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = f"[^ -~\n{_LETTERS}]"
 
 
+def spelled(piece: str) -> str:
+    """A piece in the byte-level alphabet, one character a byte."""
+    return piece.encode().decode("latin-1").translate(_ALPHABET)
+
+
 @dataclass(frozen=True)
 class Layout:
     """odd: finds signs, and apart: strings, that make a text go to the library whole. piece: the vocabulary's pattern on
@@ -71,6 +76,7 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pieces = _Table(self.piece_ids, pieces)
         self.parts = _Table(self.part_ids, parts)
+        self.spelled_parts = _Table(lambda part: [spelled(p) for p in self.cut_part(part)], parts)
 
     def plain(self, text: str) -> bool:
         return (self.layout is not None and not self.layout.odd.search(text)
@@ -101,8 +107,13 @@ class Encoder:
 
     def piece_ids(self, piece: str) -> bytes:
         """Ids of one piece by the library's model alone."""
-        spelled = piece.encode().decode("latin-1").translate(_ALPHABET)
-        return array(self.code, [t.id for t in self.library.model.tokenize(spelled)]).tobytes()
+        return array(self.code, [t.id for t in self.library.model.tokenize(spelled(piece))]).tobytes()
+
+    def pre_tokens(self, text: str) -> list[str]:
+        """What the library itself cuts a text without special tokens into, spelled."""
+        if self.library.normalizer is not None:
+            text = self.library.normalizer.normalize_str(text)
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
 
 @cache
