@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets", "packing", "wavelet", "counts", "simhash")
+MODULES = ("secrets", "langid", "packing", "wavelet", "counts", "simhash")
 
 
 def _merged(name: str) -> dict:

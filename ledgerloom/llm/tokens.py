@@ -25,6 +25,8 @@ PARTS, PIECES = 400_000, 1_000_000  # what one Python worker keeps: some 250 MB
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = str.maketrans({b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)})
 
+_SPACE = " ".translate(_ALPHABET)
+
 # The letters and other signs of the plain range.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = f"[^ -~\n{_LETTERS}]"
@@ -32,6 +34,8 @@ _PLAIN = f"[^ -~\n{_LETTERS}]"
 
 def spelled(piece: str) -> str:
     """A piece in the byte-level alphabet, one character a byte."""
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", _SPACE)
     return piece.encode().decode("latin-1").translate(_ALPHABET)
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,6 @@ MAGIC = b"WMX1"
 HEADER = struct.Struct("<4sBQQ")  # magic, planes, ids, documents
 WORD = 512  # bits between two entries of a plane's directory
 SHARD = 1 << 20  # ids after which a shard is closed at the next end of a document
-_BITS = np.array([bin(b).count("1") for b in range(256)], np.uint8)  # ones in each byte
 
 
 class Plane:
@@ -40,10 +40,15 @@ class Plane:
 
     def __init__(self, packed: np.ndarray, size: int):
         self.packed, self.size = packed, size
-        per = _BITS[np.pad(packed, (0, -len(packed) % (WORD // 8)))].reshape(-1, WORD // 8).sum(axis=1, dtype=np.int64)
-        self.before = np.concatenate([[0], np.cumsum(per)])
-        self.ones = int(self.before[-1])
-        self.zeros = size - self.ones
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        blocks = np.pad(self.packed, (0, -len(self.packed) % (WORD // 8))).reshape(-1, WORD // 8)
+        return np.concatenate([[0], np.cumsum(np.bitwise_count(blocks).sum(axis=1, dtype=np.int64))])
+
+    @cached_property
+    def zeros(self) -> int:
+        return self.size - int(self.before[-1])
 
     def bits(self) -> np.ndarray:
         return np.unpackbits(self.packed, count=self.size, bitorder="little").view(bool)
@@ -54,9 +59,9 @@ class Plane:
     def rank(self, bit: int, at: int) -> int:
         """Bits equal to `bit` before `at`."""
         block, byte = at // WORD, at >> 3
-        ones = int(self.before[block]) + int(_BITS[self.packed[block * (WORD // 8):byte]].sum())
+        ones = int(self.before[block]) + int(np.bitwise_count(self.packed[block * (WORD // 8):byte]).sum())
         if at & 7:
-            ones += int(_BITS[self.packed[byte] & ((1 << (at & 7)) - 1)])
+            ones += (int(self.packed[byte]) & (1 << (at & 7)) - 1).bit_count()
         return ones if bit else at - ones
 
     def select(self, bit: int, k: int) -> int:
@@ -76,18 +81,19 @@ class WaveletMatrix:
     def of(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
         planes, rest = [], ids
         for level in range(width - 1, -1, -1):
-            bits = (rest >> level & 1).astype(bool)
+            bits = rest & rest.dtype.type(1 << level) != 0
             planes.append(Plane(np.packbits(bits, bitorder="little"), len(ids)))
-            rest = np.concatenate([rest[~bits], rest[bits]])
+            rest = np.concatenate([np.compress(~bits, rest), np.compress(bits, rest)])
         return cls(planes, len(ids))
 
     def ids(self) -> np.ndarray:
         """All ids: the partings of the planes undone from the last to the first."""
-        rest = np.zeros(self.size, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        rest = np.zeros(self.size, kind)
         for level, plane in enumerate(reversed(self.planes)):
-            bits, out = plane.bits(), np.empty(self.size, np.uint32)
-            out[~bits] = rest[:plane.zeros]
-            out[bits] = rest[plane.zeros:] | np.uint32(1 << level)
+            bits, out = plane.bits(), np.empty(self.size, kind)
+            out[np.flatnonzero(~bits)] = rest[:plane.zeros]
+            out[np.flatnonzero(bits)] = rest[plane.zeros:] | kind(1 << level)
             rest = out
         return rest
 
@@ -162,7 +168,7 @@ def encode_shards(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "
                   shard: int = SHARD) -> DataFrame:
     """part, shard, before (ids of the part's earlier shards), n_tokens, file. Parts and shards ascend with doc_id."""
     rows = text_rows(docs, id_col, text_col)
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(vocabulary), TaskContext.get().partitionId()
