@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets", "langid", "packing", "decontam", "wavelet", "counts", "simhash")
+MODULES = ("secrets", "langid", "packing", "hosts", "decontam", "wavelet", "counts", "simhash")
 
 
 def _merged(name: str) -> dict:
