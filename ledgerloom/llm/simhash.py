@@ -27,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_slices, record, slices, stored, table, text_rows
@@ -222,6 +222,16 @@ def groups(docs: DataFrame, words: int, limit: int, id_col: str = "doc_id", text
     return found.join(named.join(least, "root").select("fp", "component_id"), "fp")
 
 
+def keep_first(docs: DataFrame, words: int, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group the row of the least id (a null id is least), and of rows with that id the one of the least text."""
+    rank = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)))
+    found = groups(docs.select(rank.alias("doc_id"), docs[text_col].alias("text")), words, limit)
+    firsts = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_rank")).distinct()
+    twin = F.row_number().over(Window.partitionBy("_rank").orderBy(text_col))
+    kept = docs.withColumn("_rank", rank).join(firsts, "_rank", "left_semi").withColumn("_twin", twin)
+    return kept.filter("_twin = 1").select(*docs.columns)
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles and their groups at 2 bits or fewer."""
     found = groups(table(spark, sf_dir, "documents"), words=3, limit=2)
