@@ -35,7 +35,9 @@ from ledgerloom.llm.components import components
 
 BITS = 64
 SAMPLE = 4000  # fingerprints that the partitions are fitted on
-BUCKET = 1000  # rows of a bucket that are compared in one task
+BUCKET = 4000  # rows of a bucket that are compared in one task
+BALL = 5000  # values that the ball of a fingerprint may hold
+DENSE = 256  # rows up to which a bucket is compared in one array
 VERIFY = 0.02  # cost of a candidate in a bucket, a probe's being 1
 
 
@@ -152,6 +154,10 @@ def _probes(nodes: DataFrame, parts: list[Partition]) -> DataFrame:
 
 def _forest(fps: np.ndarray, own: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links between rows of a bucket of which one at least stands in it."""
+    if len(fps) <= DENSE:  # mostly without a link, which one comparison of all shows
+        close = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= limit) & (own[:, None] | own[None, :])
+        if close.sum() == np.count_nonzero(own):
+            return
     todo = np.ones(len(fps), bool)
     for start in range(len(fps)):
         if not todo[start]:
@@ -207,8 +213,17 @@ def links(nodes: DataFrame, limit: int, bucket: int = BUCKET) -> DataFrame:
     buckets = (probes.join(large, ["part", "key"], "left_anti").groupBy("part", "key")
                .agg(F.collect_list("fp").alias("fps"), F.collect_list("own").alias("owns"))
                .filter("size(fps) > 1 AND array_contains(owns, true)"))
-    rest = probes.join(large, ["part", "key"], "left_semi").select("fp").distinct()
-    return _bucket_links(buckets, limit).union(_ball_links(rest, limit))
+    found = _bucket_links(buckets, limit)
+    if sum(comb(BITS, j) for j in range(-(-limit // 2) + 1)) <= BALL:
+        rest = probes.join(large, ["part", "key"], "left_semi").select("fp").distinct()
+        return found.union(_ball_links(rest, limit))
+    blocks = F.ceil(F.col("count") / (bucket / 2)).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    pairs = (probes.join(large, ["part", "key"]).withColumn("blocks", blocks).withColumn("mine", mine)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .groupBy("part", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+             .agg(F.collect_list("fp").alias("fps"), F.collect_list("own").alias("owns")))
+    return found.union(_bucket_links(pairs, limit))
 
 
 def groups(docs: DataFrame, words: int, limit: int, id_col: str = "doc_id", text_col: str = "text",
