@@ -115,8 +115,7 @@ def allot(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 def fit(sample: np.ndarray, rows: int, limit: int) -> list[Partition]:
     """Partitions and thresholds for `rows` fingerprints, from a sample of them (uint64)."""
-    if not len(sample):
-        return [Partition(tuple(range(BITS)), limit)]
+    sample = sample if len(sample) else np.zeros(1, np.uint64)
     bits = np.unpackbits(sample.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
     half = len(sample) // 2
     differ = (sample[:half, None][:1000] ^ sample[None, half:][:, :1000]).ravel()
