@@ -6,6 +6,7 @@ from ledgerloom.sources import tables
 QUERIES = {}
 ORACLES = {}
 CTES = {}
+KEPT = ("deduped", "settled", "cube")  # wide results that several parts of a statement read
 
 
 def cte(name, needs, sql):
@@ -24,7 +25,7 @@ def with_ctes(needs, sql):
 
     for name in needs:
         visit(name)
-    head = ",\n".join(f"{n} AS (\n{CTES[n][1].strip()}\n)" for n in order)
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in KEPT else ''}(\n{CTES[n][1].strip()}\n)" for n in order)
     body = sql.strip()
     glue = "" if body.startswith(",") else "\n"
     return f"WITH {head}{glue}{body}" if order else body
@@ -185,9 +186,9 @@ SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY transactio
   FROM feed) WHERE rn = 1""")
 
 cte("settled", ["deduped"], """
-SELECT * FROM deduped d WHERE NOT (pending AND transaction_id IN (
-  SELECT pending_transaction_id FROM deduped WHERE NOT pending
-  AND pending_transaction_id IS NOT NULL))""")
+SELECT d.* FROM deduped d LEFT JOIN (SELECT DISTINCT pending_transaction_id AS ref FROM deduped
+  WHERE NOT pending AND pending_transaction_id IS NOT NULL) r
+  ON d.pending AND d.transaction_id = r.ref WHERE r.ref IS NULL""")
 
 cte("atoms_base", [], values([(p, a) for p, a in fixed.atom_pairs()], "primary_, atom"))
 cte("menu", [], values([(i, p, a) for i, (p, a) in enumerate(fixed.menu_pairs())],

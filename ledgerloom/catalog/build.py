@@ -1,15 +1,30 @@
-"""Spark side of the shared intermediate results that the registered queries start from."""
+"""Spark side of the shared intermediate results that the registered queries start from.
+
+Deduplicated rows, settled rows and the cube are each written once a session and input folder, as a
+store that many jobs read is; later queries scan the columns they need.
+"""
 
 from ledgerloom.operators import enrich, ingest
+from ledgerloom.plans import lineage
 from ledgerloom.sources import tables
 
+_STORES = {}
+
+
+def kept(spark, sf, name, build):
+    """The stored result of `build`, written when it is first asked for."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORES:
+        _STORES[key] = lineage.stored(build(), name)
+    return _STORES[key]
+
 
 def deduped(spark, sf):
-    return ingest.dedupe_last(tables.feed(spark, sf))
+    return kept(spark, sf, "deduped", lambda: ingest.dedupe_last(tables.feed(spark, sf)))
 
 
 def settled(spark, sf):
-    return ingest.drop_settled_pending(deduped(spark, sf))
+    return kept(spark, sf, "settled", lambda: ingest.drop_settled_pending(deduped(spark, sf)))
 
 
 def canon(spark, sf):
@@ -17,5 +32,6 @@ def canon(spark, sf):
 
 
 def cube(spark, sf, with_recurrence=False):
-    return enrich.enrich(canon(spark, sf), tables.accounts(spark, sf),
-                         with_recurrence=with_recurrence)
+    name = "cube-recurrence" if with_recurrence else "cube"
+    return kept(spark, sf, name, lambda: enrich.enrich(
+        canon(spark, sf), tables.accounts(spark, sf), with_recurrence=with_recurrence))

@@ -16,7 +16,7 @@ ALL = GroupingSpec()
 
 
 @query("cash_flow", ["cube"], M("""
-SELECT month, INCOME AS income, SPEND AS spend, INCOME - SPEND AS savings,
+SELECT month, INCOME AS income, SPEND AS spend, CAST(sum(income) - sum(spend) AS DOUBLE) AS savings,
   CAST(sum(sum(income) - sum(spend)) OVER (ORDER BY month NULLS LAST) AS DOUBLE) AS cumulative_net
 FROM cube GROUP BY 1"""))
 def cash_flow(spark, sf):

@@ -356,17 +356,14 @@ def orphan_intents(spark, sf):
 
 
 @query("intent_log_merge", ["log"], """
-SELECT id, action, row_number() OVER (ORDER BY part, seq) AS place FROM (
+SELECT id, action, part, seq FROM (
   SELECT 0 AS part, * FROM log WHERE seq % 3 <> 0 UNION ALL
   SELECT 1, * FROM log WHERE seq % 3 = 0 AND seq % 2 = 0 OR (seq % 4 = 0 AND seq % 3 = 0))""")
 def intent_log_merge(spark, sf):
     both = log(spark, sf)
     remote = both.filter("seq % 3 <> 0")
     local = both.filter("seq % 2 = 0 OR seq % 4 = 0")
-    from pyspark.sql import Window
-    merged = intents.intent_log_merge(local, remote)
-    return merged.select("id", "action", F.row_number().over(Window.orderBy("seq"))
-                         .cast("long").alias("place"))
+    return intents.intent_log_merge(local, remote).select("id", "action", "part", "seq")
 
 
 LBL = f"coalesce(nullif({norm_sql('snm')}, ''), sne, '(unknown)')"

@@ -71,15 +71,15 @@ def atoms(spark) -> DataFrame:
     return with_tiers(literal(spark, fixed.atom_pairs(), "primary string, detailed string"))
 
 
-def valid_overrides(rows):
-    """Ordered (regex, tier1, tier2) without those the regex engine refuses."""
-    import re
+def valid_overrides(spark, rows):
+    """Ordered (regex, tier1, tier2) without those that the engine which runs them refuses."""
+    from pyspark.errors import IllegalArgumentException
 
     good = []
     for row in rows:
         try:
-            re.compile(row[0])
-        except re.error:
+            spark._jvm.java.util.regex.Pattern.compile(row[0])
+        except IllegalArgumentException:
             continue
         good.append(row)
     return good
@@ -111,21 +111,20 @@ def well_formed(entry) -> bool:
     return kind in ("pos_prefix", "website", "keyword")
 
 
-BUILT_IN_ORD = 1 << 40
-
-
 def overlay_rules(overlay: DataFrame, built_in: DataFrame) -> DataFrame:
     """Overlay rules before the built-in ones of each kind; malformed entries left out.
 
-    Order is kept by offsetting the built-in positions, so an overlay of any size needs no sort.
+    `ord` is (part, position): part 0 is the overlay, so one of any size needs no sort.
     """
     cols = ["kind", "pattern", "primary", "detailed", "trust", "origin"]
     ok = overlay.filter(F.col("pattern").isNotNull() & F.col("primary").isNotNull()
                         & F.col("detailed").isNotNull() & F.col("trust").isNotNull()
                         & F.col("kind").isin("pos_prefix", "website", "keyword"))
-    return (ok.withColumn("origin", F.lit("personal")).select(F.col("ord").cast("long"), *cols)
-            .unionByName(built_in.select((F.col("ord") + F.lit(BUILT_IN_ORD)).alias("ord"),
-                                         *cols)))
+    def placed(part):
+        return F.struct(F.lit(part).alias("part"), F.col("ord").cast("long").alias("place"))
+
+    return (ok.withColumn("origin", F.lit("personal")).select(placed(0).alias("ord"), *cols)
+            .unionByName(built_in.select(placed(1).alias("ord"), *cols)))
 
 
 def rule_id(kind="kind", pattern="pattern"):

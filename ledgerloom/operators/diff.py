@@ -94,14 +94,19 @@ def unresolved_conflicts(report: DataFrame, golden: DataFrame | None = None,
 
 
 class GateError(Exception):
-    """A check that must hold before anything is written does not."""
+    """A check that must hold before anything is written does not; `rows` are those against it."""
+
+    def __init__(self, message, rows=None):
+        super().__init__(message)
+        self.rows = rows
 
 
 def gate_empty(bad: DataFrame, what: str, key="transaction_id") -> None:
-    """Stops the job when `bad` has rows; shows the first few ids."""
+    """Stops the job when `bad` has rows; tells how many and the first ids, and hands on them all."""
     first = [str(r[0]) for r in bad.select(key).orderBy(key).limit(5).collect()]
     if first:
-        raise GateError(f"{what}: {', '.join(first)} ...; nothing was written")
+        raise GateError(f"{what}: {bad.count()} rows, {', '.join(first)} first; nothing was written",
+                        bad)
 
 
 def unresolved_gate(report: DataFrame, golden: DataFrame | None = None) -> None:
@@ -273,13 +278,13 @@ def owner_backfill(df: DataFrame, owner: str) -> DataFrame:
 
 
 def owner_filter(df: DataFrame, owner: str | None) -> DataFrame:
-    """Rows of one owner; an unknown owner is an error that names known ones."""
+    """Rows of one owner; an unknown owner is an error that names all others."""
     if owner is None:
         return df
     mine = df.filter(F.col("txn_owner") == owner)
     if mine.limit(1).count() == 0:
-        known = [r[0] for r in df.select("txn_owner").distinct().orderBy("txn_owner").limit(20)
-                 .collect() if r[0]]
+        known = [r[0] for r in df.filter(text.blank("txn_owner") != "").select("txn_owner")
+                 .distinct().orderBy("txn_owner").collect()]
         raise ValueError(f"unknown owner {owner!r}; known owners: {', '.join(known)}")
     return mine
 

@@ -31,7 +31,8 @@ def resolve_taxonomy(df: DataFrame, atom_dim: DataFrame | None = None,
 
 def merchant_override(df: DataFrame, overrides=None) -> DataFrame:
     """First rule that fully matches the entity id or is found in the merchant name."""
-    rules = dims.valid_overrides(fixed.MERCHANT_OVERRIDES if overrides is None else overrides)
+    rules = dims.valid_overrides(
+        df.sparkSession, fixed.MERCHANT_OVERRIDES if overrides is None else overrides)
     picked = F.lit(None).cast("struct<tier1:string,tier2:string>")
     for regex, one, two in reversed(rules):
         hit = (F.coalesce(F.col("merchant_name").rlike(regex)

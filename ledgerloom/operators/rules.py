@@ -79,33 +79,77 @@ def keyword_table_match(df: DataFrame, rules: DataFrame, key="transaction_id") -
 
     Texts and keywords meet in an equi-join on the keyword's run of tokens, so a row only ever
     sees rules whose tokens it holds; the exact boundary test then runs on those candidates.
-    Keywords without a letter or digit never match here.
+    Keywords without a letter or digit meet the texts by their first characters instead.
     """
-    kw = rules.filter("kind = 'keyword'").select(
-        F.array_join(_tokens(F.lower("pattern")), " ").alias("_gram"), "ord", "pattern",
-        "primary", "detailed", "trust", F.size(_tokens(F.lower("pattern"))).alias("_n"))
-    kw = kw.filter("_n > 0")
+    kw = rules.filter("kind = 'keyword'").withColumn(
+        "_gram", F.array_join(_tokens(F.lower("pattern")), " ")).withColumn(
+        "_n", F.size(_tokens(F.lower("pattern"))))
+    signs = _substrings(df, kw.filter("_n = 0"), WORD_TEXT, F.col("pattern"), key)
+    kw = kw.filter("_n > 0").select("_gram", "ord", "pattern", "primary", "detailed", "trust", "_n")
     sizes = [r[0] for r in kw.select("_n").distinct().collect()]  # a handful of phrase lengths
     words = df.select(key, F.expr(WORD_TEXT).alias("_text"))
     words = words.withColumn("_t", _tokens(F.col("_text")))
-    grams = [_grams(F.col("_t"), n) for n in sorted(sizes)]
-    if not grams:
-        return df.select(key, F.lit(None).cast(HIT).alias("_kw")).limit(0)
+    grams = [_grams(F.col("_t"), n) for n in sorted(sizes)] or [F.array().cast("array<string>")]
     bag = F.explode(F.array_distinct(F.concat(*grams)))
-    meant = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("pattern"), F.lit(r"\E(?![a-z0-9])"))
     found = (words.select(key, "_text", bag.alias("_gram")).join(kw, "_gram")
-             .filter(F.regexp_like("_text", meant)))
+             .select(key, "_text", "ord", "pattern", "primary", "detailed", "trust"))
+    meant = F.concat(F.lit(r"(?<![a-z0-9])\Q"),
+                     F.replace("pattern", F.lit(r"\E"), F.lit(r"\E\\E\Q")),
+                     F.lit(r"\E(?![a-z0-9])"))
+    return _best(found.unionByName(signs).filter(F.regexp_like("_text", meant)), key,
+                 F.concat(F.lit("keyword:"), F.col("_r.pattern"))).withColumnRenamed("_hit", "_kw")
+
+
+LEAD = 3
+
+
+def _substrings(df: DataFrame, rules: DataFrame, text_sql: str, needle: Column, key) -> DataFrame:
+    """(key, _text, rule columns) where the text holds the needle; both meet on its first characters."""
+    own = rules.withColumn("_needle", needle).select(
+        F.substring("_needle", 1, LEAD).alias("_lead"), "_needle", "ord", "pattern", "primary",
+        "detailed", "trust")
+    sizes = [r[0] for r in own.select(F.length("_lead")).distinct().collect()]  # 0 to LEAD
+    words = df.select(key, F.expr(text_sql).alias("_text"))
+    none, size = F.array().cast("array<string>"), F.length("_text")
+
+    def heads(n):
+        runs = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring("_text", i, F.lit(n)))
+        return F.when(size >= n, runs).otherwise(none)
+
+    leads = [heads(n) for n in sizes if n is not None]
+    bag = F.explode(F.array_distinct(F.concat(*(leads or [none]))))
+    return (words.select(key, "_text", bag.alias("_lead")).join(own, "_lead")
+            .filter(F.contains("_text", "_needle"))
+            .select(key, "_text", "ord", "pattern", "primary", "detailed", "trust"))
+
+
+def _best(found: DataFrame, key, rule_name: Column) -> DataFrame:
+    """(key, _hit): the first of the found rules by `ord`."""
     best = found.groupBy(key).agg(F.min_by(
         F.struct("primary", "detailed", "pattern", "trust"), "ord").alias("_r"))
-    legal = dims.category_menu(df.sparkSession).select(
+    legal = dims.category_menu(found.sparkSession).select(
         F.col("primary").alias("_mp"), F.col("detailed").alias("_md"), F.lit(True).alias("_ok"))
     best = best.join(F.broadcast(legal), (F.col("_r.primary") == F.col("_mp"))
                      & (F.col("_r.detailed") == F.col("_md")), "left")
     hit = F.struct(F.col("_r.primary").alias("primary"), F.col("_r.detailed").alias("detailed"),
-                   F.concat(F.lit("keyword:"), F.col("_r.pattern")).alias("rule_name"),
-                   F.lit("MEDIUM").alias("confidence"), F.col("_r.trust").alias("trust"),
-                   F.coalesce("_ok", F.lit(False)).alias("ok")).cast(HIT)
-    return best.select(key, hit.alias("_kw"))
+                   rule_name.alias("rule_name"), F.lit("MEDIUM").alias("confidence"),
+                   F.col("_r.trust").alias("trust"), F.coalesce("_ok", F.lit(False)).alias("ok"))
+    return best.select(key, hit.cast(HIT).alias("_hit"))
+
+
+def pos_table_match(df: DataFrame, rules: DataFrame, key="transaction_id") -> DataFrame:
+    """(key, hit) of the first matching text prefix of a rule table."""
+    found = _substrings(df, rules.filter("kind = 'pos_prefix'"), POS_TEXT, F.lower("pattern"), key)
+    shown = F.regexp_replace(F.lower("_r.pattern"), r"\*+$", "")
+    return _best(found, key, F.concat(F.lit("pos:"), shown)).withColumnRenamed("_hit", "_pt")
+
+
+def website_table_match(df: DataFrame, rules: DataFrame, key="transaction_id") -> DataFrame:
+    """(key, hit) of the first matching domain of a rule table."""
+    found = _substrings(df, rules.filter("kind = 'website'"), _lower("website"), F.col("pattern"),
+                        key)
+    return _best(found, key, F.concat(F.lit("website:"), F.col("_r.pattern"))) \
+        .withColumnRenamed("_hit", "_wt")
 
 
 def memory_keys():
@@ -164,15 +208,22 @@ def rule_cascade(df: DataFrame, memory: DataFrame | None = None, overlay=(),
     rules = [r for r in overlay if dims.well_formed(r)] + list(fixed.RULES)
     out = memory_lookup(df, memory) if memory is not None else df.withColumn(
         "_mem", F.lit(None).cast(HIT))
-    word = keyword_match(rules)
+    pos, web, word = pos_prefix_match(rules), website_match(rules), keyword_match(rules)
     if keyword_table is not None:
-        out = out.join(keyword_table_match(df, keyword_table), "transaction_id", "left")
-        word = F.coalesce("_kw", word)
-    out = out.withColumns({"_pos": pos_prefix_match(rules), "_web": website_match(rules),
-                           "_word": word})
+        kinds = {r[0] for r in keyword_table.select("kind").distinct().collect()}
+        if "pos_prefix" in kinds:
+            out = out.join(pos_table_match(df, keyword_table), "transaction_id", "left")
+            pos = F.coalesce("_pt", pos)
+        if "website" in kinds:
+            out = out.join(website_table_match(df, keyword_table), "transaction_id", "left")
+            web = F.coalesce("_wt", web)
+        if "keyword" in kinds:
+            out = out.join(keyword_table_match(df, keyword_table), "transaction_id", "left")
+            word = F.coalesce("_kw", word)
+    out = out.withColumns({"_pos": pos, "_web": web, "_word": word})
     first = F.coalesce(*[F.when(F.col(c)["ok"], F.col(c)) for c in ("_mem", "_pos", "_web",
                                                                    "_word")])
-    return compute_once(out, "hit", first).drop("_mem", "_pos", "_web", "_word", "_kw")
+    return compute_once(out, "hit", first).drop("_mem", "_pos", "_web", "_word", "_pt", "_wt", "_kw")
 
 
 def rule_catalog(rules: DataFrame) -> DataFrame:

@@ -1,24 +1,37 @@
 """Cutting lineage so that a result with several readers is computed once."""
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that spark.checkpoint.dir names.
+def shared_folder(spark) -> str:
+    """The shared folder that spark.checkpoint.dir names.
 
     Only a single-machine session may go without the setting; it gets a folder of its own. A
     cluster session without one is refused, as a machine-local copy is lost with its executor.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-            "spark.checkpoint.dir")
-        if not folder and sc.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="ledgerloom-")
-        if not folder:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = (spark.conf.get("spark.checkpoint.dir", None)
+              or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir())
+    if not folder and sc.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="ledgerloom-")
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as a table below the shared folder and read again, for many later readers."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

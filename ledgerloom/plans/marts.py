@@ -94,8 +94,7 @@ def rolling_total(sums: DataFrame, window: int, hidden=(), level="tier1") -> Dat
 
 def heat_scale(df: DataFrame, column: str, midpoint=None, out="intensity") -> DataFrame:
     """Min-max intensity of a column of a result table, or signed distance from a midpoint."""
-    every = Window.partitionBy(F.lit(1))
-    lo, hi = F.min(column).over(every), F.max(column).over(every)
+    lo, hi = df.agg(F.min(column)).scalar(), df.agg(F.max(column)).scalar()
     if midpoint is None:
         span = hi - lo
         t = (F.col(column) - lo) / F.when(span != 0, span).otherwise(1.0)

@@ -69,6 +69,30 @@ def test_given_a_rule_table_when_matched_then_equal_to_the_literal_chain(spark,
     assert long == {k: v for k, v in chain.items() if v}
 
 
+def test_given_all_kinds_in_a_rule_table_when_cascaded_then_equal_to_the_list(spark, make):
+    rules_ = [("pos_prefix", "SQX*", COFFEE, "auto"), ("pos_prefix", "q", GOODS, "flag"), ("website", "shop.test", COFFEE, "auto"),
+              ("keyword", "!!", COFFEE, "auto"), ("keyword", r"a\\Eb", GOODS, "auto"), ("keyword", "plain", COFFEE, "flag")]
+    table = spark.createDataFrame([(k, i, p, *c, t) for i, (k, p, c, t) in enumerate(rules_)],
+                                  "kind string, ord int, pattern string, primary string, detailed string, trust string")
+    df = make(*[{"transaction_id": str(i), "merchant_name": m, "name": n, "original_description": None, "website": w}
+                for i, (m, n, w) in enumerate([("zz", "SQX* STORE", None), ("zz", "zq", ""), ("zz", "z", "www.shop.test/x"),
+                                               ("wow !! yes", "z", None), ("wow!!yes", "z", None), (r"a\\Eb", "z", None),
+                                               ("plain", "z", None), ("none", "z", None)])])
+    listed = rows(rules.rule_cascade(df, overlay=rules_).select("transaction_id", "hit.rule_name", "hit.primary"))
+    assert sorted(map(str, listed)) == sorted(map(str, rows(
+        rules.rule_cascade(df, keyword_table=table).select("transaction_id", "hit.rule_name", "hit.primary"))))
+    assert sum(r[1] is not None for r in listed) >= 5
+
+
+def test_given_a_log_merged_twice_when_ordered_then_later_entries_stay_later(spark):
+    def log(*entries):
+        return spark.createDataFrame(entries, "id string, seq long, action string")
+
+    once = intents.intent_log_merge(log(("b", 1, "edit"), ("c", 2, "edit")), log(("a", 5, "edit")))
+    twice = intents.intent_log_merge(log(("d", 1, "edit"), ("a", 5, "edit")), once)
+    assert [r[0] for r in twice.orderBy("part", "seq", "id").collect()] == ["a", "b", "c", "d"]
+
+
 CASES = [
     # rule, reviewer, confidence, amount, authority, current -> action, source
     ((COFFEE, "auto"), None, "HIGH", 5, "flag", GOODS, "apply", "mechanical"),
