@@ -204,10 +204,10 @@ def recurring_table(spark, sf):
 
 
 @query("merchant_series", ["cube"], f"""
-SELECT month, {d('sum(spend)')} AS spend FROM cube WHERE flow = 'spend' AND merchant = 'Uber Eats'
+SELECT month, {d('sum(spend)')} AS spend FROM cube WHERE flow = 'spend' AND merchant = 'Netflix.com'
   AND month IS NOT NULL GROUP BY 1""")
 def merchant_series(spark, sf):
-    return marts.merchant_series(build.cube(spark, sf), ALL, "Uber Eats")
+    return marts.merchant_series(build.cube(spark, sf), ALL, "Netflix.com")
 
 
 @query("recurring_next", ["cube"], """

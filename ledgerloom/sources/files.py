@@ -31,21 +31,21 @@ def split_rejects(rows: DataFrame, key: str = "transaction_id"):
 def read_jsonl_xz(spark: SparkSession, paths, ddl: str = schema.TXN_DDL) -> DataFrame:
     """xz archives of JSON lines: Spark has no codec for xz, so tasks unpack whole files.
 
-    One file goes to one task, because an xz stream cannot be split; each file is read as a
-    stream of lines, so a task never holds more than a batch of it.
+    One file goes to one task, because an xz stream cannot be split; Spark reads it from whatever
+    store it is in, and it is unpacked as a stream of lines, a batch of them at a time.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    names = (spark.read.format("binaryFile").load(paths).select("path"))
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
 
     def unpack(batches):
+        import io
         import lzma
 
         import pandas as pd
 
         for batch in batches:
-            for path in batch["path"]:
-                local = path[5:] if path.startswith("file:") else path
-                with lzma.open(local, "rt", encoding="utf-8") as lines:
+            for path, content in zip(batch["path"], batch["content"]):
+                with lzma.open(io.BytesIO(content), "rt", encoding="utf-8") as lines:
                     part = []
                     for line in lines:
                         part.append(line)
@@ -55,7 +55,7 @@ def read_jsonl_xz(spark: SparkSession, paths, ddl: str = schema.TXN_DDL) -> Data
                     if part:
                         yield pd.DataFrame({"value": part, "_file": path})
 
-    lines = names.mapInPandas(unpack, "value string, _file string")
+    lines = files.mapInPandas(unpack, "value string, _file string")
     return parse_lines(lines, "value", ddl)
 
 
