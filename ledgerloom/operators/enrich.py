@@ -190,10 +190,14 @@ def recurrence(df: DataFrame) -> DataFrame:
 
     Only the few recurring merchants are joined back, so the side that meets the facts is small.
     """
-    rec = recurring_merchants(df).select("merchant_id", F.lit(True).alias("_rec"))
-    return df.join(rec, "merchant_id", "left").withColumn(
+    rec = recurring_merchants(df).select(F.col("merchant_id").alias("_rm"),
+                                         F.lit(True).alias("_rec"))
+    # rows without a merchant match nothing: they are spread, not sent to one task
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("transaction_id"), F.lit(4096)).cast("string"))
+    key = F.when(F.coalesce("merchant_id", F.lit("")).isin("", "unknown"), spread).otherwise(F.col("merchant_id"))
+    return df.withColumn("_mk", key).join(rec, F.col("_mk") == F.col("_rm"), "left").withColumn(
         "recurrence", F.when(F.col("_rec") & (F.col("flow") == "spend"), "recurring")
-        .otherwise("one-off")).drop("_rec")
+        .otherwise("one-off")).drop("_rec", "_mk", "_rm")
 
 
 def enrich(txns: DataFrame, accounts: DataFrame, atom_dim=None, overrides=None, globs=None,

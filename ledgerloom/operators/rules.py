@@ -40,10 +40,10 @@ WORD_TEXT = ("lower(concat_ws(' ', nullif(merchant_name, ''), nullif(name, ''),
              "nullif(original_description, '')))")
 
 
-def pos_prefix_match(rules) -> Column:
+def pos_prefix_match(rules, text_sql=POS_TEXT) -> Column:
     """First prefix, lower-cased, found anywhere in name and description."""
     mine = [r for r in rules if r[0] == "pos_prefix"]
-    return _chain("pos", mine, lambda p: f"contains({POS_TEXT}, {_sql(p.lower())})")
+    return _chain("pos", mine, lambda p: f"contains({text_sql}, {_sql(p.lower())})")
 
 
 def website_match(rules) -> Column:
@@ -52,13 +52,13 @@ def website_match(rules) -> Column:
     return _chain("website", mine, lambda p: f"contains({_lower('website')}, {_sql(p)})")
 
 
-def keyword_match(rules) -> Column:
+def keyword_match(rules, text_sql=WORD_TEXT) -> Column:
     """First keyword standing as a whole token in merchant name, name and description."""
     mine = [r for r in rules if r[0] == "keyword"]
 
     def test(p):
         regex = r"(?<![a-z0-9])" + text.java_quote(p) + r"(?![a-z0-9])"
-        return f"(contains({WORD_TEXT}, {_sql(p)}) AND {WORD_TEXT} RLIKE {_sql(regex)})"
+        return f"(contains({text_sql}, {_sql(p)}) AND {text_sql} RLIKE {_sql(regex)})"
 
     return _chain("keyword", mine, test)
 
@@ -208,7 +208,10 @@ def rule_cascade(df: DataFrame, memory: DataFrame | None = None, overlay=(),
     rules = [r for r in overlay if dims.well_formed(r)] + list(fixed.RULES)
     out = memory_lookup(df, memory) if memory is not None else df.withColumn(
         "_mem", F.lit(None).cast(HIT))
-    pos, web, word = pos_prefix_match(rules), website_match(rules), keyword_match(rules)
+    # every rule looks at the same two texts, which are put together once a row
+    out = compute_once(out, "_texts", F.struct(F.expr(POS_TEXT).alias("pos"), F.expr(WORD_TEXT).alias("word")))
+    pos, web = pos_prefix_match(rules, "_texts.pos"), website_match(rules)
+    word = keyword_match(rules, "_texts.word")
     if keyword_table is not None:
         kinds = {r[0] for r in keyword_table.select("kind").distinct().collect()}
         if "pos_prefix" in kinds:
@@ -223,7 +226,8 @@ def rule_cascade(df: DataFrame, memory: DataFrame | None = None, overlay=(),
     out = out.withColumns({"_pos": pos, "_web": web, "_word": word})
     first = F.coalesce(*[F.when(F.col(c)["ok"], F.col(c)) for c in ("_mem", "_pos", "_web",
                                                                    "_word")])
-    return compute_once(out, "hit", first).drop("_mem", "_pos", "_web", "_word", "_pt", "_wt", "_kw")
+    return compute_once(out, "hit", first).drop("_mem", "_pos", "_web", "_word", "_pt", "_wt", "_kw",
+                                             "_texts")
 
 
 def rule_catalog(rules: DataFrame) -> DataFrame:
