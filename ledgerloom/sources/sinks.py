@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
+from ledgerloom.plans import lineage
 
 
 class SnapshotStore:
@@ -34,6 +35,17 @@ class SnapshotStore:
                 found.append(int(name.split("=", 1)[1]))
         return sorted(found)
 
+    def _claim(self) -> int:
+        """A number above all complete ones that no other writer has."""
+        jvm = self.spark._jvm
+        version = (self.versions() or [0])[-1] + 1
+        claims = jvm.org.apache.hadoop.fs.Path(self.path, "_claims")
+        fs = claims.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(claims)
+        while not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(claims, str(version))):
+            version += 1
+        return version
+
     def read(self, version: int | None = None) -> DataFrame | None:
         """The store as of a snapshot number, or now; None when nothing was written yet."""
         known = self.versions()
@@ -44,9 +56,11 @@ class SnapshotStore:
         return self.spark.read.parquet(self._dir(version))
 
     def write(self, df: DataFrame, version: int | None = None, sort=("date", "transaction_id")):
-        """A new snapshot, its files ranged by date and sorted inside; returns its number."""
-        known = self.versions()
-        version = (known[-1] + 1 if known else 1) if version is None else version
+        """A new snapshot, its files ranged by date and sorted inside; returns its number.
+
+        Without a number the next free one is claimed, so that two writers never share one.
+        """
+        version = self._claim() if version is None else version
         keys = [c for c in sort if c in df.columns]
         out = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
         out.write.mode("overwrite").parquet(self._dir(version))
@@ -57,6 +71,56 @@ class SnapshotStore:
         return self.write(self.read(version))
 
 
+class MonthStore:
+    """Rows in one folder a month of `date`; a change rewrites the months it touches and no others.
+
+    Readers that filter on `store_month` open only those folders. Rows without a date share a folder.
+    """
+
+    MONTH = "store_month"
+
+    def __init__(self, spark: SparkSession, path: str, key="transaction_id", date="date"):
+        self.spark, self.path, self.key, self.date = spark, path.rstrip("/"), key, date
+
+    def _dated(self, df: DataFrame) -> DataFrame:
+        month = F.coalesce(F.date_format(F.col(self.date), "yyyy-MM"), F.lit("none"))
+        return df.withColumn(self.MONTH, month)
+
+    def write(self, df: DataFrame) -> None:
+        """Replaces the months that `df` has rows of."""
+        (self._dated(df).repartition(self.MONTH, F.pmod(F.xxhash64(self.key), F.lit(8)))
+         .sortWithinPartitions(self.MONTH, self.date, self.key).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(self.MONTH).parquet(self.path))
+
+    def read(self, first: str | None = None, last: str | None = None) -> DataFrame:
+        """The store, or its months from `first` to `last` (yyyy-MM, both included)."""
+        df = self.spark.read.option("mergeSchema", "false").parquet(self.path)
+        df = df.withColumn(self.MONTH, F.col(self.MONTH).cast("string"))
+        if first is not None:
+            df = df.filter(F.col(self.MONTH) >= first)
+        return df if last is None else df.filter(F.col(self.MONTH) <= last)
+
+    def upsert(self, fresh: DataFrame) -> list[str]:
+        """Rows of `fresh` over those with their key; returns the months that were rewritten."""
+        store, fresh = self.read(), self._dated(lineage.cut(fresh))
+        keys = fresh.select(self.key)
+        moved = store.select(self.key, self.MONTH).join(keys, self.key, "left_semi")
+        touched = sorted(r[0] for r in moved.select(self.MONTH).union(fresh.select(self.MONTH))
+                         .distinct().collect())  # months, not rows
+        kept = store.filter(F.col(self.MONTH).isin(touched)).join(keys, self.key, "left_anti")
+        out = lineage.cut(kept.unionByName(fresh, allowMissingColumns=True))
+        left = {r[0] for r in out.select(self.MONTH).distinct().collect()}
+        self.write(out.drop(self.MONTH))
+        for month in touched:
+            if month not in left:
+                self._drop(month)
+        return touched
+
+    def _drop(self, month: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path, f"{self.MONTH}={month}")
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_flat_csv(df: DataFrame, path: str, columns, date="date") -> None:
     """Flat CSV in a fixed column order, text guarded against formulas, rows in a fixed order."""
     flat = text.csv_safe_frame(df.select(*columns))

@@ -8,7 +8,7 @@ from ledgerloom import dims
 from ledgerloom.functions import text
 from ledgerloom.operators import cube, enrich, ingest, project
 from ledgerloom.sources import files
-from ledgerloom.sources.sinks import SnapshotStore, append_log, write_flat_csv
+from ledgerloom.sources.sinks import MonthStore, SnapshotStore, append_log, write_flat_csv
 
 LINES = [
     '{"transaction_id": "a", "amount": 1.0, "date": "2026-01-01"}', "", "{broken",
@@ -179,6 +179,32 @@ def test_given_snapshots_when_restored_then_old_rows_are_newest(spark, make, tmp
         store.read(9)
 
 
+def test_given_two_writers_when_snapshots_are_numbered_then_none_is_shared(spark, make, tmp_path):
+    one, two = SnapshotStore(spark, str(tmp_path / "s")), SnapshotStore(spark, str(tmp_path / "s"))
+    assert one._claim() != two._claim()
+    number = one.write(make({"transaction_id": "a"}))
+    assert one.versions() == [number] and number > 2
+
+
+def test_given_a_month_store_when_changed_then_only_its_months_are_rewritten(spark, make, tmp_path):
+    store = MonthStore(spark, str(tmp_path / "m"))
+    store.write(make({"transaction_id": "a", "date": "2026-01-05"}, {"transaction_id": "b", "date": "2026-02-05"},
+                     {"transaction_id": "c", "date": "2026-03-05"}, {"transaction_id": "d", "date": None}))
+    before = {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "m").glob("*/*.parquet")}
+    assert set(before) == {f"store_month={m}" for m in ("2026-01", "2026-02", "2026-03", "none")}
+    # b moves from February to March, e is new
+    fresh = make({"transaction_id": "b", "date": "2026-03-09"}, {"transaction_id": "e", "date": "2026-03-01"})
+    assert store.upsert(fresh) == ["2026-02", "2026-03"]
+    after = {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "m").glob("*/*.parquet")}
+    assert set(after) == {f"store_month={m}" for m in ("2026-01", "2026-03", "none")}
+    assert after["store_month=2026-01"] == before["store_month=2026-01"] and after["store_month=none"] == before["store_month=none"]
+    assert rows(store.read(), "transaction_id", "date") == [("a", "2026-01-05"), ("b", "2026-03-09"), ("c", "2026-03-05"),
+                                                            ("d", None), ("e", "2026-03-01")]
+    march = store.read("2026-02", "2026-03")
+    assert {r[0] for r in march.select("transaction_id").collect()} == {"b", "c", "e"}
+    assert "PartitionFilters: [isnotnull(store_month" in march._jdf.queryExecution().executedPlan().toString()
+
+
 def test_given_rows_when_written_flat_then_guarded_and_ordered(spark, make, tmp_path):
     df = make({"transaction_id": "2", "date": "2026-02-01", "name": "=x"},
               {"transaction_id": "1", "date": "2026-01-01", "name": "ok"})
