@@ -43,12 +43,14 @@ def normal(text: str | None) -> str:
 
 def places(text: str) -> list[int]:
     """For each character of `normal(text)`, the code point of `text` that it comes from; then the end."""
-    lowered = [(x, k) for k, c in enumerate(text) for x in c.lower()]
-    out, plain = [], "".join(x for x, _ in lowered)
+    plain = text.lower()
+    # lowering never takes characters away, so equal lengths mean that each stands where it stood
+    origin = range(len(text)) if len(plain) == len(text) else [k for k, c in enumerate(text) for _ in c.lower()]
+    out: list[int] = []
     for m in re.finditer(r"[^\W_]+", plain):
         if out:
-            out.append(lowered[m.start() - 1][1])
-        out += [k for _, k in lowered[m.start():m.end()]]
+            out.append(origin[m.start() - 1])
+        out += origin[m.start():m.end()]
     return out
 
 
@@ -82,17 +84,28 @@ def masks(text: str) -> dict[str, int]:
     return out
 
 
+@lru_cache(maxsize=200_000)
+def seeds(text: str, edits: int) -> tuple[str, ...]:
+    """Stretches of which one at least stands in whatever is within that many edits of the text."""
+    cuts = [len(text) * k // (edits + 1) for k in range(edits + 2)]
+    return tuple(text[a:b] for a, b in zip(cuts, cuts[1:]))
+
+
 class Item:
     def __init__(self, item_id: int | None, text: str, rate: float):
         self.item_id, self.text, self.budget = item_id, text, int(rate * len(text))
         self.peq, self.back = masks(text), masks(text[::-1])
         self.pieces = list(leaves(Node(0, len(text), self.budget, None)))
 
-    def holds(self, node: Node, text: str, origin: int) -> bool:
-        """Whether the text has the node's stretch within its budget where the item would begin at `origin`."""
-        low, high = max(0, origin + node.start - node.budget), min(len(text), origin + node.end + node.budget)
+    def holds(self, node: Node, known: Node, text: str, origin: int) -> bool:
+        """Whether the text has the node's stretch within its budget where the item would begin at `origin`. known: the part
+        of the node that is there; the other part is sought by its seeds before edits are counted."""
+        window = text[max(0, origin + node.start - node.budget):max(0, origin + node.end + node.budget)]
         part = self.text[node.start:node.end]
-        return any(True for _ in _myers(masks(part), len(part), text[low:high], node.budget, 0, True))
+        other = part[:known.start - node.start] or part[known.end - node.start:]
+        if not any(seed in window for seed in seeds(other, node.budget)):
+            return False
+        return any(True for _ in _myers(masks(part), len(part), window, node.budget, 0, True))
 
     def ends(self, text: str, start: int, stop: int) -> list[tuple[int, int]]:
         """(distance, end) of every end in the window where the item lies within its budget."""
@@ -146,10 +159,9 @@ class Matcher:
         for last, uses in self.automaton.iter(text) if self.items else ():
             for k, node in uses:
                 item, origin = self.items[k], last + 1 - node.end
-                node = node.above
-                while node and node.above and item.holds(node, text, origin):
-                    node = node.above
-                if node and node.above:
+                while (above := node.above) and above.above and item.holds(above, node, text, origin):
+                    node = above
+                if above and above.above:
                     continue
                 start, stop = origin - item.budget, origin + len(item.text) + item.budget
                 held = out.setdefault(k, [])
@@ -171,14 +183,18 @@ class Matcher:
                     merged.append([start, stop])
             ends = [e for a, b in merged for e in item.ends(text, max(0, a), min(b, len(text)))]
             for distance, end in sorted(ends):
-                # another end of a match that is kept already, or of one that overlaps it
-                if any(a < end + item.budget and end - len(item.text) - item.budget < b and not
-                       (end <= a or item.start(text, end, distance) >= b) for a, b, _ in kept):
-                    continue
-                kept.append((item.start(text, end, distance), end, distance))
+                if not any(self._overlaps(item, text, distance, end, a, b) for a, b, _ in kept):
+                    kept.append((item.start(text, end, distance), end, distance))
             out += [(k, a, b, d) for a, b, d in sorted(kept)]
         return out
 
+    @staticmethod
+    def _overlaps(item: Item, text: str, distance: int, end: int, a: int, b: int) -> bool:
+        """Whether the match that ends there overlaps [a, b); its start is sought only where its length could decide."""
+        if end <= a or end - len(item.text) - item.budget >= b:
+            return False
+        return end - len(item.text) + item.budget < b or item.start(text, end, distance) < b
+
     def find(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
         """(item_id, start, end, distance) in the original text."""
         found = self.matches(normal(text))
