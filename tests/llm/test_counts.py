@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import counts
+from tests.llm.fixtures import folder, none, odd  # noqa: F401
 
 
 def brute(docs, name):

@@ -1,6 +1,7 @@
 import random
 
 from ledgerloom.llm import decontam
+from tests.llm.fixtures import folder, none, odd  # noqa: F401
 
 ITEM = "What is the name of the river that flows through the old town, and in which year was its bridge built?"
 

@@ -3,6 +3,7 @@ import math
 import duckdb
 
 from ledgerloom.llm import hosts
+from tests.llm.fixtures import folder  # noqa: F401
 
 URLS = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/x", "https://www.example.com/en/1", "http://example.com/en/",
         "http://example.com/en", "http://badexample.com/en/", "http://x.net/es/1?a=/fr/", "http://net/fr/2", "http://x.net#/es/",

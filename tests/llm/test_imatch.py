@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 
 from ledgerloom.llm import imatch
+from tests.llm.fixtures import folder, none, odd  # noqa: F401
 
 
 def brute(docs):

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 
 from ledgerloom.llm import langid
+from tests.llm.fixtures import folder, none, odd  # noqa: F401
 
 LANGS = {"en": "the and of to in is that it was for on with as his they".split(),
          "fr": "le la les des et en un une est que pour dans qui sur pas".split(),

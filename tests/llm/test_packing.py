@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import packing
+from tests.llm.fixtures import folder, none, odd  # noqa: F401
 
 CASES = [(packing.Capacity(64), "norm", (1, 0, 0)), (packing.Capacity(64, 3), "norm", (1, 0.2, 0)),
          (packing.Capacity(64, 5, 1500), "norm", (1, 0.1, 0.1)), (packing.Capacity(64, 5, 1500), "dot", (1, 0.1, 0.1))]

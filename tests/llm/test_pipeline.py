@@ -5,6 +5,7 @@ import corpus_pipeline
 from ledgerloom.llm import langid, secrets
 from tests.llm.test_decontam import ITEM
 from tests.llm.test_langid import LANGS
+from tests.llm.fixtures import folder  # noqa: F401
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 from ledgerloom.llm import automata, secrets
+from tests.llm.fixtures import folder, none, odd  # noqa: F401
 
 PATTERNS = [re.compile(r.pattern.replace("(?i:", "(?ai:")) for r in secrets.RULES]
 PARTS = ["password", "token", "api_key", "Secret", ":", "=", '"', "'", " ", "  ", "abc", "AKIA", "A1B2C3D4E5F6G7H8", "é",

@@ -7,6 +7,7 @@ import xxhash
 
 from ledgerloom.llm import simhash
 from ledgerloom.llm.components import components
+from tests.llm.fixtures import folder, none, odd  # noqa: F401
 
 
 def signed(x):

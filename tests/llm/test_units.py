@@ -1,4 +1,5 @@
 from ledgerloom.llm import units
+from tests.llm.fixtures import folder, none, odd  # noqa: F401
 
 
 def brute(docs):

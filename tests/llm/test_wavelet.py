@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 
 from ledgerloom.llm import wavelet
 from ledgerloom.llm.common import scratch
+from tests.llm.fixtures import folder, none, odd  # noqa: F401
 
 
 def test_matrix_against_the_ids():
