@@ -37,8 +37,8 @@ BITS = 64
 SAMPLE = 4000  # fingerprints that the partitions are fitted on
 BUCKET = 4000  # rows of a bucket that are compared in one task
 BALL = 5000  # values that the ball of a fingerprint may hold
-DENSE = 256  # rows up to which a bucket is compared in one array
-VERIFY = 0.02  # cost of a candidate in a bucket, a probe's being 1
+DENSE = 1024  # rows up to which a bucket is compared in one array
+VERIFY = 0.002  # cost of a candidate in a bucket, a probe's being 1, as measured
 
 
 def fingerprint(text: str, words: int, seed: int = 42) -> int:
