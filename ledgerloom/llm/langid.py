@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ LANGUAGES = 500  # languages at most
 SWITCH = 12.0  # cost of a change of language
 ALIEN = 20.0  # cost of a word in a language that does not use its script
 SMOOTH = 0.5
-HELD = 300_000  # words whose scores one Python worker keeps
+HELD = 200_000  # words whose scores one Python worker keeps
 
 # Script ranges of the Unicode standard, first and last code point.
 SCRIPTS = {
@@ -70,6 +70,15 @@ def grams(word: str) -> list[str]:
     return [held[k:k + n] for n in (1, 2, 3) for k in range(len(held) - n + 1) if held[k:k + n] != " "]
 
 
+class _Rated:
+    """The words that the last model used in this Python worker has rated: known, word to row of rows."""
+
+    model, known, rows = None, {}, np.empty((0, 0))
+
+
+_RATED = _Rated()
+
+
 @dataclass
 class Model:
     """languages in order; rows: log probabilities under each, by the n-gram's number in `weights`, the last row for all
@@ -79,11 +88,6 @@ class Model:
     weights: dict[str, int]
     rows: np.ndarray
     scripts: dict[str, np.ndarray]
-    known: dict[str, int] = field(default_factory=dict)  # word: its row of `rated`
-    rated: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
-
-    def __getstate__(self):
-        return {**self.__dict__, "known": {}, "rated": np.empty((0, 0))}
 
     def rate(self, words: list[str]) -> np.ndarray:
         """A row a word: 0 for the language that explains it best, less for the others."""
@@ -97,21 +101,24 @@ class Model:
         return total - total.max(axis=1, keepdims=True)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        known = self.known
+        held = _RATED
+        if held.model is not self:
+            held.model, held.known, held.rows = self, {}, np.empty((0, 0))
+        known = held.known
         new = list({w for w in words if w not in known})
         if new:
             if len(known) + len(new) > HELD:
                 known.clear()
                 new = list(set(words))
             size = len(known)
-            if size + len(new) > len(self.rated):
+            if size + len(new) > len(held.rows):
                 grown = np.empty((2 * (size + len(new)), len(self.languages)))
                 if size:
-                    grown[:size] = self.rated[:size]
-                self.rated = grown
-            self.rated[size:size + len(new)] = self.rate(new)
+                    grown[:size] = held.rows[:size]
+                held.rows = grown
+            held.rows[size:size + len(new)] = self.rate(new)
             known.update(zip(new, range(size, size + len(new))))
-        return self.rated[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+        return held.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
     def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The language of each word on each text's best path."""
