@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import record, slices, stored, table, text_rows
-from ledgerloom.llm.tokens import Encoder, encoder, spelled
+from ledgerloom.llm.tokens import PARTS, Encoder, Table, encoder, spelled
 
 SHARE = 1e-6
 HELD = 200_000  # distinct pre-tokens that a task adds up before it passes them on
@@ -30,38 +30,38 @@ OUT = 20_000  # rows in an output batch
 LINE_FEED = spelled("\n")
 
 
-def frequencies(encode: Encoder, text: str) -> tuple[Counter, int]:
-    """How often each pre-token occurs, as the library spells it, and how many special tokens the text holds."""
-    if encode.plain(text):
-        found: Counter = Counter()
-        for part, n in Counter(encode.cut(text)).items():
-            for piece in encode.spelled_parts[part]:
-                found[piece] += n
-        if not encode.layout.lower:  # the first part stands behind a line feed that is not in the text
-            found[LINE_FEED] -= 1
-        return +found, 0
-    found, special = Counter(), 0
-    for k, stretch in enumerate(re.split("(" + "|".join(map(re.escape, encode.special)) + ")", text)
-                                if encode.special else [text]):
-        if k % 2:
-            special += 1
-        elif stretch:
-            found.update(encode.pre_tokens(stretch))
-    return found, special
+def special_or_cut(encode: Encoder, text: str) -> tuple[list[str], int]:
+    """The pre-tokens of a text that is not plain, as the library itself cuts it, and how many special tokens it holds."""
+    pattern = "(" + "|".join(map(re.escape, encode.special)) + ")"
+    stretches = re.split(pattern, text) if encode.special else [text]
+    return [p for s in stretches[::2] if s for p in encode.pre_tokens(s)], len(stretches) // 2
 
 
 def distinct_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     """piece, n (occurrences), n_tokens of every distinct pre-token of the texts."""
 
     def tally(batches):
-        encode, held = encoder(vocabulary), Counter()
-        for part in slices(batches):
-            for text in part["text"].to_pylist():
-                held.update(frequencies(encode, text)[0])
-            if len(held) > HELD:
-                yield record(piece=pa.array(held.keys(), pa.string()), n=pa.array(held.values(), pa.int64()))
-                held = Counter()
-        yield record(piece=pa.array(held.keys(), pa.string()), n=pa.array(held.values(), pa.int64()))
+        encode, parts, pieces, plain = encoder(vocabulary), Counter(), Counter(), 0
+
+        def made():
+            for part, n in parts.items():
+                for piece in encode.spelled_parts[part]:
+                    pieces[piece] = pieces.get(piece, 0) + n
+            if plain and not encode.layout.lower:  # each text's first part stands behind a line feed that it does not have
+                pieces[LINE_FEED] -= plain
+            return record(piece=pa.array(pieces.keys(), pa.string()), n=pa.array(pieces.values(), pa.int64()))
+
+        for batch in slices(batches):
+            for text in batch["text"].to_pylist():
+                if encode.plain(text):
+                    parts.update(encode.cut(text))
+                    plain += 1
+                else:
+                    pieces.update(special_or_cut(encode, text)[0])
+            if len(parts) + len(pieces) > HELD:
+                yield made()
+                parts, pieces, plain = Counter(), Counter(), 0
+        yield made()
 
     def count(batches):
         tokens = encoder(vocabulary).library.model.tokenize
@@ -70,7 +70,7 @@ def distinct_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
                          n_tokens=pa.array([len(tokens(p)) for p in part["piece"].to_pylist()], pa.int32()))
 
     found = docs.select("text").mapInArrow(tally, "piece string, n long")
-    return found.groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(count, "piece string, n long, n_tokens int")
+    return found.groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 0").mapInArrow(count, "piece string, n long, n_tokens int")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
@@ -86,26 +86,47 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         encode, known = encoder(vocabulary), common.value
         key, piece, n, doc, size = [], [], [], [], []
 
+        def divide(pieces: list[str]) -> tuple[int, tuple[str, ...]]:
+            """Tokens of the pre-tokens that are looked up, and the others."""
+            return sum(known.get(p, 0) for p in pieces), tuple(p for p in pieces if p not in known)
+
+        divided = Table(lambda part: divide(encode.spelled_parts[part]), PARTS)
+
         def made():
             return record(row=pa.array(key, pa.int64()), piece=pa.array(piece, pa.string()), n=pa.array(n, pa.int64()),
                           doc_id=pa.array(doc, pa.int64()), n_bytes=pa.array(size, pa.int64()))
 
+        def frequencies(text: str) -> tuple[int, dict[str, int]]:
+            """The sum of the looked-up part, and how often each other pre-token occurs."""
+            if not encode.plain(text):
+                pieces, total = special_or_cut(encode, text)
+                direct, others = divide(pieces)
+                return total + direct, Counter(others)
+            total, rest = 0, {}
+            for part, times in Counter(encode.cut(text)).items():
+                direct, others = divided[part]
+                total += times * direct
+                for p in others:
+                    rest[p] = rest.get(p, 0) + times
+            if not encode.layout.lower:
+                if LINE_FEED in known:
+                    total -= known[LINE_FEED]
+                else:
+                    rest[LINE_FEED] -= 1
+            return total, rest
+
         for part in slices(batches):
             for row, doc_id, text in zip(*(part[c].to_pylist() for c in ("row", "doc_id", "text"))):
-                found, total = frequencies(encode, text)
-                for p, times in found.items():
-                    if p in known:
-                        total += times * known[p]
-                    else:
-                        key.append(row)
-                        piece.append(p)
-                        n.append(times)
-                        doc.append(None)
-                        size.append(None)
-                key.append(row)
+                total, rest = frequencies(text)
+                some = [p for p, times in rest.items() if times]
+                key += [row] * (len(some) + 1)
+                piece += some
                 piece.append(f"\0{row}")  # no pre-token: signs and digits never share one
+                n += [rest[p] for p in some]
                 n.append(total)
+                doc += [None] * len(some)
                 doc.append(doc_id)
+                size += [None] * len(some)
                 size.append(len(text.encode()))
             if len(key) >= OUT:
                 yield made()

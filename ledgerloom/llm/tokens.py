@@ -58,7 +58,7 @@ WORDS = Layout(re.compile(_PLAIN), (),
 LAYOUTS = {"byte_bpe_50k.json": BYTES, "word_bpe_49k.json": WORDS}
 
 
-class _Table(dict):
+class Table(dict):
     """Fills itself by `find`; emptied when it holds `room` entries."""
 
     def __init__(self, find, room: int):
@@ -78,9 +78,9 @@ class Encoder:
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype(self.code).newbyteorder("<")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = _Table(self.piece_ids, pieces)
-        self.parts = _Table(self.part_ids, parts)
-        self.spelled_parts = _Table(lambda part: [spelled(p) for p in self.cut_part(part)], parts)
+        self.pieces = Table(self.piece_ids, pieces)
+        self.parts = Table(self.part_ids, parts)
+        self.spelled_parts = Table(lambda part: [spelled(p) for p in self.cut_part(part)], parts)
 
     def plain(self, text: str) -> bool:
         return (self.layout is not None and not self.layout.odd.search(text)
