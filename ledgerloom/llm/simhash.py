@@ -27,11 +27,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_slices, record, slices, stored, table, text_rows
 from ledgerloom.llm.components import components
+from ledgerloom.llm.jaccard import numbered
 
 BITS = 64
 SAMPLE = 4000  # fingerprints that the partitions are fitted on
@@ -237,13 +238,13 @@ def groups(docs: DataFrame, words: int, limit: int, id_col: str = "doc_id", text
 
 
 def keep_first(docs: DataFrame, words: int, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group the row of the least id (a null id is least), and of rows with that id the one of the least text."""
-    rank = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)))
-    found = groups(docs.select(rank.alias("doc_id"), docs[text_col].alias("text")), words, limit)
-    firsts = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_rank")).distinct()
-    twin = F.row_number().over(Window.partitionBy("_rank").orderBy(text_col))
-    kept = docs.withColumn("_rank", rank).join(firsts, "_rank", "left_semi").withColumn("_twin", twin)
-    return kept.filter("_twin = 1").select(*docs.columns)
+    """Of each group one row: that of the least id (a null id is least), and of rows with that id the one of the least
+    fingerprint and hash of the text."""
+    held, rows = numbered(docs, id_col, text_col)
+    found = groups(rows, words, limit, id_col="row").withColumnRenamed("doc_id", "row")
+    firsts = (found.join(rows.select("row", "rank", "tie"), "row").groupBy("component_id")
+              .agg(F.min(F.struct("rank", "fp", "tie", "row")).alias("first")))
+    return held.join(firsts.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
