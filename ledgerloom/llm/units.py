@@ -2,9 +2,10 @@
 
 A text is cut into lines, and a line of several sentences also into these, so that a passage which was pasted into a
 longer line is met sentence by sentence. A unit is normalised (lower case, white space as single spaces) and hashed to
-128 bits; units of under `LEAST` words say too little to be copies. Digests are grouped over the whole table, and of
-each the occurrence ranked first stays: the least doc_id, and in it the first place. All others are cut from their
-texts, and what stays keeps its offsets in the original.
+128 bits; every unit with a word is compared, short ones too, and sentences also end at the full stops of scripts
+without spaces. Digests are grouped over the whole table, and of each the occurrence ranked first stays: the least
+doc_id, and in it the first place. All others are cut from their texts, and what stays keeps its offsets in the original.
+Only within one text may a unit stand again that has under `LEAST` words and under `CHARS` characters.
 
 Only digests and ids are shuffled to find copies; a digest that many documents share is counted before the shuffle,
 and the join that brings it back to its documents is split by adaptive execution. Each text then meets the digests
@@ -27,24 +28,25 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_slices, record, slices, table
 
-LEAST = 5
+LEAST = 5  # words, or
+CHARS = 25  # characters, from which a unit does not stand twice in its own text
 FIRST = -(1 << 63)  # rank of a null doc_id
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
-_SENTENCE = re.compile(r".*?[.!?]+(?:\s+|$)|.+", re.S)
+_SENTENCE = re.compile(r".*?(?:[.!?]+(?:\s+|$)|[。！？]+\s*)|.+", re.S)
 
 
-def stretches(text: str, least: int = LEAST) -> Iterator[tuple[int, int, bytes]]:
+def stretches(text: str) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of every line, each followed by its sentences if it has several. Ends reach to the next unit."""
     for line in _LINE.finditer(text):
         whole, base = line.group(), line.start()
         words = whole.lower().split()
-        if len(words) < least:
+        if not words:
             continue
         yield base, line.end(), _digest(words)
         cut = list(_SENTENCE.finditer(whole))
         for m in cut if len(cut) > 1 else ():
             words = m.group().lower().split()
-            if len(words) >= least:
+            if words:
                 yield base + m.start(), base + m.end(), _digest(words)
 
 
@@ -53,14 +55,16 @@ def _digest(words: list[str]) -> bytes:
 
 
 def cut(text: str, copies: set[bytes], least: int = LEAST) -> list[tuple[int, int]]:
-    """Stretches to remove: those whose digest is in `copies`, and those that repeat an earlier one of the text."""
+    """Stretches to remove: those whose digest is in `copies`, and those of `least` words or `CHARS` characters that repeat
+    an earlier one of the text."""
     out: list[tuple[int, int]] = []
     seen: dict[bytes, int] = {}
-    for start, end, digest in stretches(text, least):
+    for start, end, digest in stretches(text):
         # a sentence of a line that goes says nothing new, and stands for no first occurrence
         if out and end <= out[-1][1]:
             continue
-        if digest in copies or seen.setdefault(digest, start) != start:
+        again = seen.setdefault(digest, start) != start
+        if digest in copies or again and _long(text[start:end], least):
             if out and out[-1][1] == start:
                 out[-1] = (out[-1][0], end)
             else:
@@ -68,6 +72,10 @@ def cut(text: str, copies: set[bytes], least: int = LEAST) -> list[tuple[int, in
     return out
 
 
+def _long(unit: str, least: int) -> bool:
+    return len(unit.strip()) >= CHARS or len(unit.split()) >= least
+
+
 def kept(size: int, removed: list[tuple[int, int]]) -> list[tuple[int, int]]:
     ends = [0, *(e for _, e in removed)]
     starts = [*(s for s, _ in removed), size]
@@ -79,14 +87,14 @@ def _ranked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        docs[text_col].cast("string").alias("text"))
 
 
-def digests(ranked: DataFrame, least: int) -> DataFrame:
+def digests(ranked: DataFrame) -> DataFrame:
     """rank, high, low: the distinct digests of each text."""
 
     def run(batches):
         for part in slices(batches):
             ranks, data = [], []
             for rank, text in zip(part["rank"].to_pylist(), part["text"].to_pylist()):
-                found = {d for _, _, d in stretches(text or "", least)}
+                found = {d for _, _, d in stretches(text or "")}
                 ranks += [rank] * len(found)
                 data += found
             both = pa.py_buffer(b"".join(data))
@@ -100,9 +108,9 @@ def digests(ranked: DataFrame, least: int) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """doc_id, text (what stays of it), kept and removed (arrays of (start, end) in the original), a row for each row."""
     ranked = _ranked(docs, id_col, text_col)
-    shared = (digests(ranked, least).groupBy("high", "low").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+    shared = (digests(ranked).groupBy("high", "low").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
               .filter("first < last"))
-    copies = (digests(ranked, least).join(shared, ["high", "low"]).filter("rank > first")
+    copies = (digests(ranked).join(shared, ["high", "low"]).filter("rank > first")
               .groupBy("rank").agg(F.collect_set(F.struct("high", "low")).alias("copies")))  # a text's units at most
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
