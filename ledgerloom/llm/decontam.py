@@ -12,8 +12,8 @@ equals the first.
 Items go to the tasks in blocks of a bounded number of characters, however many there are, and each block is matched
 against all texts. Matches are (doc_id, item_id, start, end, distance), places in code points of the original text.
 
-Null texts are empty. Null items and items with under `LEAST` words have no matches: that short, a hit says
-nothing. Repeated items and rows each give their own matches; null ids are kept. No items: no matches, and
+Null texts are empty. Items of under `LEAST` words and under `CHARS` characters are sought without edits and between
+word borders; only items without a letter or digit have no matches. Repeated items and rows each give their own matches; null ids are kept. No items: no matches, and
 nothing is dropped. Further columns are not read.
 """
 
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import map_slices, record, table, text_rows
 
 RATE = 0.1  # edits a character
-LEAST = 8  # words of an item
+LEAST = 8  # words, or
+CHARS = 30  # characters, from which an item may have edits and begin or end within a word
 BLOCK = 500_000  # characters of items that are matched at once
 _GAP = re.compile(r"[\W_]+")
 
@@ -92,8 +93,9 @@ def seeds(text: str, edits: int) -> tuple[str, ...]:
 
 
 class Item:
-    def __init__(self, item_id: int | None, text: str, rate: float):
-        self.item_id, self.text, self.budget = item_id, text, int(rate * len(text))
+    def __init__(self, item_id: int | None, text: str, rate: float, least: int = 0):
+        self.short = text.count(" ") + 1 < least and len(text) < CHARS
+        self.item_id, self.text, self.budget = item_id, text, 0 if self.short else int(rate * len(text))
         self.peq, self.back = masks(text), masks(text[::-1])
         self.pieces = list(leaves(Node(0, len(text), self.budget, None)))
 
@@ -109,7 +111,13 @@ class Item:
 
     def ends(self, text: str, start: int, stop: int) -> list[tuple[int, int]]:
         """(distance, end) of every end in the window where the item lies within its budget."""
-        return list(_myers(self.peq, len(self.text), text[start:stop], self.budget, start, True))
+        found = _myers(self.peq, len(self.text), text[start:stop], self.budget, start, True)
+        return [(d, e) for d, e in found if not self.short or self._between(text, e)]
+
+    def _between(self, text: str, end: int) -> bool:
+        """Whether a short item that ends there lies between word borders."""
+        first = end - len(self.text)
+        return (first == 0 or text[first - 1] == " ") and (end == len(text) or text[end] == " ")
 
     def start(self, text: str, end: int, distance: int) -> int:
         """Where the match that ends there begins; of several places the last."""
@@ -142,7 +150,7 @@ def _myers(peq: dict[str, int], size: int, chars, most: int, base: int, anywhere
 
 class Matcher:
     def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE, least: int = LEAST):
-        self.items = [Item(i, t, rate) for i, t in ((i, normal(t)) for i, t in items) if t.count(" ") + 1 >= least]
+        self.items = [Item(i, t, rate, least) for i, t in ((i, normal(t)) for i, t in items) if t]
         found: dict[str, list[tuple[int, Node]]] = {}
         for k, item in enumerate(self.items):
             for node in item.pieces:
