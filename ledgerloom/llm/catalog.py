@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets", "units", "langid", "packing", "hosts", "decontam", "imatch", "wavelet", "counts", "simhash")
+MODULES = ("secrets", "units", "langid", "packing", "hosts", "decontam", "imatch", "wavelet", "counts", "simhash",
+           "merkle")
 
 
 def _merged(name: str) -> dict:
