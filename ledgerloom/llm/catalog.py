@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ("secrets", "units", "langid", "packing", "hosts", "decontam", "imatch", "wavelet", "counts", "simhash",
-           "merkle", "negatives")
+           "merkle", "negatives", "suffixes")
 
 
 def _merged(name: str) -> dict:

@@ -83,8 +83,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a table below the shared folder and read again."""
-    folder = scratch(df.sparkSession, name)
-    df.write.parquet(folder)
+    """`df` written as a table below the shared folder and read again; the shuffle files that made it go when it is written."""
+    folder, conf = scratch(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        conf.set(_CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
