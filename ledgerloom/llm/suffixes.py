@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_slices, record, slices, stored, table, text_rows
+from ledgerloom.llm.common import dropped, map_slices, record, slices, stored, table, text_rows
 
 LENGTH = 400
 GRAM = 8  # bytes whose hash picks the sample
@@ -150,17 +150,18 @@ def transforms(texts: DataFrame, length: int) -> DataFrame:
 
 
 def interleaved(classes: DataFrame) -> DataFrame:
-    """The classes in blocks that hold two suffixes or more once their cores are compared."""
+    """The classes (stored; they go) in blocks that hold two suffixes or more once their cores are compared."""
     live = classes
     for compared in ("first", "core"):
         blocks = live.groupBy(compared).agg(F.sum(F.size("rows")).alias("suffixes")).filter("suffixes > 1")
-        live = stored(live.join(blocks.select(compared), compared, "left_semi"), f"live-{compared}")
+        last, live = live, stored(live.join(blocks.select(compared), compared, "left_semi"), f"live-{compared}")
+        dropped(last)
     return live
 
 
 def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """row, start, end: stretches of texts (row, text; stored) in which every string of `length` bytes is repeated; all
-    such strings lie in one of them."""
+    """row, spans: of each text (row, text; stored) stretches in which every string of `length` bytes is repeated; all such
+    strings lie in one of them."""
     live = interleaved(stored(transforms(texts, length), "transforms"))
     first = F.struct(F.element_at("rows", 1).alias("row"), F.element_at("starts", 1).alias("start"))
     classes = stored(live.groupBy("core", "full", "width").agg(F.sum(F.size("rows")).alias("members"), F.min(first).alias("one")), "classes")
@@ -175,7 +176,10 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = (hashes.select("core", "string", name.alias("name")).groupBy("core", "string")
               .agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low < high"))
     crossing = hashes.filter("alone").join(shared.select("core", "string"), ["core", "string"], "left_semi")
-    return whole.union(crossing.select("row", "start", (F.col("start") + length).alias("end")))
+    spans = whole.union(crossing.select("row", "start", (F.col("start") + length).alias("end")))
+    found = stored(spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")  # of one text
+    dropped(live, classes, hashes)
+    return found
 
 
 def _hashed(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
@@ -212,7 +216,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay, end to end), removed (array of (start, end), maximal): a row for each row."""
     held = stored(text_rows(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "texts")
-    spans = repeated(held.select("row", "text"), length).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
+    spans = repeated(held.select("row", "text"), length)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def one(part):
