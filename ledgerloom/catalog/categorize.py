@@ -15,17 +15,20 @@ RUN = "2026-01-01T00:00:00.000000+00:00"
 TODAY = "2001-12-01"
 
 
-def _case(kind, test):
-    whens = []
-    for i, (k, p, pair, t) in enumerate(fixed.RULES):
-        if k == kind:
-            whens.append((i, p, pair, t, test(p)))
-    def pick(f):
-        return "CASE " + " ".join(f"WHEN {w[4]} THEN {f(w)}" for w in whens) + " END"
-    slug = (lambda p: p.lower().rstrip("*")) if kind == "pos_prefix" else (lambda p: p)
-    name = "pos" if kind == "pos_prefix" else kind
-    return (pick(lambda w: lit(w[2][0])), pick(lambda w: lit(w[2][1])),
-            pick(lambda w: lit(f"{name}:{slug(w[1])}")), pick(lambda w: lit(w[3])))
+def _kind(kind):
+    return [(p, pair, t) for k, p, pair, t in fixed.RULES if k == kind]
+
+
+def _number(kind, test):
+    """SQL text: which rule of a kind is the first that matches, from 1."""
+    return "CASE " + " ".join(f"WHEN {test(p)} THEN {i}" for i, (p, _, _) in enumerate(_kind(kind), 1)) + " END"
+
+
+def _looked_up(kind, number):
+    """SQL texts: primary, detailed, rule name and trust of a rule by its number."""
+    mine, shown = _kind(kind), (lambda p: "pos:" + p.lower().rstrip("*")) if kind == "pos_prefix" else (lambda p: f"{kind}:{p}")
+    parts = zip(*[(pair[0], pair[1], shown(p), t) for p, pair, t in mine])
+    return [f"list_extract([{', '.join(lit(x) for x in part)}], {number})" for part in parts]
 
 
 cte("memory", [], f"""
@@ -36,32 +39,38 @@ UNION ALL SELECT key, {slot_sql('(k * 5 + 3) % 24', 0)}, {slot_sql('(k * 5 + 3)
   SELECT 'name:' || {norm_sql(label_sql('s_suppkey'))} AS key, max(s_suppkey) AS k FROM supplier
   WHERE s_suppkey % 7 <> 0 AND s_suppkey % 9 = 2 GROUP BY 1)""")
 
-_POS = _case("pos_prefix", lambda p: f"contains(pos_text, {lit(p.lower())})")
-_WEB = _case("website", lambda p: f"contains(lower(coalesce(website, '')), {lit(p)})")
-_KW = _case("keyword", lambda p: f"regexp_matches(word_text, '(^|[^a-z0-9]){p}([^a-z0-9]|$)')")
+_POS, _WEB, _KW = _looked_up("pos_prefix", "n2"), _looked_up("website", "n3"), _looked_up("keyword", "n4")
 
+# the regular expression runs only where the plain word occurs
 cte("hits", ["settled", "memory", "rules", "menu"], f"""
-WITH t AS (SELECT s.*, 'name:' || nullif({norm_sql('merchant_name')}, '') AS nk,
-    lower(coalesce(name, '')) || ' ' || lower(coalesce(original_description, '')) AS pos_text,
-    lower(concat_ws(' ', nullif(merchant_name, ''), nullif(name, ''),
-      nullif(original_description, ''))) AS word_text FROM settled s),
+WITH norms AS (SELECT merchant_name, 'name:' || nullif({norm_sql('merchant_name')}, '') AS nk
+  FROM (SELECT DISTINCT merchant_name FROM settled)),
+t AS (SELECT s.*, nk, lower(coalesce(name, '')) || ' ' || lower(coalesce(original_description, '')) AS pos_text,
+    lower(concat_ws(' ', nullif(s.merchant_name, ''), nullif(name, ''), nullif(original_description, ''))) AS word_text
+  FROM settled s LEFT JOIN norms ON s.merchant_name = norms.merchant_name),
+words AS (SELECT transaction_id, word_text, unnest(list_distinct(
+    string_split(regexp_replace(word_text, '[^a-z0-9]+', ' ', 'g'), ' '))) AS word FROM t),
 over_ AS (SELECT transaction_id, arg_min(primary_, ord) AS kp, arg_min(detailed, ord) AS kd,
     arg_min('keyword:' || pattern, ord) AS kr, arg_min(trust, ord) AS kt
-  FROM t JOIN (SELECT * FROM rules WHERE part = 0) r ON contains(
-    ' ' || regexp_replace(word_text, '[^a-z0-9]', ' ', 'g') || ' ', ' ' || pattern || ' ') GROUP BY 1),
+  FROM words JOIN (SELECT *, string_split(pattern, ' ')[-1] AS last FROM rules WHERE part = 0) r ON word = last
+  WHERE contains(word_text, pattern) AND regexp_matches(word_text, '(^|[^a-z0-9])' || pattern || '([^a-z0-9]|$)') GROUP BY 1),
 c AS (SELECT t.*, coalesce(e.mp, m.mp) AS p1, coalesce(e.md, m.md) AS d1,
     CASE WHEN e.key IS NOT NULL THEN 'memory:entity_id' WHEN m.key IS NOT NULL THEN 'memory:name'
       END AS r1, CASE WHEN e.key IS NOT NULL THEN 'auto' WHEN m.key IS NOT NULL THEN 'flag' END AS t1,
-    e.key AS e_key, m.key AS m_key,
-    {_POS[0]} AS p2, {_POS[1]} AS d2, {_POS[2]} AS r2, {_POS[3]} AS t2,
-    {_WEB[0]} AS p3, {_WEB[1]} AS d3, {_WEB[2]} AS r3, {_WEB[3]} AS t3,
-    CASE WHEN kr IS NULL THEN {_KW[0]} ELSE kp END AS p4, CASE WHEN kr IS NULL THEN {_KW[1]} ELSE kd END AS d4,
-    coalesce(kr, {_KW[2]}) AS r4, coalesce(kt, {_KW[3]}) AS t4
+    e.key AS e_key, m.key AS m_key, kp, kd, kr, kt,
+    {_number("pos_prefix", lambda p: f"contains(pos_text, {lit(p.lower())})")} AS n2,
+    {_number("website", lambda p: f"contains(lower(coalesce(website, '')), {lit(p)})")} AS n3,
+    CASE WHEN kr IS NULL THEN {_number("keyword", lambda p: f"CASE WHEN contains(word_text, {lit(p)}) THEN "
+                                       f"regexp_matches(word_text, '(^|[^a-z0-9]){p}([^a-z0-9]|$)') END")} END AS n4
   FROM t LEFT JOIN memory e ON e.key = 'ent:' || t.merchant_entity_id
   LEFT JOIN memory m ON m.key = t.nk LEFT JOIN over_ ON over_.transaction_id = t.transaction_id),
+k AS (SELECT *, {_POS[0]} AS p2, {_POS[1]} AS d2, {_POS[2]} AS r2, {_POS[3]} AS t2,
+    {_WEB[0]} AS p3, {_WEB[1]} AS d3, {_WEB[2]} AS r3, {_WEB[3]} AS t3,
+    coalesce(kp, {_KW[0]}) AS p4, coalesce(kd, {_KW[1]}) AS d4, coalesce(kr, {_KW[2]}) AS r4,
+    coalesce(kt, {_KW[3]}) AS t4 FROM c),
 v AS (SELECT *, EXISTS (SELECT 1 FROM menu WHERE primary_ = p1 AND detailed = d1) AND r1 IS NOT NULL AS v1,
   r2 IS NOT NULL AS v2, r3 IS NOT NULL AS v3,
-  EXISTS (SELECT 1 FROM menu WHERE primary_ = p4 AND detailed = d4) AND r4 IS NOT NULL AS v4 FROM c)
+  EXISTS (SELECT 1 FROM menu WHERE primary_ = p4 AND detailed = d4) AND r4 IS NOT NULL AS v4 FROM k)
 SELECT *, CASE WHEN v1 THEN r1 WHEN v2 THEN r2 WHEN v3 THEN r3 WHEN v4 THEN r4 END AS rule,
   CASE WHEN v1 THEN p1 WHEN v2 THEN p2 WHEN v3 THEN p3 WHEN v4 THEN p4 END AS hp,
   CASE WHEN v1 THEN d1 WHEN v2 THEN d2 WHEN v3 THEN d3 WHEN v4 THEN d4 END AS hd,
@@ -153,11 +162,11 @@ cte("verdicts", [], f"""
 SELECT l_partkey AS q1, l_suppkey AS q2, l_quantity AS q3, l_extendedprice AS q4,
   (CASE WHEN l_partkey % 101 = 5 THEN 'gone-' ELSE '' END) || l_orderkey || '-' || l_linenumber
     AS transaction_id,
-  CASE (l_partkey + l_suppkey) % 9 WHEN 0 THEN 'ok' ELSE 'flag' END AS verdict,
+  CASE WHEN (l_partkey + l_suppkey) % 9 IN (0, 5, 6, 7, 8) THEN 'ok' ELSE 'flag' END AS verdict,
   {slot_sql(_T, 0)} AS vp, CASE (l_partkey + l_suppkey) % 9 WHEN 3 THEN 'NO_SUCH_LEAF'
     ELSE {slot_sql(_T, 1)} END AS vd0, CASE (l_partkey + l_suppkey) % 9 WHEN 2 THEN ''
     ELSE 'looks like ' || (l_partkey % 10) END AS reason
-FROM lineitem WHERE (l_partkey + l_suppkey) % 9 < 5""")
+FROM lineitem""")
 cte("snapped", ["verdicts", "menu", "other_leaf"], """
 SELECT v.*, CASE WHEN m.detailed IS NOT NULL THEN m.detailed ELSE other_detailed END AS vd
 FROM verdicts v LEFT JOIN menu m ON m.primary_ = vp AND m.detailed = vd0

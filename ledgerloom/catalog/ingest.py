@@ -98,12 +98,12 @@ def dim_budget(spark, sf):
 cte("rules", [], f"""
 SELECT 0 AS part, kind, s_suppkey AS ord, pattern, primary_, detailed, trust, 'personal' AS origin
 FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 23 = 9 THEN 'shape' ELSE 'keyword' END AS kind,
-    CASE WHEN s_suppkey % 29 <> 7 THEN 'store ' || translate(CAST(s_suppkey AS VARCHAR),
+    CASE WHEN s_suppkey % 29 <> 7 THEN CASE WHEN s_suppkey % 12 = 6 THEN 'acme ' ELSE 'store ' END || translate(CAST(s_suppkey AS VARCHAR),
       '0123456789', 'abcdefghij') END AS pattern,
     list_extract([{', '.join(lit(p[0]) for p in tables.SLOTS)}], (s_suppkey % 24) + 1) AS primary_,
     list_extract([{', '.join(lit(p[1]) for p in tables.SLOTS)}], (s_suppkey % 24) + 1) AS detailed,
     CASE WHEN s_suppkey % 3 = 0 THEN 'auto' ELSE 'flag' END AS trust
-  FROM supplier WHERE s_suppkey % 12 > 6)
+  FROM supplier)
 WHERE kind = 'keyword' AND pattern IS NOT NULL AND primary_ IS NOT NULL AND detailed IS NOT NULL
 UNION ALL SELECT 1, kind, ord, pattern, primary_, detailed, trust, 'built-in' FROM (
 {values([(k, i, p, c[0], c[1], t) for i, (k, p, c, t) in enumerate(fixed.RULES)],

@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom import dims
 from ledgerloom.catalog import build
-from ledgerloom.catalog.base import cte, d, n, query
+from ledgerloom.catalog.base import BLANK_PROVENANCE, cte, cube_sql, d, n, query
 from ledgerloom.catalog.enrichment import M
 from ledgerloom.catalog.ingest import budget
-from ledgerloom.operators import cube as cb
+from ledgerloom.operators import cube as cb, enrich, ingest
 from ledgerloom.operators.cube import GroupingSpec
-from ledgerloom.plans import marts
+from ledgerloom.plans import marts, netting
 from ledgerloom.sources import files, tables
 
 ALL = GroupingSpec()
@@ -250,34 +250,45 @@ def trailing_window_rows(spark, sf):
         "transaction_id", F.col("spend").cast("double").alias("spend"))
 
 
-cte("coarse", ["cube"], """
-SELECT * REPLACE (CAST(floor(abs_amount / 2000) AS BIGINT) AS abs_amount) FROM cube""")
-
-
-@query("transfer_netting", ["coarse"], """
-WITH t AS (SELECT transaction_id, account_id, person, abs_amount, day,
-    CASE WHEN starts_with(atom, 'TRANSFER_OUT_') THEN 'out' ELSE 'in' END AS side FROM coarse
+cte("moves", [], """
+SELECT 'mv-' || o_orderkey || '-' || leg AS transaction_id, 'acct_' || CASE WHEN leg = 'in' AND o_orderkey % 11 <> 0
+    THEN o_custkey + 4 ELSE o_custkey END AS account_id, 'owner_' || (o_custkey % 4) AS txn_owner, FALSE AS pending,
+  CAST(CAST(o_orderdate AS DATE) + CAST(CASE WHEN leg = 'in' THEN o_orderkey % 9 ELSE 0 END AS INTEGER) AS VARCHAR) AS date,
+  NULL AS authorized_date, 'ONLINE TRANSFER' AS name, NULL AS merchant_name, NULL AS merchant_entity_id,
+  NULL AS website, NULL AS logo_url, CASE WHEN leg = 'in' THEN -1 ELSE 1 END * CASE WHEN o_orderkey % 2 = 0
+    THEN CAST(100000 * (1 + floor(o_totalprice / 100000)) AS DECIMAL(18,2)) ELSE CAST(o_totalprice AS DECIMAL(18,2)) END
+    AS amount, 'USD' AS iso_currency_code, NULL AS unofficial_currency_code, 'online' AS payment_channel,
+  CASE WHEN leg = 'in' THEN 'TRANSFER_IN' ELSE 'TRANSFER_OUT' END AS pfc_primary,
+  CASE WHEN leg = 'in' THEN 'TRANSFER_IN_DEPOSIT' ELSE 'TRANSFER_OUT_SAVINGS' END AS pfc_detailed,
+  'HIGH' AS pfc_confidence, NULL AS loc_city, 'US' AS loc_country, NULL AS cp_name
+FROM orders, (VALUES ('out'), ('in')) l(leg)""")
+cte("move_cube", ["moves", "accounts", "atoms"], cube_sql("moves", BLANK_PROVENANCE))
+
+
+@query("transfer_netting", ["cube", "move_cube"], """
+WITH t AS (SELECT transaction_id AS id, account_id AS a, person, abs_amount, day,
+    starts_with(atom, 'TRANSFER_OUT_') AS outgoing
+  FROM (SELECT transaction_id, account_id, person, abs_amount, day, atom, flow FROM cube UNION ALL
+    SELECT transaction_id, account_id, person, abs_amount, day, atom, flow FROM move_cube)
   WHERE flow = 'excluded' AND starts_with(atom, 'TRANSFER_') AND day IS NOT NULL),
-c AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 5 THEN 1 ELSE 0 END) OVER (
-    PARTITION BY person, abs_amount ORDER BY day RANGE UNBOUNDED PRECEDING) AS chain
-  FROM (SELECT *, day - lag(day) OVER (PARTITION BY person, abs_amount ORDER BY day) AS gap
-    FROM (SELECT DISTINCT person, abs_amount, day FROM t))),
-r AS (SELECT t.*, chain, row_number() OVER (PARTITION BY t.person, t.abs_amount, chain, side
-    ORDER BY t.day, transaction_id) AS k
-  FROM t JOIN c ON c.person = t.person AND c.abs_amount = t.abs_amount AND c.day = t.day)
-SELECT o.transaction_id AS out_id, i.transaction_id AS in_id, o.person,
-  CAST(o.abs_amount AS DOUBLE) AS amount FROM r o JOIN r i ON o.person = i.person
-  AND o.abs_amount = i.abs_amount AND o.chain = i.chain AND o.k = i.k
-WHERE o.side = 'out' AND i.side = 'in' AND o.account_id <> i.account_id
-  AND abs(o.day - i.day) <= 5""".replace("WITH t AS", ", t AS"))
+legal AS (SELECT o.person, o.abs_amount, [{'o': o.id, 'i': i.id}] AS pair,
+    (abs(o.day - i.day), o.day, i.day, o.a, i.a, o.id, i.id) AS place
+  FROM (FROM t WHERE outgoing) o JOIN (FROM t WHERE NOT outgoing) i ON o.person = i.person
+    AND o.abs_amount = i.abs_amount AND o.a <> i.a AND o.day BETWEEN i.day - 5 AND i.day + 5),
+greedy AS (SELECT person, abs_amount, list_reduce(list(pair ORDER BY place), lambda taken, p:
+    CASE WHEN len(list_filter(taken, lambda x: x.o = p[1].o OR x.i = p[1].i)) > 0 THEN taken
+      ELSE list_concat(taken, p) END) AS pairs
+  FROM legal GROUP BY ALL)
+SELECT p.o AS out_id, p.i AS in_id, person, CAST(abs_amount AS DOUBLE) AS amount
+FROM (SELECT person, abs_amount, unnest(pairs) AS p FROM greedy)""".replace("WITH t AS", ", t AS"))
 def transfer_netting(spark, sf):
-    return marts.transfer_netting(transfers(spark, sf))
+    return netting.transfer_netting(transfers(spark, sf))
 
 
 def transfers(spark, sf):
-    """The cube with transfer sizes rounded to a coarse step, so that sizes can meet."""
-    return build.cube(spark, sf).withColumn("abs_amount", F.floor(F.col("abs_amount") / 2000)
-                                            .cast("long"))
+    """The cube and, enriched like it, the legs of transfers between accounts."""
+    legs = enrich.enrich(ingest.canonicalize(tables.move_feed(spark, sf)), tables.accounts(spark, sf), with_recurrence=False)
+    return build.cube(spark, sf).unionByName(legs)
 
 
 @query("label_scorecard", [], f"""

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from ledgerloom import dims, schema
 from ledgerloom.catalog import build
 from ledgerloom.catalog.base import cte, d, entity_sql, merchant_sql, n, norm_sql, query, slot_sql
-from ledgerloom.catalog.categorize import audited
+from ledgerloom.catalog.categorize import RUN, audited, rule_table
 from ledgerloom.operators import diff, intents
-from ledgerloom.sources import tables
+from ledgerloom.plans import audit, lineage
+from ledgerloom.sources import sinks, tables
 
 TODAY = "2001-11-05"
 KEY = "coalesce(try_cast(split_part(transaction_id, '-', 1) AS BIGINT), 1)"
@@ -85,6 +86,20 @@ def reconcile_counts(spark, sf):
     return diff.reconcile_counts(report(spark, sf))
 
 
+@query("reconcile_conflicts", ["report"], """
+SELECT transaction_id, 'amount' AS fields FROM report WHERE sync_class = 'conflict'""")
+def reconcile_conflicts(spark, sf):
+    return diff.conflict_keys(report(spark, sf))
+
+
+@query("reconcile_log", ["report"], f"""
+SELECT 't' AS ts, 'reconcile' AS event, count(*) FILTER (sync_class = 'in_sync') AS in_sync,
+  count(*) FILTER (sync_class = 'local_only') AS local_only, count(*) FILTER (sync_class = 'remote_only') AS remote_only,
+  count(*) FILTER (sync_class = 'conflict') AS conflict FROM report""")
+def reconcile_log(spark, sf):
+    return diff.reconcile_log(report(spark, sf), "t")
+
+
 @query("sorted_id_sample", ["report"], """
 SELECT sync_class, transaction_id, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
   PARTITION BY sync_class ORDER BY transaction_id) AS rn FROM report) WHERE rn <= 20""")
@@ -125,11 +140,14 @@ def keys_removed(spark, sf):
     return diff.keys_removed(*sides(spark, sf))
 
 
+def hashed(store):
+    """A store whose rows have their content hash, but for every tenth order's."""
+    return store.withColumn(schema.HASH_COLUMN, F.when(tables._order_key() % 10 != 0, diff.source_hash(store)))
+
+
 def delta(spark, sf):
     prior, source = sides(spark, sf)
-    key = tables._order_key()
-    prior = prior.withColumn(schema.HASH_COLUMN, F.when(key % 10 != 0, diff.source_hash(prior)))
-    return diff.incremental_classify(source, prior)
+    return diff.incremental_classify(source, hashed(prior))
 
 
 DELTA = f"""CASE sync_class WHEN 'local_only' THEN 'removed' WHEN 'remote_only' THEN 'new'
@@ -146,26 +164,71 @@ def incremental_classify(spark, sf):
 SELECT transaction_id FROM report WHERE sync_class = 'local_only'
   AND transaction_id NOT IN (SELECT transaction_id FROM local_ WHERE pending)""")
 def prune_gate(spark, sf):
-    return diff.bad_prunes(delta(spark, sf)).select("transaction_id")
+    return diff.bad_prunes(delta(spark, sf), sides(spark, sf)[0])
+
+
+@query("audit_run", ["audited"], f"""
+SELECT transaction_id, CASE WHEN done THEN pfc_primary ELSE before_primary END AS pfc_primary,
+  CASE WHEN done THEN pfc_detailed ELSE before_detailed END AS pfc_detailed,
+  CASE WHEN done THEN category_update_step ELSE '' END AS category_update_step,
+  CASE WHEN done THEN category_review_flag ELSE '' END AS category_review_flag,
+  CASE WHEN done THEN '{RUN}' WHEN k % 5 <> 0 THEN '2001-01-0' || (k % 9 + 1) || 'T00:00:00' ELSE '' END
+    AS category_audited_at, {d("CASE WHEN done AND k % 13 = 0 THEN amount + 1 ELSE amount END")} AS amount, TRUE AS hashed
+FROM (SELECT *, k % 7 = 0 OR (k % 13 = 0 AND k % 10 <> 0) AS done FROM (SELECT *, {KEY} AS k FROM audited))""")
+def audit_run(spark, sf):
+    """The whole run: a store kept by key meets an input with new rows and changed amounts."""
+    settled = build.settled(spark, sf)
+    key = tables._order_key()
+    source = settled.withColumn("amount", F.when(key % 13 == 0, F.col("amount") + 1).otherwise(F.col("amount"))
+                                .cast("decimal(18,2)"))
+    store = sinks.KeyedStore(spark, lineage.scratch(spark, "audit-store"), buckets=16)
+    store.write(diff.ensure_hash(hashed(tables.local_store(settled)).drop("seq")))
+    out = audit.audit_run(source, store.read(), RUN, tables.memory(spark, sf), keyword_table=rule_table(spark, sf)).store
+    pfc = F.col("personal_finance_category")
+    return out.select("transaction_id", pfc["primary"].alias("pfc_primary"), pfc["detailed"].alias("pfc_detailed"),
+                      "category_update_step", "category_review_flag", "category_audited_at",
+                      F.col("amount").cast("double").alias("amount"), F.col(schema.HASH_COLUMN).isNotNull().alias("hashed"))
 
 
-@query("overfetch_reconcile", ["local_", "remote_"], f"""
+cte("overfetched", ["local_", "remote_"], f"""
 WITH f AS (SELECT *, k % 3 <> 0 AS item_ok FROM remote_
-    WHERE date >= CAST(DATE '{TODAY}' - 90 AS VARCHAR) AND k % 17 <> 0),
+    WHERE date >= CAST(DATE '{TODAY}' - 90 AS VARCHAR)),
 cov AS (SELECT DISTINCT account_id FROM f WHERE item_ok)
 SELECT f.transaction_id, CASE WHEN l.transaction_id IS NULL THEN 'added' ELSE 'changed' END AS change
 FROM f LEFT JOIN local_ l USING (transaction_id) WHERE l.transaction_id IS NULL OR l.amount <> f.amount
 UNION ALL SELECT transaction_id, 'stale' FROM local_ WHERE NOT pending
   AND transaction_id NOT IN (SELECT transaction_id FROM f)
   AND account_id IN (SELECT account_id FROM cov) AND date >= CAST(DATE '{TODAY}' - 90 AS VARCHAR)
-  AND date <= CAST(DATE '{TODAY}' - 3 AS VARCHAR)""".replace("WITH f AS", ", f AS"))
-def overfetch_reconcile(spark, sf):
-    store, other = sides(spark, sf)
-    key = tables._order_key()
+  AND date <= CAST(DATE '{TODAY}' - 3 AS VARCHAR)""")
+
+
+def overfetched(spark, sf):
+    """A store in months met by a window of the other copy."""
+    local, other = sides(spark, sf)
     fresh = other.filter(F.col("date") >= F.date_sub(F.to_date(F.lit(TODAY)), 90).cast("string")) \
-        .filter(key % 17 != 0).withColumn("item_ok", key % 3 != 0) \
-        .drop("category_audited_at", "txn_owner")
-    return diff.overfetch_classify(store, fresh, TODAY)
+        .withColumn("item_ok", tables._order_key() % 3 != 0).drop("category_audited_at", "txn_owner")
+    store = sinks.MonthStore(spark, lineage.scratch(spark, "overfetch-store"))
+    store.write(local.drop("seq"))
+    return diff.overfetch_months(store, fresh, TODAY)
+
+
+@query("overfetch_reconcile", ["overfetched"], "SELECT * FROM overfetched")
+def overfetch_reconcile(spark, sf):
+    return overfetched(spark, sf)
+
+
+@query("overfetch_log", ["overfetched"], """
+SELECT 't' AS ts, 'overfetch' AS event, change, count(*) AS n,
+  array_to_string(list(transaction_id ORDER BY transaction_id)[:20], ',') AS first_ids FROM overfetched GROUP BY change""")
+def overfetch_log(spark, sf):
+    return diff.overfetch_log(lineage.stored(overfetched(spark, sf), "overfetched"), "t")
+
+
+@query("overfetch_id_sample", ["overfetched"], """
+SELECT change, transaction_id, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
+  PARTITION BY change ORDER BY transaction_id) AS rn FROM overfetched) WHERE rn <= 20""")
+def overfetch_id_sample(spark, sf):
+    return diff.sorted_id_sample(overfetched(spark, sf), by="change")
 
 
 @query("repair_window", ["local_", "report"], f"""
@@ -185,7 +248,7 @@ SELECT event_id AS seq, 'u' || user_id AS transaction_id, CASE event_type WHEN '
 
 
 def sync_base(spark, sf):
-    return tables.read(spark, sf, "customer").filter("c_custkey % 2 = 0").selectExpr(
+    return tables.read(spark, sf, "customer").selectExpr(
         "concat('u', c_custkey) AS transaction_id", "CAST(c_acctbal AS DECIMAL(18,2)) AS amount",
         "CAST(NULL AS BIGINT) AS k")
 
@@ -194,7 +257,7 @@ def sync_base(spark, sf):
 SELECT transaction_id, {d('amount')} AS amount, k FROM (SELECT *, row_number() OVER (
   PARTITION BY transaction_id ORDER BY seq DESC) AS rn FROM feed_ops) WHERE rn = 1 AND op <> 'removed'
 UNION ALL SELECT 'u' || c_custkey, {d('CAST(c_acctbal AS DECIMAL(18,2))')}, NULL FROM customer
-WHERE c_custkey % 2 = 0 AND 'u' || c_custkey NOT IN (SELECT transaction_id FROM feed_ops)""")
+WHERE 'u' || c_custkey NOT IN (SELECT transaction_id FROM feed_ops)""")
 def apply_sync_deltas(spark, sf):
     feed = tables.sync_events(tables.read(spark, sf, "events")).drop("ts")
     return diff.apply_sync_deltas(sync_base(spark, sf), feed).withColumn(
@@ -205,17 +268,17 @@ def apply_sync_deltas(spark, sf):
 SELECT op, {n()} AS n FROM feed_ops WHERE op <> 'removed' GROUP BY 1
 UNION ALL SELECT 'removed', {n()} FROM (SELECT *, lag(op) OVER (PARTITION BY transaction_id ORDER BY seq)
   AS prev FROM feed_ops) WHERE op = 'removed' AND (prev IN ('added', 'modified') OR (prev IS NULL
-  AND transaction_id IN (SELECT 'u' || c_custkey FROM customer WHERE c_custkey % 2 = 0)))""")
+  AND transaction_id IN (SELECT 'u' || c_custkey FROM customer)))""")
 def sync_counts(spark, sf):
     feed = tables.sync_events(tables.read(spark, sf, "events"))
     return diff.sync_counts(sync_base(spark, sf), feed, bucket=1000)
 
 
 @query("owner_backfill", ["settled"], """
-SELECT transaction_id, 'owner_1' AS txn_owner FROM settled WHERE coalesce(txn_owner, 'owner_1') = 'owner_1'""")
+SELECT transaction_id, coalesce(txn_owner, 'owner_1') AS txn_owner, CASE WHEN txn_owner IS NULL THEN 'stamped'
+  WHEN txn_owner = 'owner_1' THEN 'kept' ELSE 'other owner' END AS outcome FROM settled""")
 def owner_backfill(spark, sf):
-    one = build.settled(spark, sf).filter(F.coalesce("txn_owner", F.lit("owner_1")) == "owner_1")
-    return diff.owner_backfill(one.select("transaction_id", "txn_owner"), "owner_1")
+    return diff.owner_stamps(build.settled(spark, sf), "owner_1").select("transaction_id", "txn_owner", "outcome")
 
 
 @query("owner_filter", ["settled"], "SELECT transaction_id FROM settled WHERE txn_owner = 'owner_2'")
@@ -244,7 +307,7 @@ UNION ALL SELECT o_orderkey * 10 + 5, 't' || o_orderkey, 'edit',
   CASE WHEN o_orderkey % 60 <> 43 THEN o_orderkey || '-' || (o_orderkey % 8 + 1) END, NULL, NULL, NULL,
   {slot_sql('o_custkey % 4', 0)}, {slot_sql('o_custkey % 4', 1)}, NULL, {merchant_sql(_W)},
   {entity_sql(_W)}, NULL, NULL, CASE WHEN o_orderkey % 9 = 0 THEN 'TRAVEL' WHEN o_orderkey % 9 < 5
-  THEN 'FOOD_AND_DRINK' END, {slot_sql('o_orderkey % 4', 1)}, NULL FROM orders WHERE o_orderkey % 40 = 3
+  THEN 'FOOD_AND_DRINK' END, {slot_sql('o_orderkey % 4', 1)}, NULL FROM orders
 UNION ALL SELECT s_suppkey * 10 + 7, 'r' || s_suppkey, 'revoke', 'ui', NULL, NULL, NULL, NULL, NULL,
   NULL, NULL, 'm' || s_suppkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM supplier
 WHERE s_suppkey % 11 = 4""")
@@ -356,13 +419,11 @@ def orphan_intents(spark, sf):
 
 
 @query("intent_log_merge", ["log"], """
-SELECT id, action, part, seq FROM (
-  SELECT 0 AS part, * FROM log WHERE seq % 3 <> 0 UNION ALL
-  SELECT 1, * FROM log WHERE seq % 3 = 0 AND seq % 2 = 0 OR (seq % 4 = 0 AND seq % 3 = 0))""")
+SELECT id, action, CASE WHEN seq % 3 <> 0 THEN 0 ELSE 1 END AS part, seq FROM log""")
 def intent_log_merge(spark, sf):
     both = log(spark, sf)
     remote = both.filter("seq % 3 <> 0")
-    local = both.filter("seq % 2 = 0 OR seq % 4 = 0")
+    local = both.filter("seq % 3 = 0 OR seq % 2 = 0")
     return intents.intent_log_merge(local, remote).select("id", "action", "part", "seq")
 
 

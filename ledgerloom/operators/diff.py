@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed, schema
 from ledgerloom.functions import text
 from ledgerloom.operators import authority, ingest
+from ledgerloom.plans import lineage
 
 
 def align(a: DataFrame, b: DataFrame):
@@ -67,11 +68,34 @@ def reconcile_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("sync_class").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sorted_id_sample(report: DataFrame, n=fixed.ID_SAMPLE, key="transaction_id") -> DataFrame:
-    """First n ids per class; a row-number filter, so each map task passes on n rows at most."""
-    w = Window.partitionBy("sync_class").orderBy(key)
-    return (report.select("sync_class", key).withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= n))
+def sorted_id_sample(report: DataFrame, n=fixed.ID_SAMPLE, key="transaction_id", by="sync_class") -> DataFrame:
+    """First n ids per class of a column; a row-number filter, so each map task passes on n rows at most."""
+    w = Window.partitionBy(by).orderBy(key)
+    return report.select(by, key).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def conflict_keys(report: DataFrame, key="transaction_id") -> DataFrame:
+    """(key, what): each conflict's key and the fields, comma-joined, in which the copies differ."""
+    names = [f.name for f in report.schema["local"].dataType.fields if f.name not in (key, *schema.METADATA_COLUMNS)]
+    differing = F.array(*[F.when(~F.col("local")[c].eqNullSafe(F.col("remote")[c]), F.lit(c)) for c in names])
+    return report.filter("sync_class = 'conflict'").select(key, F.array_join(differing, ",").alias("fields"))
+
+
+def reconcile_log(report: DataFrame, run_ts: str) -> DataFrame:
+    """The log row of a reconciliation: how many rows of each class there are."""
+    def n(kind):
+        return F.count(F.when(F.col("sync_class") == kind, 1)).alias(kind)
+
+    return report.agg(*[n(k) for k in ("in_sync", "local_only", "remote_only", "conflict")]).select(
+        F.lit(run_ts).alias("ts"), F.lit("reconcile").alias("event"), "in_sync", "local_only", "remote_only", "conflict")
+
+
+def overfetch_log(changes: DataFrame, run_ts: str, key="transaction_id") -> DataFrame:
+    """The log rows of a safety-net fetch: per kind of change how many rows and the first ids in order."""
+    first = sorted_id_sample(changes, key=key, by="change").groupBy("change").agg(
+        F.sort_array(F.collect_list(key)).alias("first_ids"))
+    return changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).join(first, "change").select(
+        F.lit(run_ts).alias("ts"), F.lit("overfetch").alias("event"), "change", "n", F.array_join("first_ids", ",").alias("first_ids"))
 
 
 def adopt_head(prior: DataFrame, remote: DataFrame) -> DataFrame:
@@ -137,31 +161,44 @@ def source_hash(df: DataFrame):
 
 def incremental_classify(source: DataFrame, prior: DataFrame, full=False,
                          key="transaction_id") -> DataFrame:
-    """(key, delta_class, input, prior, hash): new, changed, carryover or removed.
+    """(key, delta_class, hash): new, changed, carryover or removed.
 
-    A prior row without a hash is adopted as the baseline; `full` sends every input row through.
+    A prior row without a hash is adopted as the baseline; `full` sends every input row through. Only
+    keys and hashes meet; a prior store that is bucketed by key stays where it is.
     """
-    s = source.withColumn("_h", source_hash(source)).select(
-        F.col(key).alias("_k"), F.col("_h").alias("hash"),
-        F.struct(*source.columns).alias("input"))
-    p = prior.select(F.col(key).alias("_pk"), F.struct(*prior.columns).alias("prior"))
+    s = source.select(F.col(key).alias("_k"), source_hash(source).alias("hash"))
+    p = prior.select(F.col(key).alias("_pk"), F.col(schema.HASH_COLUMN).alias("_old"))
     both = s.join(p, F.col("_k") == F.col("_pk"), "full_outer")
-    old = F.col("prior")[schema.HASH_COLUMN]
     kind = (F.when(F.col("_k").isNull(), "removed").when(F.col("_pk").isNull(), "new")
-            .when(F.lit(full), "changed").when(old.isNull() | (old == F.col("hash")), "carryover")
+            .when(F.lit(full), "changed").when(F.col("_old").isNull() | (F.col("_old") == F.col("hash")), "carryover")
             .otherwise("changed"))
-    return both.select(F.coalesce("_k", "_pk").alias(key), kind.alias("delta_class"), "input",
-                       "prior", "hash")
+    return both.select(F.coalesce("_k", "_pk").alias(key), kind.alias("delta_class"), "hash")
+
+
+def fetch_todo(delta: DataFrame, source: DataFrame, prior: DataFrame, key="transaction_id") -> DataFrame:
+    """The whole source rows of new and changed keys, with _hash and _prior, the row they replace if any."""
+    todo = delta.filter(F.col("delta_class").isin("new", "changed"))
+    old = prior.join(todo.filter("delta_class = 'changed'").select(key), key, "left_semi")
+    old = old.select(F.col(key).alias("_pk"), F.struct(*prior.columns).alias("_prior"))
+    rows = source.join(todo.select(F.col(key).alias("_k"), F.col("hash").alias("_hash")), F.col(key) == F.col("_k"))
+    return rows.join(old, F.col("_k") == F.col("_pk"), "left").drop("_k", "_pk")
 
 
-def bad_prunes(delta: DataFrame) -> DataFrame:
+def carried_over(delta: DataFrame, prior: DataFrame, key="transaction_id") -> DataFrame:
+    """The prior rows that stay as they are; those without a hash get theirs."""
+    known = delta.filter("delta_class = 'carryover'").select(F.col(key).alias("_k"), "hash")
+    kept = prior.join(known, F.col(key) == F.col("_k"))
+    return kept.withColumn(schema.HASH_COLUMN, F.coalesce(schema.HASH_COLUMN, "hash")).select(*prior.columns)
+
+
+def bad_prunes(delta: DataFrame, prior: DataFrame, key="transaction_id") -> DataFrame:
     """Removed rows that were not pending: the input is stale or cut short."""
-    return delta.filter((F.col("delta_class") == "removed")
-                        & ~F.coalesce(F.col("prior.pending"), F.lit(False)))
+    gone = delta.filter("delta_class = 'removed'").select(key)
+    return prior.filter(~F.coalesce("pending", F.lit(False))).join(gone, key, "left_semi").select(key)
 
 
-def prune_gate(delta: DataFrame) -> None:
-    gate_empty(bad_prunes(delta), "input lacks posted rows that the store has")
+def prune_gate(delta: DataFrame, prior: DataFrame) -> None:
+    gate_empty(bad_prunes(delta, prior), "input lacks posted rows that the store has")
 
 
 def audit_content_equal(a, b, columns):
@@ -170,35 +207,45 @@ def audit_content_equal(a, b, columns):
     return F.struct(*[a[c] for c in names]).eqNullSafe(F.struct(*[b[c] for c in names]))
 
 
+def overfetch_window(today: str):
+    """First and last day, as text, of the window in which a row's absence counts."""
+    now = F.to_date(F.lit(today))
+    return (F.date_sub(now, fixed.OVERFETCH_WINDOW_DAYS).cast("string"), F.date_sub(now, fixed.STALE_TAIL_DAYS).cast("string"))
+
+
 def overfetch_classify(store: DataFrame, fresh: DataFrame, today: str) -> DataFrame:
     """(transaction_id, change): rows of a golden window that are added or changed, and stale rows.
 
     Stale: posted, dated in the window but not in its tail, on an account that a fully fetched
     item covers, and absent from the window. `fresh` has item_ok; when no item is ok, nothing is
-    reported. Covered accounts are a distinct list joined by account, never collected.
+    reported. The store is met from the side of the window: rows with the window's ids are picked out of it first, and
+    only its rows dated in the window are asked whether they are absent, so a store read by date opens no other months.
     """
     any_ok = fresh.filter("item_ok").limit(1).agg((F.count(F.lit(1)) > 0).alias("ok"))
-    fresh = fresh.filter(any_ok.scalar())
+    fresh = lineage.cut(fresh.filter(any_ok.scalar()))
     covered = fresh.filter("item_ok").select("account_id").distinct()
-    golden = fresh.drop("item_ok", "seq")
+    golden = fresh.drop("item_ok", "seq").filter(text.blank("transaction_id") != "")
     names = [c for c in golden.columns if c != "transaction_id" and c in store.columns]
-    g = golden.filter(text.blank("transaction_id") != "").select(
-        F.col("transaction_id").alias("_g"), F.struct(*names).alias("_gv"))
-    joined = store.select("transaction_id", "pending", "account_id", "date",
-                          F.struct(*names).alias("_sv")).join(
-        g, F.col("transaction_id") == F.col("_g"), "full_outer")
-    start = F.date_sub(F.to_date(F.lit(today)), fixed.OVERFETCH_WINDOW_DAYS).cast("string")
-    cutoff = F.date_sub(F.to_date(F.lit(today)), fixed.STALE_TAIL_DAYS).cast("string")
+    ids = golden.select("transaction_id").distinct()
+    known = store.join(ids, "transaction_id", "left_semi").select(
+        F.col("transaction_id").alias("_s"), F.struct(*names).alias("_sv"))
+    met = golden.select("transaction_id", F.struct(*names).alias("_gv")).join(
+        known, F.col("transaction_id") == F.col("_s"), "left")
+    told = met.select("transaction_id", F.when(F.col("_s").isNull(), "added").when(
+        ~F.col("_sv").eqNullSafe(F.col("_gv")), "changed").alias("change")).filter("change IS NOT NULL")
+    first, last = overfetch_window(today)
     day = F.substring("date", 1, 10)
-    change = (F.when(F.col("transaction_id").isNull(), "added")
-              .when(F.col("_g").isNotNull() & ~F.col("_sv").eqNullSafe(F.col("_gv")), "changed")
-              .when(F.col("_g").isNull() & ~F.coalesce("pending", F.lit(False))
-                    & (day >= start) & (day <= cutoff), "absent"))
-    told = joined.select(F.coalesce("transaction_id", "_g").alias("transaction_id"),
-                         "account_id", change.alias("change")).filter("change IS NOT NULL")
-    stale = told.filter("change = 'absent'").join(covered, "account_id", "left_semi")
-    return told.filter("change <> 'absent'").select("transaction_id", "change").unionByName(
-        stale.select("transaction_id", F.lit("stale").alias("change")))
+    stale = (store.filter((F.col("date") >= first) & (day <= last) & ~F.coalesce("pending", F.lit(False)))
+             .select("transaction_id", "account_id").join(ids, "transaction_id", "left_anti")
+             .join(covered, "account_id", "left_semi"))
+    return told.unionByName(stale.select("transaction_id", F.lit("stale").alias("change")))
+
+
+def overfetch_months(store, fresh: DataFrame, today: str) -> DataFrame:
+    """`overfetch_classify` over a store in months: those of the window and those that hold the window's ids."""
+    first, last = (str(day)[:7] for day in store.spark.range(1).select(*overfetch_window(today)).first())
+    window = {m for m in store.months() if first <= m <= last}
+    return overfetch_classify(store.read(months=window | set(store.months_of(fresh))).drop(store.MONTH), fresh, today)
 
 
 def overfetch_merge(store: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -270,11 +317,18 @@ def sync_counts(base: DataFrame, deltas: DataFrame, key="transaction_id",
     return upserts.unionByName(removed)
 
 
+def owner_stamps(df: DataFrame, owner: str) -> DataFrame:
+    """Every row with the owner it would have and the outcome: stamped, kept or other owner."""
+    outcome = (F.when(F.col("txn_owner").isNull(), "stamped").when(F.col("txn_owner") == owner, "kept")
+               .otherwise("other owner"))
+    return df.withColumn("outcome", outcome).withColumn("txn_owner", F.coalesce("txn_owner", F.lit(owner)))
+
+
 def owner_backfill(df: DataFrame, owner: str) -> DataFrame:
     """Stamps the owner where there is none; stops before any write if another owner is there."""
-    other = df.filter(F.col("txn_owner").isNotNull() & (F.col("txn_owner") != owner))
-    gate_empty(other, f"rows that already belong to another owner than {owner}")
-    return df.withColumn("txn_owner", F.coalesce("txn_owner", F.lit(owner)))
+    out = owner_stamps(df, owner)
+    gate_empty(out.filter("outcome = 'other owner'"), f"rows that already belong to another owner than {owner}")
+    return out.drop("outcome")
 
 
 def owner_filter(df: DataFrame, owner: str | None) -> DataFrame:

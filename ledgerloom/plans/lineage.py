@@ -30,8 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a table below the shared folder and read again, for many later readers."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -228,44 +228,6 @@ def necessity_lens(df: DataFrame, facet_dim: DataFrame) -> DataFrame:
                       F.coalesce("lens", "tier0").alias("bucket"), "spend")
 
 
-def transfer_netting(df: DataFrame, days=5) -> DataFrame:
-    """One-to-one pairs of a transfer out and a transfer in of equal size, same person, other account.
-
-    Transfers of one person and size form chains of days that are at most `days` apart; within a
-    chain the k-th out meets the k-th in. Positions come from day counts, a table that one hot
-    size cannot swell, plus a row number within the day, so no pairs are enumerated.
-    """
-    t = df.filter(F.col("flow") == "excluded").filter(
-        F.startswith("atom", F.lit("TRANSFER_")) & F.col("day").isNotNull()).select(
-        "transaction_id", "account_id", "person", "abs_amount", "day",
-        F.when(F.startswith("atom", F.lit("TRANSFER_OUT_")), "out").otherwise("in").alias("side"))
-    key = ["person", "abs_amount"]
-    days_ = t.groupBy(*key, "day").agg(F.count(F.when(F.col("side") == "out", 1)).alias("n_out"),
-                                       F.count(F.when(F.col("side") == "in", 1)).alias("n_in"))
-    w = Window.partitionBy(*key).orderBy("day")
-    new = (F.datediff("day", F.lag("day").over(w)) > days) | F.lag("day").over(w).isNull()
-    chained = days_.withColumn("_new", new.cast("int")).withColumn("chain", F.sum("_new").over(w))
-    before = (Window.partitionBy(*key, "chain").orderBy("day")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    placed = chained.select(
-        *key, "day", "chain", F.coalesce(F.sum("n_out").over(before), F.lit(0)).alias("b_out"),
-        F.coalesce(F.sum("n_in").over(before), F.lit(0)).alias("b_in"))
-    within = Window.partitionBy(*key, "day", "side").orderBy("transaction_id")
-    ranked = t.withColumn("_rn", F.row_number().over(within)).join(placed, [*key, "day"])
-    rank = F.col("_rn") + F.when(F.col("side") == "out", F.col("b_out")).otherwise(F.col("b_in"))
-    ranked = ranked.withColumn("k", rank)
-    link = [*key, "chain", "k"]
-    out = ranked.filter("side = 'out'").select(
-        *link, F.col("transaction_id").alias("out_id"), F.col("account_id").alias("_oa"),
-        F.col("day").alias("_od"))
-    back = ranked.filter("side = 'in'").select(
-        *link, F.col("transaction_id").alias("in_id"), F.col("account_id").alias("_ia"),
-        F.col("day").alias("_id"))
-    return out.join(back, link).filter(
-        (F.col("_oa") != F.col("_ia")) & (F.abs(F.datediff("_od", "_id")) <= days)) \
-        .select("out_id", "in_id", "person", F.col("abs_amount").cast("double").alias("amount"))
-
-
 def label_scorecard(df: DataFrame) -> DataFrame:
     """Outcomes per stated confidence and overall: counts, precision, impossible signs.
 

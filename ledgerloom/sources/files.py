@@ -29,33 +29,16 @@ def split_rejects(rows: DataFrame, key: str = "transaction_id"):
 
 
 def read_jsonl_xz(spark: SparkSession, paths, ddl: str = schema.TXN_DDL) -> DataFrame:
-    """xz archives of JSON lines: Spark has no codec for xz, so tasks unpack whole files.
+    """xz archives of JSON lines, a task for each block of their indexes; Spark has no codec for xz.
 
-    One file goes to one task, because an xz stream cannot be split; Spark reads it from whatever
-    store it is in, and it is unpacked as a stream of lines, a batch of them at a time.
+    Paths may be folders or patterns; only the names of files are listed here, and their indexes read.
     """
+    from ledgerloom.sources.xz import XzLines
+
     paths = [paths] if isinstance(paths, str) else list(paths)
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-
-    def unpack(batches):
-        import io
-        import lzma
-
-        import pandas as pd
-
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with lzma.open(io.BytesIO(content), "rt", encoding="utf-8") as lines:
-                    part = []
-                    for line in lines:
-                        part.append(line)
-                        if len(part) == 10000:
-                            yield pd.DataFrame({"value": part, "_file": path})
-                            part = []
-                    if part:
-                        yield pd.DataFrame({"value": part, "_file": path})
-
-    lines = files.mapInPandas(unpack, "value string, _file string")
+    names = [r[0] for r in spark.read.format("binaryFile").load(paths).select("path").collect()]
+    spark.dataSource.register(XzLines)
+    lines = spark.read.format(XzLines.name()).option("paths", "\n".join(sorted(names))).load()
     return parse_lines(lines, "value", ddl)
 
 

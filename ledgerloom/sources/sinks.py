@@ -1,5 +1,7 @@
 """Sinks: versioned stores, flat CSV, append-only logs."""
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,53 +74,118 @@ class SnapshotStore:
 
 
 class MonthStore:
-    """Rows in one folder a month of `date`; a change rewrites the months it touches and no others.
+    """Rows by month of `date`; a change writes the months it touches anew and leaves all others as they are.
 
-    Readers that filter on `store_month` open only those folders. Rows without a date share a folder.
+    Each write goes to a folder of its own number, and a manifest, a row a month, names the folder that holds each month.
+    The manifest is a snapshot, so a change shows whole or not at all, whenever its job is lost; what older manifests name
+    stays readable. Readers open only the months they ask for. Rows without a date share a month.
     """
 
     MONTH = "store_month"
 
     def __init__(self, spark: SparkSession, path: str, key="transaction_id", date="date"):
         self.spark, self.path, self.key, self.date = spark, path.rstrip("/"), key, date
+        self.manifest = SnapshotStore(spark, f"{self.path}/manifest")
 
     def _dated(self, df: DataFrame) -> DataFrame:
         month = F.coalesce(F.date_format(F.col(self.date), "yyyy-MM"), F.lit("none"))
         return df.withColumn(self.MONTH, month)
 
+    def months(self, version: int | None = None) -> dict[str, int]:
+        """The number of the write that holds each month."""
+        rows = self.manifest.read(version)
+        return {} if rows is None else {r["month"]: r["number"] for r in rows.collect()}
+
+    def _put(self, dated: DataFrame, number: int) -> list[str]:
+        """Writes rows as a numbered folder; returns its months. Large months are dealt over several files."""
+        folder = f"{self.path}/data/number={number}"
+        (dated.hint("rebalance", self.MONTH).sortWithinPartitions(self.MONTH, self.date, self.key)
+         .write.mode("overwrite").partitionBy(self.MONTH).parquet(folder))
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(folder)
+        names = [s.getPath().getName() for s in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)]
+        return [n.split("=", 1)[1] for n in names if n.startswith(f"{self.MONTH}=")]
+
+    def _commit(self, held: dict[str, int], number: int) -> None:
+        rows = self.spark.createDataFrame(sorted(held.items()), "month string, number long").coalesce(1)
+        self.manifest.write(rows, number, sort=())
+
     def write(self, df: DataFrame) -> None:
         """Replaces the months that `df` has rows of."""
-        (self._dated(df).repartition(self.MONTH, F.pmod(F.xxhash64(self.key), F.lit(8)))
-         .sortWithinPartitions(self.MONTH, self.date, self.key).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(self.MONTH).parquet(self.path))
-
-    def read(self, first: str | None = None, last: str | None = None) -> DataFrame:
-        """The store, or its months from `first` to `last` (yyyy-MM, both included)."""
-        df = self.spark.read.option("mergeSchema", "false").parquet(self.path)
-        df = df.withColumn(self.MONTH, F.col(self.MONTH).cast("string"))
-        if first is not None:
-            df = df.filter(F.col(self.MONTH) >= first)
-        return df if last is None else df.filter(F.col(self.MONTH) <= last)
+        number = self.manifest._claim()
+        written = self._put(self._dated(df), number)
+        self._commit({**self.months(), **dict.fromkeys(written, number)}, number)
+
+    def read(self, first: str | None = None, last: str | None = None, months=None, version: int | None = None) -> DataFrame:
+        """The store, or its months from `first` to `last` (yyyy-MM, both included) or those named."""
+        held = self.months(version)
+        wanted = {m: n for m, n in held.items() if (first is None or m >= first) and (last is None or m <= last)
+                  and (months is None or m in months)}
+        chosen = wanted or held
+        if not chosen:
+            raise ValueError(f"nothing was written to {self.path} yet")
+        folders = [f"{self.path}/data/number={n}/{self.MONTH}={m}" for m, n in sorted(chosen.items())]
+        df = self.spark.read.option("basePath", f"{self.path}/data").option("mergeSchema", "false").parquet(*folders)
+        df = df.withColumn(self.MONTH, F.col(self.MONTH).cast("string")).drop("number")
+        return df if wanted else df.filter("false")
+
+    def months_of(self, keys: DataFrame) -> list[str]:
+        """Months that hold rows of the given keys, from the store's key column alone."""
+        if not self.months():
+            return []
+        found = self.read().select(self.key, self.MONTH).join(keys.select(self.key).distinct(), self.key, "left_semi")
+        return sorted(r[0] for r in found.select(self.MONTH).distinct().collect())  # months, not rows
 
     def upsert(self, fresh: DataFrame) -> list[str]:
-        """Rows of `fresh` over those with their key; returns the months that were rewritten."""
-        store, fresh = self.read(), self._dated(lineage.cut(fresh))
-        keys = fresh.select(self.key)
-        moved = store.select(self.key, self.MONTH).join(keys, self.key, "left_semi")
-        touched = sorted(r[0] for r in moved.select(self.MONTH).union(fresh.select(self.MONTH))
-                         .distinct().collect())  # months, not rows
-        kept = store.filter(F.col(self.MONTH).isin(touched)).join(keys, self.key, "left_anti")
-        out = lineage.cut(kept.unionByName(fresh, allowMissingColumns=True))
-        left = {r[0] for r in out.select(self.MONTH).distinct().collect()}
-        self.write(out.drop(self.MONTH))
-        for month in touched:
-            if month not in left:
-                self._drop(month)
+        """Rows of `fresh` over those with their key; returns the months that were written anew or emptied."""
+        fresh = self._dated(lineage.cut(fresh))
+        coming = [r[0] for r in fresh.select(self.MONTH).distinct().collect()]
+        touched = sorted({*self.months_of(fresh), *coming})
+        held, out = self.months(), fresh
+        if set(touched) & set(held):
+            kept = self.read(months=touched).join(fresh.select(self.key), self.key, "left_anti")
+            out = kept.unionByName(fresh, allowMissingColumns=True)
+        number = self.manifest._claim()
+        written = self._put(out, number)
+        left = {m: n for m, n in held.items() if m not in touched}
+        self._commit({**left, **dict.fromkeys(written, number)}, number)
         return touched
 
-    def _drop(self, month: str) -> None:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path, f"{self.MONTH}={month}")
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+class KeyedStore:
+    """Snapshots bucketed by key: joins on the key read a snapshot where it lies, without moving it.
+
+    Rows are dealt by the key's hash into `buckets` sorted files, as many as a cluster has use for at once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key="transaction_id", buckets=64):
+        self.spark, self.key, self.buckets = spark, key, buckets
+        self.snapshots = SnapshotStore(spark, path)
+
+    def _table(self, version: int) -> str:
+        """Spark's name for a snapshot in this session."""
+        return f"keyed_{md5(self.snapshots.path.encode()).hexdigest()}_{version}"
+
+    def write(self, df: DataFrame) -> int:
+        version = self.snapshots._claim()
+        name = self._table(version)
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        (df.repartition(self.buckets, self.key).write.bucketBy(self.buckets, self.key).sortBy(self.key).mode("overwrite")
+         .option("path", self.snapshots._dir(version)).saveAsTable(name))
+        return version
+
+    def read(self, version: int | None = None) -> DataFrame:
+        known = self.snapshots.versions()
+        if version not in (known if version is not None else [None]) or not known:
+            raise ValueError(f"no complete snapshot {version}; have {known}")
+        version = known[-1] if version is None else version
+        name = self._table(version)
+        if not self.spark.catalog.tableExists(name):
+            folder = self.snapshots._dir(version)
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(folder).schema)
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) "
+                           f"INTO {self.buckets} BUCKETS LOCATION '{folder}'")
+        return self.spark.table(name)
 
 
 def write_flat_csv(df: DataFrame, path: str, columns, date="date") -> None:

@@ -154,6 +154,28 @@ BILL = {
         'country', 'US', 'lat', NULL, 'lon', NULL, 'store_number', NULL)""",
 }
 
+# Money moved between two accounts of a person: an order's total, or for every other one a whole sum that many
+# others move too. The other leg comes up to eight days later; every eleventh stays on the account it left.
+MOVE = {
+    "transaction_id": "concat('mv-', o_orderkey, '-', leg)",
+    "account_id": """concat('acct_', CASE WHEN leg = 'in' AND o_orderkey % 11 <> 0 THEN o_custkey + 4
+        ELSE o_custkey END)""",
+    "txn_owner": "concat('owner_', o_custkey % 4)",
+    "pending": "false",
+    "date": "string(date_add(date(o_orderdate), CASE WHEN leg = 'in' THEN int(o_orderkey % 9) ELSE 0 END))",
+    "name": "'ONLINE TRANSFER'",
+    "amount": """CASE WHEN leg = 'in' THEN -1 ELSE 1 END * CASE WHEN o_orderkey % 2 = 0
+        THEN CAST(100000 * (1 + floor(o_totalprice / 100000)) AS DECIMAL(18,2))
+        ELSE CAST(o_totalprice AS DECIMAL(18,2)) END""",
+    "iso_currency_code": "'USD'",
+    "payment_channel": "'online'",
+    "transaction_type": "'special'",
+    "personal_finance_category": """CASE WHEN leg = 'in' THEN named_struct('primary', 'TRANSFER_IN',
+        'detailed', 'TRANSFER_IN_DEPOSIT', 'confidence_level', 'HIGH', 'version', 'v2') ELSE named_struct('primary',
+        'TRANSFER_OUT', 'detailed', 'TRANSFER_OUT_SAVINGS', 'confidence_level', 'HIGH', 'version', 'v2') END""",
+    "location": BILL["location"],
+}
+
 _SEQ = [("l_shipdate", "timestamp_ntz"), ("l_partkey", "long"), ("l_suppkey", "long"),
         ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"),
         ("l_tax", "double"), ("l_returnflag", "string"), ("l_linestatus", "string")]
@@ -186,6 +208,12 @@ def bill_feed(spark, sf_dir) -> DataFrame:
     return k.selectExpr(*_record(BILL, [f"CAST(NULL AS {t}) AS {n}" for n, t in _SEQ]))
 
 
+def move_feed(spark, sf_dir) -> DataFrame:
+    """Two legs of a transfer per order."""
+    legs = read(spark, sf_dir, "orders").selectExpr("*", "explode(array('out', 'in')) AS leg")
+    return legs.selectExpr(*_record(MOVE, [f"CAST(NULL AS {t}) AS {n}" for n, t in _SEQ]))
+
+
 def feed(spark, sf_dir) -> DataFrame:
     """The raw feed: order lines (with repeats) and recurring bills."""
     return line_feed(spark, sf_dir).unionByName(bill_feed(spark, sf_dir))
@@ -203,13 +231,13 @@ def accounts(spark, sf_dir) -> DataFrame:
 
 
 def overlay(spark, sf_dir) -> DataFrame:
-    """Personal keyword rules, one per supplier named after letters; some are malformed."""
+    """Personal keyword rules, one per supplier; some are malformed, some match nothing."""
     index = f"s_suppkey % {len(SLOTS)}"
-    return read(spark, sf_dir, "supplier").filter("s_suppkey % 12 > 6").selectExpr(
+    return read(spark, sf_dir, "supplier").selectExpr(
         "CASE WHEN s_suppkey % 23 = 9 THEN 'shape' ELSE 'keyword' END AS kind",
         "s_suppkey AS ord",
-        f"CASE WHEN s_suppkey % 29 <> 7 THEN concat('store ', {letters('s_suppkey')}) END "
-        "AS pattern", f"{slot(index, 0)} AS primary", f"{slot(index, 1)} AS detailed",
+        "CASE WHEN s_suppkey % 29 <> 7 THEN concat(CASE WHEN s_suppkey % 12 = 6 THEN 'acme ' "
+        f"ELSE 'store ' END, {letters('s_suppkey')}) END AS pattern", f"{slot(index, 0)} AS primary", f"{slot(index, 1)} AS detailed",
         "CASE WHEN s_suppkey % 3 = 0 THEN 'auto' ELSE 'flag' END AS trust")
 
 
@@ -227,19 +255,18 @@ def memory(spark, sf_dir) -> DataFrame:
 
 
 def verdicts(spark, sf_dir) -> DataFrame:
-    """Reviewer verdicts in order, from the order lines: flags, oks, bad leaves, unknown rows."""
+    """Reviewer verdicts in order, one per order line: flags, oks, bad leaves, unknown rows."""
     target = f"(l_partkey + l_suppkey * 3) % {len(SLOTS)}"
     return read(spark, sf_dir, "lineitem").selectExpr(
-        "(l_partkey + l_suppkey) % 9 AS kind",
         "struct(l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq",
         "concat(CASE WHEN l_partkey % 101 = 5 THEN 'gone-' ELSE '' END, l_orderkey, '-', "
         "l_linenumber) AS transaction_id",
-        "CASE (l_partkey + l_suppkey) % 9 WHEN 0 THEN 'ok' WHEN 1 THEN 'FLAG' ELSE 'flag' END "
-        "AS verdict", f"{slot(target, 0)} AS primary",
+        "CASE WHEN (l_partkey + l_suppkey) % 9 IN (0, 5, 6, 7, 8) THEN 'ok' "
+        "WHEN (l_partkey + l_suppkey) % 9 = 1 THEN 'FLAG' ELSE 'flag' END AS verdict", f"{slot(target, 0)} AS primary",
         f"CASE (l_partkey + l_suppkey) % 9 WHEN 3 THEN 'NO_SUCH_LEAF' ELSE {slot(target, 1)} END "
         "AS detailed",
         "CASE (l_partkey + l_suppkey) % 9 WHEN 2 THEN NULL ELSE "
-        "concat('looks like ', l_partkey % 10) END AS reason").filter("kind < 5").drop("kind")
+        "concat('looks like ', l_partkey % 10) END AS reason")
 
 
 def decisions(spark, sf_dir) -> DataFrame:
@@ -284,7 +311,7 @@ def intents(spark, sf_dir) -> DataFrame:
                                    text.or_null(text.normalize_merchant("match_name")))
     who = "(o_custkey % 30)"
     txn = _intent(
-        read(spark, sf_dir, "orders").filter("o_orderkey % 40 = 3"), seq="o_orderkey * 10 + 5",
+        read(spark, sf_dir, "orders"), seq="o_orderkey * 10 + 5",
         id="concat('t', o_orderkey)", action="'edit'",
         source="CASE WHEN o_orderkey % 3 = 0 THEN 'ui' ELSE 'cli' END", scope="'transaction'",
         match_transaction_id="CASE WHEN o_orderkey % 60 <> 43 THEN "

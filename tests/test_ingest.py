@@ -8,7 +8,7 @@ from ledgerloom import dims
 from ledgerloom.functions import text
 from ledgerloom.operators import cube, enrich, ingest, project
 from ledgerloom.sources import files
-from ledgerloom.sources.sinks import MonthStore, SnapshotStore, append_log, write_flat_csv
+from ledgerloom.sources.sinks import KeyedStore, MonthStore, SnapshotStore, append_log, write_flat_csv
 
 LINES = [
     '{"transaction_id": "a", "amount": 1.0, "date": "2026-01-01"}', "", "{broken",
@@ -190,19 +190,55 @@ def test_given_a_month_store_when_changed_then_only_its_months_are_rewritten(spa
     store = MonthStore(spark, str(tmp_path / "m"))
     store.write(make({"transaction_id": "a", "date": "2026-01-05"}, {"transaction_id": "b", "date": "2026-02-05"},
                      {"transaction_id": "c", "date": "2026-03-05"}, {"transaction_id": "d", "date": None}))
-    before = {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "m").glob("*/*.parquet")}
-    assert set(before) == {f"store_month={m}" for m in ("2026-01", "2026-02", "2026-03", "none")}
+    before = store.months()
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "m/data").rglob("*.parquet")}
+    assert set(before) == {"2026-01", "2026-02", "2026-03", "none"}
     # b moves from February to March, e is new
     fresh = make({"transaction_id": "b", "date": "2026-03-09"}, {"transaction_id": "e", "date": "2026-03-01"})
     assert store.upsert(fresh) == ["2026-02", "2026-03"]
-    after = {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "m").glob("*/*.parquet")}
-    assert set(after) == {f"store_month={m}" for m in ("2026-01", "2026-03", "none")}
-    assert after["store_month=2026-01"] == before["store_month=2026-01"] and after["store_month=none"] == before["store_month=none"]
+    after = store.months()
+    assert set(after) == {"2026-01", "2026-03", "none"}
+    assert after["2026-01"] == before["2026-01"] and after["none"] == before["none"] and after["2026-03"] != before["2026-03"]
+    assert {p: p.stat().st_mtime_ns for p in files} == files
+    assert {p.parent.name for p in (tmp_path / "m/data").rglob("*.parquet") if p not in files} == {"store_month=2026-03"}
     assert rows(store.read(), "transaction_id", "date") == [("a", "2026-01-05"), ("b", "2026-03-09"), ("c", "2026-03-05"),
                                                             ("d", None), ("e", "2026-03-01")]
     march = store.read("2026-02", "2026-03")
     assert {r[0] for r in march.select("transaction_id").collect()} == {"b", "c", "e"}
-    assert "PartitionFilters: [isnotnull(store_month" in march._jdf.queryExecution().executedPlan().toString()
+    assert all("store_month=2026-03" in f for f in march.inputFiles())
+    # as of before the change
+    first = store.manifest.versions()[0]
+    assert rows(store.read(version=first), "transaction_id") == [("a",), ("b",), ("c",), ("d",)]
+
+
+def test_given_a_change_that_is_lost_when_read_then_nothing_of_it_shows(spark, make, tmp_path):
+    store = MonthStore(spark, str(tmp_path / "m"))
+    store.write(make({"transaction_id": "a", "date": "2026-01-05"}))
+
+    def lost(*_):
+        raise RuntimeError("the driver is gone")
+
+    broken = MonthStore(spark, str(tmp_path / "m"))
+    broken._commit = lost
+    with pytest.raises(RuntimeError):
+        broken.upsert(make({"transaction_id": "a", "date": "2026-02-05"}, {"transaction_id": "b", "date": "2026-01-07"}))
+    assert rows(store.read(), "transaction_id", "date") == [("a", "2026-01-05")]
+    assert store.upsert(make({"transaction_id": "a", "date": "2026-02-05"})) == ["2026-01", "2026-02"]
+    assert rows(store.read(), "transaction_id", "date") == [("a", "2026-02-05")]
+
+
+def test_given_a_keyed_store_when_joined_then_it_is_not_moved(spark, make, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store = KeyedStore(spark, str(tmp_path / "k"), buckets=8)
+        store.write(make(*[{"transaction_id": f"t{k}"} for k in range(50)]))
+        spark.sql(f"DROP TABLE {store._table(1)}")  # as another session would find it
+        keys = make({"transaction_id": "t3"}, {"transaction_id": "x"}).select("transaction_id")
+        both = store.read().join(keys, "transaction_id", "left_anti")
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert both.count() == 49 and plan.count("Exchange") == 1, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_given_rows_when_written_flat_then_guarded_and_ordered(spark, make, tmp_path):
