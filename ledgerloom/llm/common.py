@@ -94,7 +94,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = conf.get(_CLEAN, "false")
     conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(folder)
+        df.write.option("compression", "zstd").parquet(folder)
     finally:
         conf.set(_CLEAN, before)
     out = df.sparkSession.read.schema(df.schema).parquet(folder)

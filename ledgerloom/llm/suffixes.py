@@ -172,9 +172,8 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     mixed = classes.groupBy("core").agg(F.count("*").alias("classes"), F.min("members").alias("least")).filter("classes > 1 AND least = 1")
     asked = classes.join(mixed.select("core"), "core").select("one.*", "core", "width", (F.col("members") == 1).alias("alone"))
     hashes = stored(_hashed(texts, asked, length), "strings")
-    name = F.xxhash64("row", "low")  # of the class that hands it in
-    shared = (hashes.select("core", "string", name.alias("name")).groupBy("core", "string")
-              .agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low < high"))
+    # equal strings name their sample alike, so a class hands in each of its strings once
+    shared = hashes.groupBy("core", "string").agg(F.count("*").alias("times")).filter("times > 1")
     crossing = hashes.filter("alone").join(shared.select("core", "string"), ["core", "string"], "left_semi")
     spans = whole.union(crossing.select("row", "start", (F.col("start") + length).alias("end")))
     found = stored(spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")  # of one text
@@ -183,24 +182,24 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _hashed(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """row, low, alone, core, start, string: a hash of each string of the classes asked for."""
+    """row, alone, core, start, string: a hash of each string of the classes asked for."""
     lists = asked.groupBy("row").agg(F.collect_list(F.struct("start", "width", "core", "alone")).alias("asked"))  # of one text
 
     def run(batches):
         for part in slices(batches, 64):
-            columns = [[] for _ in range(6)]
+            columns = [[] for _ in range(5)]
             for row, text, given in zip(part["row"].to_pylist(), part["text"].cast(pa.binary()).to_pylist(), part["asked"].to_pylist()):
                 for g in given:
                     low, count = g["start"], g["width"] - length + 1
-                    for column, values in zip(columns, ([row] * count, [low] * count, [g["alone"]] * count, [g["core"]] * count, range(low, low + count),
+                    for column, values in zip(columns, ([row] * count, [g["alone"]] * count, [g["core"]] * count, range(low, low + count),
                                                         (_digest(text[at:at + length]) for at in range(low, low + count)))):
                         column += values
-            row, low, alone, core, start, string = columns
-            yield record(row=pa.array(row, pa.int64()), low=pa.array(low, pa.int64()), alone=pa.array(alone, pa.bool_()), core=pa.array(core, pa.int64()),
+            row, alone, core, start, string = columns
+            yield record(row=pa.array(row, pa.int64()), alone=pa.array(alone, pa.bool_()), core=pa.array(core, pa.int64()),
                          start=pa.array(start, pa.int64()), string=pa.array(np.array(string, np.uint64).view(np.int64)))
 
     return texts.join(lists, "row").select("row", "text", "asked").mapInArrow(
-        run, "row long, low long, alone boolean, core long, start long, string long")
+        run, "row long, alone boolean, core long, start long, string long")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
