@@ -7,7 +7,9 @@ much worse each language explains it. The best path through the words then pays
 language, which labels spans of mixed texts and keeps single words from flipping. A text's language is the one whose
 spans hold most letters, its score their share.
 
-The recursion steps through many texts at once, each step a few array operations over all texts that reach so far.
+Most texts are in one language throughout, which a bound proves without stepping: no stretch of words may gain as
+much in another language as the changes would cost (`constant`). For the others the recursion steps through many texts at
+once, each step a few array operations over all texts that reach so far.
 
 The model is fitted on a documented bounded sample of labelled texts: `SAMPLE` documents a language, taken by a hash of the
 id, and the first `WORDS` words of each. Prediction reads whole texts.
@@ -34,7 +36,6 @@ UNKNOWN = "und"
 SAMPLE = 400  # labelled documents a language that the model is fitted on
 WORDS = 2000  # words of each of them
 GRAMS = 60_000  # n-grams kept, the most frequent ones
-LANGUAGES = 500  # languages at most
 SWITCH = 12.0  # cost of a change of language
 ALIEN = 20.0  # cost of a word in a language that does not use its script
 SMOOTH = 0.5
@@ -57,7 +58,15 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
     "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)],
 }
-_WORD = re.compile(r"[^\W\d_]+")
+# numbers such as ½ count as word characters, but are no letters
+_SIGNS = re.escape("".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()))
+_WORD = re.compile(rf"[^\W\d_{_SIGNS}]+")
+_LIKELY = re.compile(r"[^\W\d_]+")  # far quicker, and the same words unless such a number is among them
+
+
+def words_of(text: str) -> list[str]:
+    found = _LIKELY.findall(text)
+    return found if "".join(found).isalpha() else _WORD.findall(text)
 
 
 def script(word: str) -> str:
@@ -89,11 +98,30 @@ class Model:
     rows: np.ndarray
     scripts: dict[str, np.ndarray]
 
+    def __post_init__(self):
+        """By length of n-gram, their codes in order and their numbers in `rows`."""
+        self.codes = {}
+        for n in (1, 2, 3):
+            own = [g for g in self.weights if len(g) == n]
+            codes = _packed(_points("".join(own)).reshape(-1, n).T) if own else np.zeros(0, np.int64)
+            order = np.argsort(codes)
+            self.codes[n] = codes[order], np.array([self.weights[g] for g in own], np.int64)[order]
+
     def rate(self, words: list[str]) -> np.ndarray:
         """A row a word: 0 for the language that explains it best, less for the others."""
-        held = [[self.weights.get(g, -1) for g in grams(w)] for w in words]
-        firsts = np.cumsum([0, *map(len, held)])[:-1]
-        total = np.add.reduceat(self.rows[np.array([g for h in held for g in h])], firsts, axis=0)
+        points = _points(" " + "  ".join(words) + " ")
+        of = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
+        total = np.zeros((len(words), len(self.languages)))
+        for n, (codes, numbers) in self.codes.items():
+            count = len(points) - n + 1
+            at = np.flatnonzero((of[:count] == of[n - 1:]) if n > 1 else points != ord(" "))
+            wanted = _packed([points[at + k] for k in range(n)])
+            row = np.full(len(at), -1)
+            if len(codes):
+                place = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+                row = np.where(codes[place] == wanted, numbers[place], -1)
+            firsts = np.searchsorted(of[at], np.arange(len(words)))
+            total += np.add.reduceat(self.rows[row], firsts, axis=0)
         for name, uses in self.scripts.items():
             if uses.any() and not uses.all():
                 of = np.array([script(w) == name for w in words])
@@ -122,8 +150,14 @@ class Model:
 
     def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The language of each word on each text's best path."""
-        ends = np.cumsum(list(map(len, texts)))
-        return viterbi(np.split(self.scores([w for t in texts for w in t]), ends[:-1]), SWITCH)
+        sizes = np.array(list(map(len, texts)))
+        scores = self.scores([w for t in texts for w in t])
+        held, alike = np.split(scores, np.cumsum(sizes)[:-1]), constant(scores, sizes, SWITCH)
+        mixed = [k for k, a in enumerate(alike) if a < 0]
+        out = [np.full(n, a) for n, a in zip(sizes, alike)]
+        for k, path in zip(mixed, viterbi([held[k] for k in mixed], SWITCH) if mixed else []):
+            out[k] = path
+        return out
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, language) in code points; a span reaches from its first word to its last."""
@@ -138,7 +172,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        words = [_WORD.findall((t or "").lower()) if self.languages else [] for t in texts]
+        words = [words_of((t or "").lower()) if self.languages else [] for t in texts]
         out = [(UNKNOWN, 0.0)] * len(texts)
         some = [k for k, w in enumerate(words) if w]
         for k, path in zip(some, self.paths([words[k] for k in some]) if some else []):
@@ -149,6 +183,46 @@ class Model:
         return out
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def _packed(points) -> np.ndarray:
+    """Code points side by side as one number each; a code point has 21 bits."""
+    out = np.zeros_like(points[0])
+    for p in points:
+        out = out << 21 | p
+    return out
+
+
+def constant(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
+    """For each text (scores of all their words, one after the other) the state that its whole best path is in, -1 where
+    that is not proven.
+
+    Against the state that is best overall, a run of k stretches in other states within the text costs k + 1 changes, at
+    an edge k, over the whole text k - 1. So it never pays if no stretch gains a change's cost, and no prefix and suffix
+    together do.
+    """
+    ends = np.cumsum(sizes)
+    firsts, of = ends - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    best = np.add.reduceat(scores, firsts, axis=0).argmax(axis=1)
+    gains = np.cumsum(scores - scores[np.arange(len(scores)), best[of]][:, None], axis=0)
+    gains -= np.concatenate([np.zeros((1, scores.shape[1])), gains[ends[:-1] - 1]])[of]
+    before = np.concatenate([np.zeros((1, scores.shape[1])), gains[:-1]])
+    before[firsts] = 0.0
+    room = np.ptp(gains) + np.ptp(before) + 1.0  # each text's values below the last one's, so that a running least starts anew
+    lowest = np.minimum.accumulate(before - of[:, None] * room, axis=0) + of[:, None] * room
+    inside = np.maximum.reduceat((gains - lowest).max(axis=1), firsts)
+    others = np.arange(scores.shape[1]) != best[:, None]
+    last = gains[ends - 1]
+    prefix = np.where(others, np.maximum.reduceat(gains, firsts, axis=0), -np.inf).max(axis=1)
+    suffix = np.where(others, last - np.minimum.reduceat(before, firsts, axis=0), -np.inf).max(axis=1)
+    whole = np.where(others, last, -np.inf).max(axis=1)
+    safe = switch - 1e-5
+    sure = (inside < safe) & (prefix < safe) & (suffix < safe) & (prefix + suffix < safe) & (whole < -1e-5)
+    return np.where(sure, best, -1)
+
+
 def viterbi(texts: list[np.ndarray], switch: float) -> list[np.ndarray]:
     """For each text's scores (words by states, at least one word), the best path where a change costs `switch`."""
     order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
@@ -182,13 +256,12 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     """lang and text of at most `sample` documents a language, by a hash of the id; texts that hold nothing are not taken."""
     rows = (docs.filter(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
             .select(docs[id_col].alias("doc_id"), docs[lang_col].alias("lang"), docs[text_col].alias("text")))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()  # a row a language
     order = F.xxhash64("doc_id")
     share = (F.pmod(order, F.lit(1 << 30)) / (1 << 30)).cast("double")
     # what a language's share of all hashes leaves is a few times the sample, which a task can rank
-    likely = F.lit(False)
-    for row in sizes:
-        likely = likely | ((F.col("lang") == row["lang"]) & (share <= 3 * sample / row["count"]))
+    limits = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 3 * sample / r["count"])])
+    likely = share <= limits[F.col("lang")] if sizes else F.lit(False)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
     return rows.filter(likely).withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "text")
 
@@ -200,7 +273,7 @@ def fit(sample: DataFrame) -> Model:
         for batch in batches:
             found: dict[str, Counter] = {}
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                words = _WORD.findall(text.lower())[:WORDS]
+                words = words_of(text.lower())[:WORDS]
                 seen = found.setdefault(lang, Counter())
                 for w in words:
                     seen.update(grams(w))

@@ -75,3 +75,81 @@ def test_the_sample_is_bounded(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     sizes = {r["lang"]: r["count"] for r in langid.labelled_sample(docs, "doc_id", "text", "lang", 50).groupBy("lang").count().collect()}
     assert sizes == {"en": 50, "fr": 1}
+
+
+def test_constant_paths_are_the_best_ones():
+    rng = np.random.default_rng(1)
+    held = [-rng.exponential(rng.choice([1, 3, 9]), (rng.integers(1, 40), 3)) * rng.choice([0.2, 1, 1], 3) for _ in range(600)]
+    sizes = np.array(list(map(len, held)))
+    found = langid.constant(np.concatenate(held), sizes, langid.SWITCH)
+    assert 100 < (found >= 0).sum() < 600
+    for one, path in zip(found, langid.viterbi(held, langid.SWITCH)):
+        assert one < 0 or (path == one).all()
+
+
+def test_numbers_are_no_letters(spark):
+    model = langid.train(spark.createDataFrame(texts(random.Random(3), 50), "doc_id long, text string, lang string"))
+    assert model.predict(["½ ²", "12", "x½y", "ⅷ 一"])[:2] == [("und", 0.0), ("und", 0.0)]
+    assert [langid._WORD.findall(t) for t in ("½ ²", "x½y", "a1b_c", "一二")] == [[], ["x", "y"], ["a", "b", "c"], ["一二"]]
+
+
+def test_rare_languages_are_learnt(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}zq word", f"l{k}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.labelled_sample(docs, "doc_id", "text", "lang").select("lang").distinct().count() == 600
+
+
+def brute(docs):
+    """docs: (doc_id, text, lang), few enough that the sample holds all. (doc_id, held_out, lang, score)."""
+    import math
+
+    held = {d: zlib.crc32(str(d).encode()) % 3 == 1 for d, _, _ in docs}
+    words = {d: langid._WORD.findall((t or "").lower()) for d, t, _ in docs}
+    counts, scripts = {}, {}
+    for d, t, lang in docs:
+        if lang is not None and t is not None and not held[d]:
+            for w in words[d]:
+                for g in langid.grams(w):
+                    counts.setdefault(g, {}).setdefault(lang, 0)
+                    counts[g][lang] += 1
+                scripts.setdefault(langid.script(w), {}).setdefault(lang, 0)
+                scripts[langid.script(w)][lang] += 1
+    langs = sorted({x for c in counts.values() for x in c})
+    total = {(n, x): sum(c.get(x, 0) for g, c in counts.items() if len(g) == n) + langid.SMOOTH * len(counts) for n in (1, 2, 3) for x in langs}
+    every = {x: sum(c.get(x, 0) for c in scripts.values()) for x in langs}
+    out = []
+    for d, _, _ in docs:
+        rated = []
+        for w in words[d]:
+            row = {x: sum(math.log((counts[g].get(x, 0) + langid.SMOOTH) / total[len(g), x]) if g in counts
+                          else math.log(langid.SMOOTH / total[3, x]) for g in langid.grams(w)) for x in langs}
+            uses = [x for x in langs if scripts.get(langid.script(w), {}).get(x, 0) > 0.001 * every[x]]
+            if uses and len(uses) < len(langs):
+                least = min(row[x] for x in uses) - langid.ALIEN
+                row = {x: row[x] if x in uses else least for x in langs}
+            rated.append({x: row[x] - max(row.values()) for x in langs})
+        if not rated:
+            out.append((d, held[d], "und", 0.0))
+            continue
+        best, back = dict(rated[0]), []
+        for row in rated[1:]:
+            top = max(langs, key=lambda x: best[x])
+            back.append({x: x if best[x] >= best[top] - langid.SWITCH else top for x in langs})
+            best = {x: max(best[x], best[top] - langid.SWITCH) + row[x] for x in langs}
+        path = [max(langs, key=lambda x: best[x])]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        letters = {x: sum(len(w) for w, y in zip(words[d], reversed(path)) if x == y) for x in langs}
+        lang = max(langs, key=lambda x: letters[x])
+        out.append((d, held[d], lang, round(letters[lang] / sum(letters.values()), 9)))
+    return sorted(out)
+
+
+def test_query_against_brute_force(spark, folder):
+    rng = random.Random(8)
+    docs = texts(rng, 120)
+    docs += [(200 + k, f"{a[1]} {b[1]}", None) for k, (a, b) in enumerate(zip(docs[:40], docs[40:80]))]
+    docs += [(300, None, "en"), (301, "½ 12", None), (302, "İstanbul ǅ Ünïcode", None)]
+    path = folder(documents=spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3))
+    got = [(r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in langid.op3_language_id(spark, path).collect()]
+    assert sorted(got) == brute(docs)
