@@ -6,7 +6,8 @@ not those that over `COMMON` of the documents use, and not those that fewer than
 A fingerprint is one hash for each of several random subsets of the lexicon: the text's distinct terms in that subset are sorted,
 and their sequence is hashed. Subsets differ in how many terms they keep, from a quarter down to a 512th, so that small changes
 leave most of the sparse subsets' hashes alone. The likeness of two fingerprints is the share of equal hashes among the
-subsets in which either text has a term. A text without terms of the lexicon has the hash of its whole text everywhere.
+subsets in which either text has a term. A text without terms of the lexicon has the hash of its whole text, with
+another seed for each subset.
 
 Terms are white-space separated words, lowered, without signs at their ends; they are known by 64-bit hashes.
 
@@ -91,27 +92,40 @@ def lexicon(rows: DataFrame, common: float = COMMON, share: float = SHARE, least
     return np.sort(kept.to_numpy(np.int64).view(np.uint64))
 
 
-class Fingerprinter:
-    def __init__(self, band: np.ndarray, keep: tuple[float, ...] = KEEP):
-        self.limits = [(np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1), np.uint64(min(share, 1.0) * (2.0**64 - 2**12)))
-                       for k, share in enumerate(keep, 1)]
-        self.keep = keep
-        self.band = set(band.tolist())
-
-    def subsets(self, found: np.ndarray) -> np.ndarray:
-        """By subset and term, whether the subset keeps the term: a mixed hash of both, under its share."""
-        salts = np.array([s for s, _ in self.limits])[:, None]
-        x = found[None, :] ^ salts
+def subsets(found: np.ndarray, keep: tuple[float, ...] = KEEP) -> np.ndarray:
+    """By term and subset, whether the subset keeps the term: a mixed hash of both, under its share. A bit each."""
+    salts = np.array([k * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for k in range(1, len(keep) + 1)], np.uint64)
+    limits = np.array([min(share, 1.0) * (2.0**64 - 2**12) for share in keep]).astype(np.uint64)
+    out = []
+    for start in range(0, max(1, len(found)), 4096):
+        x = found[start:start + 4096, None] ^ salts
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return (x ^ (x >> np.uint64(31))) < np.array([limit for _, limit in self.limits])[:, None]
+        out.append(np.packbits((x ^ (x >> np.uint64(31))) < limits, axis=1))
+    return np.concatenate(out)
+
+
+class Fingerprinter:
+    """band: the lexicon's terms in order; bits: `subsets` of them, made once for all texts."""
+
+    def __init__(self, band: np.ndarray, keep: tuple[float, ...] = KEEP, bits: np.ndarray | None = None):
+        self.band, self.keep = band, keep
+        self.bits = subsets(band, keep) if bits is None else bits
 
     def of(self, text: str) -> str:
-        held = np.array(sorted(terms(text) & self.band), np.uint64)
-        if not len(held):
-            return xxhash.xxh64_hexdigest(text)[:DIGITS] * len(self.keep)
-        return "".join(xxhash.xxh64_hexdigest(held[row].tobytes())[:DIGITS] if row.any() else EMPTY
-                       for row in self.subsets(held))
+        found = terms(text)
+        found = np.fromiter(found, np.uint64, len(found))
+        at = np.searchsorted(self.band, found)
+        inside = at < len(self.band)
+        at, found = at[inside], found[inside]
+        at = np.sort(at[self.band[at] == found])
+        if not len(at):
+            return "".join(xxhash.xxh64_hexdigest(text, k)[:DIGITS] for k in range(len(self.keep)))
+        held = np.unpackbits(self.bits[at], axis=1, count=len(self.keep)).T
+        rows, columns = np.nonzero(held)
+        data = self.band[at][columns].tobytes()
+        ends = (8 * np.cumsum(np.bincount(rows, minlength=len(self.keep)))).tolist()
+        return "".join(xxhash.xxh64_hexdigest(data[a:b])[:DIGITS] if a < b else EMPTY for a, b in zip([0, *ends], ends))
 
 
 def likeness(a: str, b: str) -> float:
@@ -124,10 +138,11 @@ def likeness(a: str, b: str) -> float:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[float, ...] = KEEP) -> DataFrame:
     """doc_id, fingerprint, one row for each row of `docs`."""
     rows = text_rows(docs, id_col, text_col)
-    band = docs.sparkSession.sparkContext.broadcast(lexicon(rows))
+    held = lexicon(rows)
+    band = docs.sparkSession.sparkContext.broadcast((held, keep, subsets(held, keep)))
 
     def run(batches):
-        make = Fingerprinter(band.value, keep)
+        make = Fingerprinter(*band.value)
         for part in slices(batches):
             yield record(doc_id=part["doc_id"], fingerprint=pa.array([make.of(t) for t in part["text"].to_pylist()]))
 
@@ -176,10 +191,11 @@ def edited(text: str, following: str) -> str:
 def op7_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and how like they and the next document's are."""
     rows = text_rows(table(spark, sf_dir, "documents"))
-    band = spark.sparkContext.broadcast(lexicon(rows))
+    held = lexicon(rows)
+    band = spark.sparkContext.broadcast((held, KEEP, subsets(held)))
 
     def run(batches):
-        make, before = Fingerprinter(band.value), None
+        make, before = Fingerprinter(*band.value), None
         for part in slices(batches):
             out = []
             for key, halo, rank, text in zip(*(part[c].to_pylist() for c in ("part", "halo", "rank", "text"))):

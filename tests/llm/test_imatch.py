@@ -62,3 +62,26 @@ def test_odd_rows(odd, none):
 
 def test_empty_table(spark, none, folder):
     assert imatch.op7_imatch_fingerprints(spark, folder(documents=none)).collect() == []
+
+
+def test_texts_without_lexicon_terms_differ_in_every_subset(spark):
+    docs = spark.createDataFrame([(k, f"alone{k}") for k in range(2000)] + [(2000, "alone7")], "doc_id long, text string")
+    got = dict(imatch.fingerprints(docs).toPandas().itertuples(index=False, name=None))
+    assert len(set(got.values())) == 2000 and got[7] == got[2000]
+    assert max(imatch.likeness(got[0], got[k]) for k in range(1, 2000)) < 0.1
+    parts = [got[3][k:k + imatch.DIGITS] for k in range(0, len(got[3]), imatch.DIGITS)]
+    assert len(set(parts)) > 60
+
+
+def test_subset_hashes_against_the_plain_way():
+    rng = np.random.default_rng(2)
+    band = np.unique(rng.integers(1, 1 << 63, 300, np.uint64))
+    words = [f"w{k}" for k in range(40)]
+    own = np.unique(np.array([imatch._TERMS[w] for w in words[:25]], np.uint64))
+    make = imatch.Fingerprinter(np.unique(np.concatenate([band, own])))
+    held = np.array(sorted(set(own.tolist())), np.uint64)
+    kept = np.unpackbits(imatch.subsets(held), axis=1).T.astype(bool)
+    import xxhash
+
+    want = "".join(xxhash.xxh64_hexdigest(held[row].tobytes())[:imatch.DIGITS] if row.any() else imatch.EMPTY for row in kept)
+    assert make.of(" ".join(words)) == want
