@@ -4,14 +4,15 @@ A text is cut into lines, and a line of several sentences also into these, so th
 longer line is met sentence by sentence. A unit is normalised (lower case, white space as single spaces) and hashed to
 128 bits; every unit with a word is compared, short ones too, and sentences also end at the full stops of scripts
 without spaces. Digests are grouped over the whole table, and of each the occurrence ranked first stays: the least
-doc_id, and in it the first place. All others are cut from their texts, and what stays keeps its offsets in the original.
+doc_id, of rows with that id the one stored first, and in it the first place. All others are cut from their texts, and
+what stays keeps its offsets in the original.
 Only within one text may a unit stand again that has under `LEAST` words and under `CHARS` characters.
 
 Only digests and ids are shuffled to find copies; a digest that many documents share is counted before the shuffle,
 and the join that brings it back to its documents is split by adaptive execution. Each text then meets the digests
 that it has to give up, a list no longer than its own units.
 
-Null texts count as empty and stay null. Rows that repeat a doc_id share a rank: each keeps what that id ranks first with. A
+Null texts count as empty and stay null. Every row is a text of its own, whether or not its doc_id is repeated or null; a
 null doc_id ranks before all others. An empty table gives an empty result. Operators return the id and their own
 columns alone, so further columns never clash.
 """
@@ -21,12 +22,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_slices, record, slices, table
+from ledgerloom.llm.common import map_slices, record, slices, stored, table
 
 LEAST = 5  # words, or
 CHARS = 25  # characters, from which a unit does not stand twice in its own text
@@ -83,35 +85,39 @@ def kept(size: int, removed: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _ranked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(FIRST)).alias("rank"),
-                       docs[text_col].cast("string").alias("text"))
+    """row (a number of its own for each), rank, text; stored, so that numbers stay."""
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(FIRST)).alias("rank"),
+                       docs[text_col].cast("string").alias("text"), docs[id_col].cast("long").alias("doc_id"))
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
 
 
 def digests(ranked: DataFrame) -> DataFrame:
-    """rank, high, low: the distinct digests of each text."""
+    """rank, row, high, low: the distinct digests of each text."""
 
     def run(batches):
         for part in slices(batches):
-            ranks, data = [], []
-            for rank, text in zip(part["rank"].to_pylist(), part["text"].to_pylist()):
+            counts, data = [], []
+            for text in part["text"].to_pylist():
                 found = {d for _, _, d in stretches(text or "")}
-                ranks += [rank] * len(found)
+                counts.append(len(found))
                 data += found
             both = pa.py_buffer(b"".join(data))
             halves = pa.Array.from_buffers(pa.int64(), 2 * len(data), [None, both])
             pairs = halves.to_numpy().reshape(-1, 2)
-            yield record(rank=pa.array(ranks, pa.int64()), high=pa.array(pairs[:, 0].copy()), low=pa.array(pairs[:, 1].copy()))
+            yield record(rank=pa.array(np.repeat(part["rank"].to_numpy(), counts)), row=pa.array(np.repeat(part["row"].to_numpy(), counts)),
+                         high=pa.array(pairs[:, 0].copy()), low=pa.array(pairs[:, 1].copy()))
 
-    return ranked.mapInArrow(run, "rank long, high long, low long")
+    return ranked.select("rank", "row", "text").mapInArrow(run, "rank long, row long, high long, low long")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """doc_id, text (what stays of it), kept and removed (arrays of (start, end) in the original), a row for each row."""
     ranked = _ranked(docs, id_col, text_col)
-    shared = (digests(ranked).groupBy("high", "low").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
-              .filter("first < last"))
-    copies = (digests(ranked).join(shared, ["high", "low"]).filter("rank > first")
-              .groupBy("rank").agg(F.collect_set(F.struct("high", "low")).alias("copies")))  # a text's units at most
+    found = stored(digests(ranked), "digests")
+    place = F.struct("rank", "row")
+    shared = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
+    copies = (found.join(shared, ["high", "low"]).filter(place > F.col("first"))
+              .groupBy("row").agg(F.collect_list(F.struct("high", "low")).alias("copies")))  # a text's units at most
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def spans(rows):
@@ -120,16 +126,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     def one(part):
         texts, stays, goes = [], [], []
         for text, given in zip(part["text"].to_pylist(), part["copies"].to_pylist()):
-            found = {g["high"].to_bytes(8, "little", signed=True) + g["low"].to_bytes(8, "little", signed=True)
-                     for g in given or ()}
-            goes.append(cut(text or "", found, least))
+            gone = {g["high"].to_bytes(8, "little", signed=True) + g["low"].to_bytes(8, "little", signed=True)
+                    for g in given or ()}
+            goes.append(cut(text or "", gone, least))
             stays.append(kept(len(text or ""), goes[-1]))
             texts.append(text if text is None else "".join(text[a:b] for a, b in stays[-1]))
-        ids = [None if r == FIRST else r for r in part["rank"].to_pylist()]
-        return record(doc_id=pa.array(ids, pa.int64()), text=pa.array(texts, pa.string()), kept=spans(stays), removed=spans(goes))
+        return record(doc_id=part["doc_id"], text=pa.array(texts, pa.string()), kept=spans(stays), removed=spans(goes))
 
     pairs = "array<struct<start: long, end: long>>"
-    return map_slices(ranked.join(copies, "rank", "left"), one, f"doc_id long, text string, kept {pairs}, removed {pairs}")
+    joined = ranked.select("row", "doc_id", "text").join(copies, "row", "left").select("doc_id", "text", "copies")
+    return map_slices(joined, one, f"doc_id long, text string, kept {pairs}, removed {pairs}")
 
 
 def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
