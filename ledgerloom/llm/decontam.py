@@ -20,6 +20,7 @@ nothing is dropped. Further columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -191,9 +192,13 @@ class Matcher:
                     merged.append([start, stop])
             ends = [e for a, b in merged for e in item.ends(text, max(0, a), min(b, len(text)))]
             for distance, end in sorted(ends):
-                if not any(self._overlaps(item, text, distance, end, a, b) for a, b, _ in kept):
-                    kept.append((item.start(text, end, distance), end, distance))
-            out += [(k, a, b, d) for a, b, d in sorted(kept)]
+                # what is kept lies in order and apart, so only its last ones that begin before this end can overlap
+                at = last = bisect_left(kept, (end,))
+                while at and kept[at - 1][1] > end - len(item.text) - item.budget:
+                    at -= 1
+                if not any(self._overlaps(item, text, distance, end, a, b) for a, b, _ in kept[at:last]):
+                    insort(kept, (item.start(text, end, distance), end, distance))
+            out += [(k, a, b, d) for a, b, d in kept]
         return out
 
     @staticmethod

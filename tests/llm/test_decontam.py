@@ -100,3 +100,32 @@ def test_query(spark, odd, folder):
     more = spark.createDataFrame([(50, "a " + ITEM)], "doc_id long, text string")
     path = folder(documents=odd.select("doc_id", "text").union(more), benchmark=spark.createDataFrame([(3, ITEM)], "item_id long, text string"))
     assert [tuple(r) for r in decontam.op6_pigeonhole_decontamination(spark, path).collect()] == [(50, 3, 2, 1 + len(ITEM), 0)]
+
+
+def test_repetitive_texts_take_time_in_proportion():
+    import time
+
+    matcher = decontam.Matcher([(1, "ab " * 20)])
+    matcher.find("ab " * 500)
+    took = []
+    for n in (4000, 32000):
+        begun = time.process_time()
+        found = matcher.find("ab " * n)
+        took.append(time.process_time() - begun)
+        assert len(found) == n // 20
+    assert took[1] < 16 * max(took[0], 0.05)
+
+
+def test_matches_kept_are_those_of_the_plain_way():
+    rng = random.Random(4)
+    item = decontam.normal("abc abd abc abd abc abd abc abd abc abd")
+    matcher = decontam.Matcher([(1, item)], 0.2, 0)
+    for _ in range(40):
+        text = decontam.normal("".join(rng.choice(("abc ", "abd ", "x ")) for _ in range(60)))
+        it, kept = matcher.items[0], []
+        ends = sorted((d, e) for e, d in enumerate(distances(it.text, text)) if d <= it.budget and e)
+        for distance, end in ends:
+            start = it.start(text, end, distance)
+            if not any(start < b and end > a for a, b, _ in kept):
+                kept.append((start, end, distance))
+        assert [m[1:] for m in matcher.matches(text)] == sorted(kept)
