@@ -95,3 +95,9 @@ def test_odd_rows(spark, odd, none):
     ids = [r["doc_id"] for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 0 in ids and None in ids and not {1, 2, 3, 6} & set(ids)
     assert jaccard.keep_first(none, words=5).collect() == []
+
+
+def test_columns_named_like_our_own_stay(spark):
+    rows = [(1, "a b c d e f", 10, 5), (2, "a b c d e f", 20, 6), (3, "other words than those", 30, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row long, row long")
+    assert sorted(tuple(r) for r in jaccard.keep_first(docs, words=5).collect()) == [rows[0], rows[2]]

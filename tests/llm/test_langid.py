@@ -99,7 +99,7 @@ def test_rare_languages_are_learnt(spark):
     assert langid.labelled_sample(docs, "doc_id", "text", "lang").select("lang").distinct().count() == 600
 
 
-def brute(docs):
+def brute(docs, learn_from_all=False):
     """docs: (doc_id, text, lang), few enough that the sample holds all. (doc_id, held_out, lang, score)."""
     import math
 
@@ -107,7 +107,7 @@ def brute(docs):
     words = {d: langid._WORD.findall((t or "").lower()) for d, t, _ in docs}
     counts, scripts = {}, {}
     for d, t, lang in docs:
-        if lang is not None and t is not None and not held[d]:
+        if lang is not None and t is not None and (learn_from_all or not held[d]):
             for w in words[d]:
                 for g in langid.grams(w):
                     counts.setdefault(g, {}).setdefault(lang, 0)
