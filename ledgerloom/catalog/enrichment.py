@@ -8,6 +8,7 @@ from ledgerloom.catalog.base import cte, d, n, query
 from ledgerloom.operators import cube as cb
 from ledgerloom.operators import enrich, ingest
 from ledgerloom.operators.cube import GroupingSpec
+from ledgerloom.plans import cube_store, lineage
 from ledgerloom.sources import tables
 
 
@@ -161,6 +162,24 @@ def grand_total(spark, sf):
         date_from="1997-01-01", date_to="1999-12-31", include_hidden=True))
 
 
+def kept_cube(spark, sf):
+    """A stored cube that lacked every seventh order and had old sums of every thirteenth, brought up to date."""
+    rows = build.cube(spark, sf)
+    key = tables._order_key()
+    store = cube_store.CubeStore(spark, lineage.scratch(spark, "cube-store"))
+    old = F.when(key % 13 == 0, F.col("spend") * 2).otherwise(F.col("spend")).cast(rows.schema["spend"].dataType)
+    store.build(rows.filter(key % 7 != 0).withColumn("spend", old))
+    store.refresh(rows.filter((key % 7 == 0) | (key % 13 == 0)))
+    return store
+
+
+@query("rollup_kept", ["cube"], M("""
+SELECT tier1, month, SPEND AS spend, COUNT AS count, SPEND / COUNT AS avg_ticket
+FROM cube GROUP BY 1, 2"""))
+def rollup_kept(spark, sf):
+    return kept_cube(spark, sf).rollup(GroupingSpec(group_by=["tier1", "month"]))
+
+
 @query("distinct_values", ["cube"], "SELECT DISTINCT geo_city FROM cube WHERE geo_city IS NOT NULL")
 def distinct_values(spark, sf):
     return cb.distinct_values(build.cube(spark, sf), "geo_city")
@@ -248,6 +267,11 @@ def tie_out(spark, sf):
     return cb.tie_out(build.cube(spark, sf), GroupingSpec())
 
 
+@query("tie_out_kept", ["cube"], tie_sql())
+def tie_out_kept(spark, sf):
+    return cb.tie_out(kept_cube(spark, sf).sums.read(), GroupingSpec())
+
+
 @query("qc_metrics", ["cube"], f"""
 SELECT {d('sum(spend)')} AS spend_total, {d('sum(income)')} AS income_total,
   {d('sum(income) - sum(spend)')} AS net_total, {n()} FILTER (flow = 'excluded') AS n_excluded,

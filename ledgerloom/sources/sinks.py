@@ -112,9 +112,17 @@ class MonthStore:
 
     def write(self, df: DataFrame) -> None:
         """Replaces the months that `df` has rows of."""
+        self._replace(self._dated(df), ())
+
+    def replace(self, df: DataFrame, months) -> None:
+        """Replaces the given months by what `df` has of them; months it has no rows of are emptied."""
+        self._replace(self._dated(df), months)
+
+    def _replace(self, dated: DataFrame, months) -> None:
         number = self.manifest._claim()
-        written = self._put(self._dated(df), number)
-        self._commit({**self.months(), **dict.fromkeys(written, number)}, number)
+        written = self._put(dated, number)
+        left = {m: n for m, n in self.months().items() if m not in months}
+        self._commit({**left, **dict.fromkeys(written, number)}, number)
 
     def read(self, first: str | None = None, last: str | None = None, months=None, version: int | None = None) -> DataFrame:
         """The store, or its months from `first` to `last` (yyyy-MM, both included) or those named."""
@@ -145,10 +153,7 @@ class MonthStore:
         if set(touched) & set(held):
             kept = self.read(months=touched).join(fresh.select(self.key), self.key, "left_anti")
             out = kept.unionByName(fresh, allowMissingColumns=True)
-        number = self.manifest._claim()
-        written = self._put(out, number)
-        left = {m: n for m, n in held.items() if m not in touched}
-        self._commit({**left, **dict.fromkeys(written, number)}, number)
+        self._replace(out, touched)
         return touched
 
 
