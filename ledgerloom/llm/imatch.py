@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,9 +38,10 @@ KEEP = tuple(2.0**-k for k in range(2, 10) for _ in range(8))  # share of the le
 DIGITS = 4  # hexadecimal digits of a subset's hash
 EMPTY = "." * DIGITS
 HELD = 1_000_000  # distinct terms that a task adds up before it passes them on
-WORDS = 300_000  # words whose terms one Python worker keeps
+WORDS = 200_000  # words whose terms one Python worker keeps
 FIRST = -(1 << 63)  # rank of a null doc_id
 _SIGNS = re.compile(r"^[\W_]+|[\W_]+$")
+_PLAIN = string.punctuation  # what is left without these is mostly letters and digits, and needs no pattern
 
 
 class _Terms(dict):
@@ -48,7 +50,9 @@ class _Terms(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= WORDS:
             self.clear()
-        term = _SIGNS.sub("", word)
+        term = word.strip(_PLAIN)
+        if not term.isalnum():
+            term = _SIGNS.sub("", word)
         found = self[word] = xxhash.xxh64_intdigest(term) or 1 if term else 0
         return found
 
@@ -122,9 +126,9 @@ class Fingerprinter:
         if not len(at):
             return "".join(xxhash.xxh64_hexdigest(text, k)[:DIGITS] for k in range(len(self.keep)))
         held = np.unpackbits(self.bits[at], axis=1, count=len(self.keep)).T
-        rows, columns = np.nonzero(held)
+        columns = np.flatnonzero(held) % len(at)
         data = self.band[at][columns].tobytes()
-        ends = (8 * np.cumsum(np.bincount(rows, minlength=len(self.keep)))).tolist()
+        ends = (8 * np.cumsum(held.sum(axis=1, dtype=np.int64))).tolist()
         return "".join(xxhash.xxh64_hexdigest(data[a:b])[:DIGITS] if a < b else EMPTY for a, b in zip([0, *ends], ends))
 
 
