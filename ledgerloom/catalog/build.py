@@ -1,7 +1,7 @@
 """Spark side of the shared intermediate results that the registered queries start from.
 
-Deduplicated rows, settled rows and the cube are each written once a session and input folder, as a
-store that many jobs read is; later queries scan the columns they need.
+Deduplicated rows, settled rows and the cube are each written once a session and state of the input folder, as a
+store that many jobs read is; later queries scan the columns they need. A folder whose files change is built anew.
 """
 
 from ledgerloom.operators import enrich, ingest
@@ -11,9 +11,19 @@ from ledgerloom.sources import tables
 _STORES = {}
 
 
+def state(spark, sf):
+    """Name, size and time of every file of an input folder, whatever store it is in."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    found, files = [], root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def kept(spark, sf, name, build):
     """The stored result of `build`, written when it is first asked for."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, state(spark, sf), name)
     if key not in _STORES:
         _STORES[key] = lineage.stored(build(), name)
     return _STORES[key]

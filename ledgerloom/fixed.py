@@ -1,43 +1,143 @@
 """Word lists, tables, constants and patterns that results depend on."""
 
-# The legal category menu, primary -> detailed suffixes, in menu order.
+# The legal category menu, primary -> detailed, in menu order.
 MENU = {
-    "INCOME": "DIVIDENDS INTEREST_EARNED RETIREMENT_PENSION TAX_REFUND UNEMPLOYMENT WAGES "
-              "OTHER_INCOME",
-    "TRANSFER_IN": "CASH_ADVANCES_AND_LOANS DEPOSIT INVESTMENT_AND_RETIREMENT_FUNDS SAVINGS "
-                   "ACCOUNT_TRANSFER OTHER_TRANSFER_IN",
-    "TRANSFER_OUT": "INVESTMENT_AND_RETIREMENT_FUNDS SAVINGS WITHDRAWAL ACCOUNT_TRANSFER "
-                    "OTHER_TRANSFER_OUT",
-    "LOAN_PAYMENTS": "CAR_PAYMENT CREDIT_CARD_PAYMENT PERSONAL_LOAN_PAYMENT MORTGAGE_PAYMENT "
-                     "STUDENT_LOAN_PAYMENT OTHER_PAYMENT",
-    "BANK_FEES": "ATM_FEES FOREIGN_TRANSACTION_FEES INSUFFICIENT_FUNDS INTEREST_CHARGE "
-                 "OVERDRAFT_FEES OTHER_BANK_FEES",
-    "ENTERTAINMENT": "CASINOS_AND_GAMBLING MUSIC_AND_AUDIO "
-                     "SPORTING_EVENTS_AMUSEMENT_PARKS_AND_MUSEUMS TV_AND_MOVIES VIDEO_GAMES "
-                     "OTHER_ENTERTAINMENT",
-    "FOOD_AND_DRINK": "BEER_WINE_AND_LIQUOR COFFEE FAST_FOOD GROCERIES RESTAURANT "
-                      "VENDING_MACHINES OTHER_FOOD_AND_DRINK",
-    "GENERAL_MERCHANDISE": "BOOKSTORES_AND_NEWSSTANDS CLOTHING_AND_ACCESSORIES "
-                           "CONVENIENCE_STORES DEPARTMENT_STORES DISCOUNT_STORES ELECTRONICS "
-                           "GIFTS_AND_NOVELTIES OFFICE_SUPPLIES ONLINE_MARKETPLACES "
-                           "PET_SUPPLIES SPORTING_GOODS SUPERSTORES TOBACCO_AND_VAPE "
-                           "OTHER_GENERAL_MERCHANDISE",
-    "HOME_IMPROVEMENT": "FURNITURE HARDWARE REPAIR_AND_MAINTENANCE SECURITY "
-                        "OTHER_HOME_IMPROVEMENT",
-    "MEDICAL": "DENTAL_CARE EYE_CARE NURSING_CARE PHARMACIES_AND_SUPPLEMENTS PRIMARY_CARE "
-               "VETERINARY_SERVICES OTHER_MEDICAL",
-    "PERSONAL_CARE": "GYMS_AND_FITNESS_CENTERS HAIR_AND_BEAUTY LAUNDRY_AND_DRY_CLEANING "
-                     "OTHER_PERSONAL_CARE",
-    "GENERAL_SERVICES": "ACCOUNTING_AND_FINANCIAL_PLANNING AUTOMOTIVE CHILDCARE "
-                        "CONSULTING_AND_LEGAL EDUCATION INSURANCE POSTAGE_AND_SHIPPING STORAGE "
-                        "OTHER_GENERAL_SERVICES",
-    "GOVERNMENT_AND_NON_PROFIT": "DONATIONS GOVERNMENT_DEPARTMENTS_AND_AGENCIES TAX_PAYMENT "
-                                 "OTHER_GOVERNMENT_AND_NON_PROFIT",
-    "TRANSPORTATION": "BIKES_AND_SCOOTERS GAS PARKING PUBLIC_TRANSIT TAXIS_AND_RIDE_SHARES "
-                      "TOLLS OTHER_TRANSPORTATION",
-    "TRAVEL": "FLIGHTS LODGING RENTAL_CARS OTHER_TRAVEL",
-    "RENT_AND_UTILITIES": "GAS_AND_ELECTRICITY INTERNET_AND_CABLE RENT "
-                          "SEWAGE_AND_WASTE_MANAGEMENT TELEPHONE WATER OTHER_UTILITIES",
+    "INCOME": [
+        "INCOME_DIVIDENDS",
+        "INCOME_INTEREST_EARNED",
+        "INCOME_RETIREMENT_PENSION",
+        "INCOME_TAX_REFUND",
+        "INCOME_UNEMPLOYMENT",
+        "INCOME_WAGES",
+        "INCOME_OTHER_INCOME",
+    ],
+    "TRANSFER_IN": [
+        "TRANSFER_IN_CASH_ADVANCES_AND_LOANS",
+        "TRANSFER_IN_DEPOSIT",
+        "TRANSFER_IN_INVESTMENT_AND_RETIREMENT_FUNDS",
+        "TRANSFER_IN_SAVINGS",
+        "TRANSFER_IN_ACCOUNT_TRANSFER",
+        "TRANSFER_IN_OTHER_TRANSFER_IN",
+    ],
+    "TRANSFER_OUT": [
+        "TRANSFER_OUT_INVESTMENT_AND_RETIREMENT_FUNDS",
+        "TRANSFER_OUT_SAVINGS",
+        "TRANSFER_OUT_WITHDRAWAL",
+        "TRANSFER_OUT_ACCOUNT_TRANSFER",
+        "TRANSFER_OUT_OTHER_TRANSFER_OUT",
+    ],
+    "LOAN_PAYMENTS": [
+        "LOAN_PAYMENTS_CAR_PAYMENT",
+        "LOAN_PAYMENTS_CREDIT_CARD_PAYMENT",
+        "LOAN_PAYMENTS_PERSONAL_LOAN_PAYMENT",
+        "LOAN_PAYMENTS_MORTGAGE_PAYMENT",
+        "LOAN_PAYMENTS_STUDENT_LOAN_PAYMENT",
+        "LOAN_PAYMENTS_OTHER_PAYMENT",
+    ],
+    "BANK_FEES": [
+        "BANK_FEES_ATM_FEES",
+        "BANK_FEES_FOREIGN_TRANSACTION_FEES",
+        "BANK_FEES_INSUFFICIENT_FUNDS",
+        "BANK_FEES_INTEREST_CHARGE",
+        "BANK_FEES_OVERDRAFT_FEES",
+        "BANK_FEES_OTHER_BANK_FEES",
+    ],
+    "ENTERTAINMENT": [
+        "ENTERTAINMENT_CASINOS_AND_GAMBLING",
+        "ENTERTAINMENT_MUSIC_AND_AUDIO",
+        "ENTERTAINMENT_SPORTING_EVENTS_AMUSEMENT_PARKS_AND_MUSEUMS",
+        "ENTERTAINMENT_TV_AND_MOVIES",
+        "ENTERTAINMENT_VIDEO_GAMES",
+        "ENTERTAINMENT_OTHER_ENTERTAINMENT",
+    ],
+    "FOOD_AND_DRINK": [
+        "FOOD_AND_DRINK_BEER_WINE_AND_LIQUOR",
+        "FOOD_AND_DRINK_COFFEE",
+        "FOOD_AND_DRINK_FAST_FOOD",
+        "FOOD_AND_DRINK_GROCERIES",
+        "FOOD_AND_DRINK_RESTAURANT",
+        "FOOD_AND_DRINK_VENDING_MACHINES",
+        "FOOD_AND_DRINK_OTHER_FOOD_AND_DRINK",
+    ],
+    "GENERAL_MERCHANDISE": [
+        "GENERAL_MERCHANDISE_BOOKSTORES_AND_NEWSSTANDS",
+        "GENERAL_MERCHANDISE_CLOTHING_AND_ACCESSORIES",
+        "GENERAL_MERCHANDISE_CONVENIENCE_STORES",
+        "GENERAL_MERCHANDISE_DEPARTMENT_STORES",
+        "GENERAL_MERCHANDISE_DISCOUNT_STORES",
+        "GENERAL_MERCHANDISE_ELECTRONICS",
+        "GENERAL_MERCHANDISE_GIFTS_AND_NOVELTIES",
+        "GENERAL_MERCHANDISE_OFFICE_SUPPLIES",
+        "GENERAL_MERCHANDISE_ONLINE_MARKETPLACES",
+        "GENERAL_MERCHANDISE_PET_SUPPLIES",
+        "GENERAL_MERCHANDISE_SPORTING_GOODS",
+        "GENERAL_MERCHANDISE_SUPERSTORES",
+        "GENERAL_MERCHANDISE_TOBACCO_AND_VAPE",
+        "GENERAL_MERCHANDISE_OTHER_GENERAL_MERCHANDISE",
+    ],
+    "HOME_IMPROVEMENT": [
+        "HOME_IMPROVEMENT_FURNITURE",
+        "HOME_IMPROVEMENT_HARDWARE",
+        "HOME_IMPROVEMENT_REPAIR_AND_MAINTENANCE",
+        "HOME_IMPROVEMENT_SECURITY",
+        "HOME_IMPROVEMENT_OTHER_HOME_IMPROVEMENT",
+    ],
+    "MEDICAL": [
+        "MEDICAL_DENTAL_CARE",
+        "MEDICAL_EYE_CARE",
+        "MEDICAL_NURSING_CARE",
+        "MEDICAL_PHARMACIES_AND_SUPPLEMENTS",
+        "MEDICAL_PRIMARY_CARE",
+        "MEDICAL_VETERINARY_SERVICES",
+        "MEDICAL_OTHER_MEDICAL",
+    ],
+    "PERSONAL_CARE": [
+        "PERSONAL_CARE_GYMS_AND_FITNESS_CENTERS",
+        "PERSONAL_CARE_HAIR_AND_BEAUTY",
+        "PERSONAL_CARE_LAUNDRY_AND_DRY_CLEANING",
+        "PERSONAL_CARE_OTHER_PERSONAL_CARE",
+    ],
+    "GENERAL_SERVICES": [
+        "GENERAL_SERVICES_ACCOUNTING_AND_FINANCIAL_PLANNING",
+        "GENERAL_SERVICES_AUTOMOTIVE",
+        "GENERAL_SERVICES_CHILDCARE",
+        "GENERAL_SERVICES_CONSULTING_AND_LEGAL",
+        "GENERAL_SERVICES_EDUCATION",
+        "GENERAL_SERVICES_INSURANCE",
+        "GENERAL_SERVICES_POSTAGE_AND_SHIPPING",
+        "GENERAL_SERVICES_STORAGE",
+        "GENERAL_SERVICES_OTHER_GENERAL_SERVICES",
+    ],
+    "GOVERNMENT_AND_NON_PROFIT": [
+        "GOVERNMENT_AND_NON_PROFIT_DONATIONS",
+        "GOVERNMENT_AND_NON_PROFIT_GOVERNMENT_DEPARTMENTS_AND_AGENCIES",
+        "GOVERNMENT_AND_NON_PROFIT_TAX_PAYMENT",
+        "GOVERNMENT_AND_NON_PROFIT_OTHER_GOVERNMENT_AND_NON_PROFIT",
+    ],
+    "TRANSPORTATION": [
+        "TRANSPORTATION_BIKES_AND_SCOOTERS",
+        "TRANSPORTATION_GAS",
+        "TRANSPORTATION_PARKING",
+        "TRANSPORTATION_PUBLIC_TRANSIT",
+        "TRANSPORTATION_TAXIS_AND_RIDE_SHARES",
+        "TRANSPORTATION_TOLLS",
+        "TRANSPORTATION_OTHER_TRANSPORTATION",
+    ],
+    "TRAVEL": [
+        "TRAVEL_FLIGHTS",
+        "TRAVEL_LODGING",
+        "TRAVEL_RENTAL_CARS",
+        "TRAVEL_OTHER_TRAVEL",
+    ],
+    "RENT_AND_UTILITIES": [
+        "RENT_AND_UTILITIES_GAS_AND_ELECTRICITY",
+        "RENT_AND_UTILITIES_INTERNET_AND_CABLE",
+        "RENT_AND_UTILITIES_RENT",
+        "RENT_AND_UTILITIES_SEWAGE_AND_WASTE_MANAGEMENT",
+        "RENT_AND_UTILITIES_TELEPHONE",
+        "RENT_AND_UTILITIES_WATER",
+        "RENT_AND_UTILITIES_OTHER_UTILITIES",
+    ],
 }
 
 # Leaves the taxonomy still maps although the menu has retired them.
@@ -103,37 +203,28 @@ MERCHANT_OVERRIDES = [
     (r"(?i)doordash|grubhub", "Dining Out", "Restaurant"),
 ]
 
-_RIDE = ("TRANSPORTATION", "TRANSPORTATION_TAXIS_AND_RIDE_SHARES")
-_MEAL = ("FOOD_AND_DRINK", "FOOD_AND_DRINK_RESTAURANT")
-_COFFEE = ("FOOD_AND_DRINK", "FOOD_AND_DRINK_COFFEE")
-_TV = ("ENTERTAINMENT", "ENTERTAINMENT_TV_AND_MOVIES")
-_MUSIC = ("ENTERTAINMENT", "ENTERTAINMENT_MUSIC_AND_AUDIO")
-_SUPER = ("GENERAL_MERCHANDISE", "GENERAL_MERCHANDISE_SUPERSTORES")
-_MARKET = ("GENERAL_MERCHANDISE", "GENERAL_MERCHANDISE_ONLINE_MARKETPLACES")
-_GAS = ("TRANSPORTATION", "TRANSPORTATION_GAS")
-
 # Built-in rules (kind, pattern, (primary, detailed), trust), first match wins.
 RULES = [
     ("pos_prefix", "COT*FLT", ("TRAVEL", "TRAVEL_FLIGHTS"), "auto"),
     ("pos_prefix", "COT*HTL", ("TRAVEL", "TRAVEL_LODGING"), "auto"),
-    ("pos_prefix", "TST*", _MEAL, "flag"),
-    ("website", "uber.com", _RIDE, "flag"),
-    ("website", "lyft.com", _RIDE, "flag"),
-    ("website", "doordash.com", _MEAL, "flag"),
-    ("website", "grubhub.com", _MEAL, "flag"),
-    ("website", "starbucks.com", _COFFEE, "flag"),
-    ("website", "netflix.com", _TV, "flag"),
-    ("website", "spotify.com", _MUSIC, "flag"),
-    ("website", "amazon.com", _MARKET, "flag"),
-    ("website", "walmart.com", _SUPER, "flag"),
-    ("website", "target.com", _SUPER, "flag"),
-    ("keyword", "uber", _RIDE, "flag"),
-    ("keyword", "lyft", _RIDE, "flag"),
-    ("keyword", "starbucks", _COFFEE, "flag"),
-    ("keyword", "netflix", _TV, "flag"),
-    ("keyword", "spotify", _MUSIC, "flag"),
-    ("keyword", "shell", _GAS, "flag"),
-    ("keyword", "chevron", _GAS, "flag"),
+    ("pos_prefix", "TST*", ("FOOD_AND_DRINK", "FOOD_AND_DRINK_RESTAURANT"), "flag"),
+    ("website", "uber.com", ("TRANSPORTATION", "TRANSPORTATION_TAXIS_AND_RIDE_SHARES"), "flag"),
+    ("website", "lyft.com", ("TRANSPORTATION", "TRANSPORTATION_TAXIS_AND_RIDE_SHARES"), "flag"),
+    ("website", "doordash.com", ("FOOD_AND_DRINK", "FOOD_AND_DRINK_RESTAURANT"), "flag"),
+    ("website", "grubhub.com", ("FOOD_AND_DRINK", "FOOD_AND_DRINK_RESTAURANT"), "flag"),
+    ("website", "starbucks.com", ("FOOD_AND_DRINK", "FOOD_AND_DRINK_COFFEE"), "flag"),
+    ("website", "netflix.com", ("ENTERTAINMENT", "ENTERTAINMENT_TV_AND_MOVIES"), "flag"),
+    ("website", "spotify.com", ("ENTERTAINMENT", "ENTERTAINMENT_MUSIC_AND_AUDIO"), "flag"),
+    ("website", "amazon.com", ("GENERAL_MERCHANDISE", "GENERAL_MERCHANDISE_ONLINE_MARKETPLACES"), "flag"),
+    ("website", "walmart.com", ("GENERAL_MERCHANDISE", "GENERAL_MERCHANDISE_SUPERSTORES"), "flag"),
+    ("website", "target.com", ("GENERAL_MERCHANDISE", "GENERAL_MERCHANDISE_SUPERSTORES"), "flag"),
+    ("keyword", "uber", ("TRANSPORTATION", "TRANSPORTATION_TAXIS_AND_RIDE_SHARES"), "flag"),
+    ("keyword", "lyft", ("TRANSPORTATION", "TRANSPORTATION_TAXIS_AND_RIDE_SHARES"), "flag"),
+    ("keyword", "starbucks", ("FOOD_AND_DRINK", "FOOD_AND_DRINK_COFFEE"), "flag"),
+    ("keyword", "netflix", ("ENTERTAINMENT", "ENTERTAINMENT_TV_AND_MOVIES"), "flag"),
+    ("keyword", "spotify", ("ENTERTAINMENT", "ENTERTAINMENT_MUSIC_AND_AUDIO"), "flag"),
+    ("keyword", "shell", ("TRANSPORTATION", "TRANSPORTATION_GAS"), "flag"),
+    ("keyword", "chevron", ("TRANSPORTATION", "TRANSPORTATION_GAS"), "flag"),
 ]
 
 # Fixed values: (text label, shown when) for the step that last set a category.
@@ -185,7 +276,7 @@ FIELD_LAYER = {
 
 def menu_pairs():
     """(primary, detailed) of the legal menu, in menu order."""
-    return [(p, f"{p}_{leaf}") for p, leaves in MENU.items() for leaf in leaves.split()]
+    return [(p, leaf) for p, leaves in MENU.items() for leaf in leaves]
 
 
 def atom_pairs():

@@ -79,7 +79,7 @@ def keyword_table_match(df: DataFrame, rules: DataFrame, key="transaction_id") -
 
     Texts and keywords meet in an equi-join on the keyword's run of tokens, so a row only ever
     sees rules whose tokens it holds; the exact boundary test then runs on those candidates.
-    Keywords without a letter or digit meet the texts by their first characters instead.
+    Keywords without a letter or digit meet the texts by their rarest characters instead.
     """
     kw = rules.filter("kind = 'keyword'").withColumn(
         "_gram", F.array_join(_tokens(F.lower("pattern")), " ")).withColumn(
@@ -103,24 +103,38 @@ def keyword_table_match(df: DataFrame, rules: DataFrame, key="transaction_id") -
 LEAD = 3
 
 
+def _runs(c, size, n) -> Column:
+    """Every run of n characters; for n = 0 the empty one."""
+    if n == 0:
+        return F.array(F.lit(""))
+    starts = F.sequence(F.lit(1), size - n + 1)
+    return F.when(size >= n, F.transform(starts, lambda i: F.substring(c, i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def _substrings(df: DataFrame, rules: DataFrame, text_sql: str, needle: Column, key) -> DataFrame:
-    """(key, _text, rule columns) where the text holds the needle; both meet on its first characters."""
-    own = rules.withColumn("_needle", needle).select(
-        F.substring("_needle", 1, LEAD).alias("_lead"), "_needle", "ord", "pattern", "primary",
-        "detailed", "trust")
-    sizes = [r[0] for r in own.select(F.length("_lead")).distinct().collect()]  # 0 to LEAD
-    words = df.select(key, F.expr(text_sql).alias("_text"))
-    none, size = F.array().cast("array<string>"), F.length("_text")
-
-    def heads(n):
-        runs = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring("_text", i, F.lit(n)))
-        return F.when(size >= n, runs).otherwise(none)
-
-    leads = [heads(n) for n in sizes if n is not None]
-    bag = F.explode(F.array_distinct(F.concat(*(leads or [none]))))
-    return (words.select(key, "_text", bag.alias("_lead")).join(own, "_lead")
-            .filter(F.contains("_text", "_needle"))
-            .select(key, "_text", "ord", "pattern", "primary", "detailed", "trust"))
+    """(key, _text, rule columns) where the text holds the needle.
+
+    Each needle is indexed under its rarest run of `LEAD` characters (all of it, if it is shorter), by how many of the
+    texts hold the run, so needles with a common beginning do not meet in one key and a text meets a needle only where it
+    holds its least likely part.
+    """
+    own = rules.withColumn("_needle", needle).filter("_needle IS NOT NULL").select(
+        "_needle", "ord", "pattern", "primary", "detailed", "trust")
+    length = F.length("_needle")
+    sizes = sorted(r[0] for r in own.select(F.least(length, F.lit(LEAD))).distinct().collect())  # 0 to LEAD
+    words, size = df.select(key, F.expr(text_sql).alias("_text")), F.length("_text")
+    runs = [_runs(F.col("_text"), size, n) for n in sizes] or [F.array().cast("array<string>")]
+    each = words.select(key, "_text", F.explode(F.array_distinct(F.concat(*runs))).alias("_run"))
+    parts = F.array().cast("array<string>")
+    for n in sizes:
+        parts = F.when(F.least(length, F.lit(LEAD)) == n, _runs(F.col("_needle"), length, n)).otherwise(parts)
+    of = own.select("_needle").distinct().select("_needle", F.explode(F.array_distinct(parts)).alias("_run"))
+    held = each.select("_run").join(of.select("_run").distinct(), "_run", "left_semi").groupBy("_run").agg(
+        F.count(F.lit(1)).alias("_texts"))
+    index = of.join(held, "_run").groupBy("_needle").agg(F.min_by("_run", F.struct("_texts", "_run")).alias("_run"))
+    met = each.join(index, "_run").filter(F.contains("_text", "_needle")).select(key, "_text", "_needle")
+    return met.join(own, "_needle").select(key, "_text", "ord", "pattern", "primary", "detailed", "trust")
 
 
 def _best(found: DataFrame, key, rule_name: Column) -> DataFrame:

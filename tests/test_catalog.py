@@ -9,7 +9,7 @@ from ledgerloom import catalog
 
 TABLES = "/root/testdata/sf0.001"
 SAMPLE = ["ingest_counts", "rollup", "tie_out", "recurring_next", "trailing_avg", "rule_cascade",
-          "reconcile", "match_intents", "sync_counts"]
+          "reconcile", "match_intents", "sync_counts", "transfer_netting", "audit_run", "overfetch_log"]
 
 
 def text(v):
@@ -33,3 +33,15 @@ def test_given_tables_when_queried_then_equal_to_the_sql_twin(spark, name):
 
 def test_given_the_catalog_when_listed_then_every_query_has_a_twin():
     assert set(catalog.queries()) == set(catalog.oracle_sql()) <= set(entry.queries())
+
+
+def test_given_a_changed_input_when_asked_again_then_the_store_is_built_anew(spark, tmp_path):
+    from ledgerloom.catalog import build
+
+    def ids():
+        return sorted(r[0] for r in build.kept(spark, str(tmp_path), "ids", lambda: spark.read.parquet(str(tmp_path / "a.parquet"))).collect())
+
+    spark.range(3).write.parquet(str(tmp_path / "a.parquet"))
+    assert ids() == ids() == [0, 1, 2]
+    spark.range(2).write.mode("append").parquet(str(tmp_path / "a.parquet"))
+    assert ids() == [0, 0, 1, 1, 2]

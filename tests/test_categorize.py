@@ -274,8 +274,8 @@ def test_given_two_copies_when_reconciled_then_classes_and_winners(spark, make):
     out = diff.adopt_head(local, remote)
     got = {r[0]: (r[1], r[2], float(r[3])) for r in rows(
         out, "transaction_id", "sync_class", "merged.txn_owner", "merged.amount")}
-    assert got == {"same": ("in_sync", "x", 6.5), "l": ("local_only", "u1", 6.5),
-                   "r": ("remote_only", "u1", 6.5), "newer": ("conflict", "u1", 1.0),
+    assert got == {"same": ("in_sync", "x", 7.25), "l": ("local_only", "u1", 7.25),
+                   "r": ("remote_only", "u1", 7.25), "newer": ("conflict", "u1", 1.0),
                    "tie": ("conflict", "u1", 2.0), "none": ("conflict", "u1", 2.0)}
     with pytest.raises(diff.GateError):
         diff.unresolved_gate(out)
@@ -328,7 +328,7 @@ def test_given_runs_when_audited_then_delta_stamps_and_gates(spark, make, tmp_pa
                    "p": ("", "", "r1")}
     assert sorted(r[0] for r in rows(one.changes, "transaction_id")) == ["f", "m"]
     assert [r[0] for r in rows(one.worklist, "transaction_id")] == ["u"]
-    assert one.memory.filter("key = 'ent:ent_bluebottle'").first()["detailed"] == "TRAVEL_FLIGHTS"
+    assert one.memory.filter("key = 'ent:ent_harborlane'").first()["detailed"] == "TRAVEL_FLIGHTS"
     prior = cut(one.store)
     src[0]["amount"] = 9
     src[3] = {"transaction_id": "q", "pending_transaction_id": "p"}
@@ -365,7 +365,7 @@ def test_given_a_store_when_swept_then_findings(spark, make):
               {"transaction_id": "sign", "primary": WAGES[0], "detailed": WAGES[1]},
               {"transaction_id": "old", "pending": True, "date": "2026-01-01"},
               {"transaction_id": "new", "pending": True, "date": "2026-01-20"})
-    got = sweeps.audit_scan(df, "2026-01-31", memory(spark, ("ent:ent_bluebottle", GOODS)),
+    got = sweeps.audit_scan(df, "2026-01-31", memory(spark, ("ent:ent_harborlane", GOODS)),
                             outliers=2)
     by = {}
     for sweep, id_, _ in rows(got):
@@ -373,4 +373,22 @@ def test_given_a_store_when_swept_then_findings(spark, make):
     assert by == {"uncategorized": {"none"}, "taxonomy_invalid": {"bad"},
                   "sign_violations": {"sign"}, "stale_pending": {"old"},
                   "memory_conflicts": {"none", "bad", "sign"},
-                  "entity_inconsistent": {"ent_bluebottle"}, "amount_outliers": {"sign", "old"}}
+                  "entity_inconsistent": {"ent_harborlane"}, "amount_outliers": {"sign", "old"}}
+
+
+def test_given_a_long_table_when_matched_by_rarest_run_then_as_one_by_one(spark, make):
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abc*") for _ in range(n))
+    texts = [{"transaction_id": f"t{k}", "name": word(12), "original_description": None} for k in range(40)]
+    patterns = sorted({word(rng.randrange(1, 6)) for _ in range(60)} | {"nowhere", "ab"})
+    table = spark.createDataFrame([("pos_prefix", i, p, "TRAVEL", "TRAVEL_FLIGHTS", "auto") for i, p in enumerate(patterns)],
+                                  "kind string, ord int, pattern string, primary string, detailed string, trust string")
+    got = rules.pos_table_match(make(*texts), table).select("transaction_id", "_pt.rule_name").collect()
+    want = []
+    for t in texts:
+        first = next((p for p in patterns if p in t["name"] + " "), None)
+        if first is not None:
+            want.append((t["transaction_id"], "pos:" + first.rstrip("*")))
+    assert sorted(tuple(r) for r in got) == sorted(want)

@@ -75,7 +75,7 @@ def test_given_places_when_enriched_then_scope_and_labels(make):
         {"transaction_id": "4", "iso_currency_code": None, "city": None}))
     got = {r[0]: r[1:] for r in rows(enrich.geo_dims(df), "transaction_id", "geo_scope",
                                      "geo_country", "geo_city")}
-    assert got["1"] == ("International", "Unknown", "Oakland")
+    assert got["1"] == ("International", "Unknown", "Duluth")
     assert got["2"][:2] == ("International", "FR")
     assert got["3"][:2] == ("International", "Unknown")
     assert got["4"] == ("Domestic", "US", "Unknown")
@@ -248,7 +248,7 @@ def test_given_rows_when_written_flat_then_guarded_and_ordered(spark, make, tmp_
     write_flat_csv(flat, str(tmp_path / "c"), ["transaction_id", "date", "name", "amount"])
     back = spark.read.option("header", True).csv(str(tmp_path / "c"))
     assert [tuple(r) for r in back.orderBy("date").collect()] == [
-        ("1", "2026-01-01", "ok", "6.50"), ("2", "2026-02-01", "'=x", "6.50")]
+        ("1", "2026-01-01", "ok", "7.25"), ("2", "2026-02-01", "'=x", "7.25")]
     append_log(back, str(tmp_path / "log"))
     append_log(back, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 4
