@@ -7,8 +7,8 @@ moments of the beta-binomial distribution around the parents' means. A page is l
 host's posterior good rate reaches `LEAST`; a host without outcomes has its domain's rate, and so on upwards. Given
 rules on host and path come first, the longest that fits.
 
-Counting is a partial aggregation, so a hot host costs no task more than its groups; the host table, which grows
-with the data, is joined by host, where adaptive execution splits a hot host.
+Counting is a partial aggregation, so a hot host costs no task more than its groups. Hot hosts, a thousand at most, are
+sent to the pages; the rest of the host table, which grows with the data, is joined by host.
 
 A null url, or one without `://`, has an empty host and path, and is judged like any host. Rows that repeat a page_id are
 judged each; a repeated page counts once among outcomes of its host, its labels added up. Without any outcome all
@@ -20,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import stored, table
 
 Z = 1.645  # one-sided 95 % of the normal distribution
 LEAST = 0.5
+HOT = 1000  # a host of more than one page in so many is hot
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
 # Second-level labels under which names are registered in many countries.
@@ -73,7 +74,7 @@ def _correlation(counts: DataFrame) -> float:
 def reputations(outcomes: DataFrame) -> tuple[dict[str, DataFrame], dict[str, float], float | None]:
     """outcomes: host, n, good. By level the posterior means (level, mean; hosts also n), by level the strength of the
     prior, and the rate of all outcomes."""
-    counted = with_levels(outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
+    counted = stored(with_levels(outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))), "hosts")
     total = counted.agg(F.sum("n"), F.sum("good")).first()
     if not total[0]:
         return {}, {}, None
@@ -112,16 +113,21 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = LEA
         return rows.select("page_id", "host", "path", name.alias("rule"), F.coalesce(says, F.lit("allow")).alias("verdict"),
                            F.lit(0).cast("long").alias("n_outcomes"), F.lit(None).cast("double").alias("rate"),
                            F.lit(None).cast("double").alias("bound"))
-    hosts = with_levels(rows.select("host").distinct())
+    sizes = stored(rows.groupBy("host").agg(F.count("*").alias("pages")), "host-sizes")
+    hosts = with_levels(sizes)
     for level in LEVELS:
         hosts = hosts.join(means[level].select(level, F.col("posterior").alias(f"{level}_mean"),
                                                F.col("n").alias(f"{level}_n")), level, "left")
     n = F.coalesce(F.col("host_n"), F.lit(0.0))
     mean = F.coalesce("host_mean", "domain_mean", "suffix_mean", F.lit(rate))
-    hosts = hosts.select("host", n.cast("long").alias("n_outcomes"), mean.alias("rate"),
-                         bound(mean, n + strengths["host"]).alias("bound"))
+    hosts = stored(hosts.select("host", "pages", n.cast("long").alias("n_outcomes"), mean.alias("rate"),
+                                bound(mean, n + strengths["host"]).alias("bound")), "host-bounds")
+    # hosts of a thousandth of all pages are a thousand at most: they go to the pages, all other pages go to their hosts
+    every = sizes.agg(F.sum("pages")).first()[0]
+    hot = F.broadcast(hosts.filter(F.col("pages") * HOT >= every))
+    met = rows.join(hot, "host").unionByName(rows.join(hot.select("host"), "host", "left_anti").join(hosts, "host"))
     judged = F.when(F.col("bound") >= least, "allow").otherwise("block")
-    return rows.join(hosts, "host").select("page_id", "host", "path", name.alias("rule"),
+    return met.select("page_id", "host", "path", name.alias("rule"),
                                            F.coalesce(says, judged).alias("verdict"), "n_outcomes", "rate", "bound")
 
 
