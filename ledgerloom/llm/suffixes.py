@@ -9,8 +9,8 @@ bytes, so equal strings name it alike and none is lost. A sample stands for the
 what all of them have in common, and neighbours that agree on the whole run, context included, are one class.
 
 Shards are never sorted again together: their transforms are interleaved by rounds of refinement. A block of the interleave
-holds the suffixes of all shards that agree on the bytes compared so far, each shard giving one row for an interval of
-its own. Each round compares more bytes within the live blocks, 64 first and then the whole core; a block that is left
+holds the suffixes of all shards that agree on the bytes compared so far, each shard giving one row for a class of its
+own, with the number of its members; what classes of several cover in their shard is put together there. Each round compares more bytes within the live blocks, 64 first and then the whole core; a block that is left
 with one suffix is settled, shares no more than those bytes with any other, and leaves. What stays live are the
 repeated intervals. If a class there has two members, all of its strings repeat. Blocks of several classes
 differ somewhere before or behind the core; of each class there one member hands in a hash for each of its strings, so
@@ -81,12 +81,14 @@ def samples(blob: bytes, ends: list[int], length: int) -> tuple[np.ndarray, np.n
 
 
 class Shard:
-    """Sampled suffixes of a few megabytes of texts."""
+    """Sampled suffixes of a few megabytes of texts, one for each class; what a class has more of is counted."""
 
     def __init__(self, length: int):
         self.length, self.size = length, 0
+        self.numbers: dict[tuple[int, int], int] = {}  # of the classes, by core and full
         self.suffixes: list[bytes] = []
-        self.found: list[tuple] = []  # first, core, full, width, row, start
+        self.classes: list[tuple] = []  # first, core, full, width
+        self.members: list[tuple] = []  # arrays: class, row, start
 
     def add(self, texts: list[tuple[int, int, bytes]]) -> None:
         """texts: (row, offset, bytes)."""
@@ -95,27 +97,47 @@ class Shard:
         at, low, high = samples(blob, ends.tolist(), self.length)
         of = np.searchsorted(ends, low, side="right")
         base = (np.concatenate([[0], ends[:-1]]) - [o for _, o, _ in texts])[of]
-        rows, starts = np.array([r for r, _, _ in texts], np.int64)[of], low - base
-        for place, begin, end, row, start in zip(at.tolist(), low.tolist(), (high + self.length).tolist(), rows.tolist(), starts.tolist()):
-            self.suffixes.append(blob[place:min(place + self.length, end)])
-            self.found.append((_digest(blob[place:place + min(FIRST, core)]), _digest(blob[place:place + core]),
-                               _digest(blob[begin:end], place - begin), end - begin, row, start))
+        rows, named = np.array([r for r, _, _ in texts], np.int64)[of], np.empty(len(at), np.int64)
+        for k, (place, begin, end) in enumerate(zip(at.tolist(), low.tolist(), (high + self.length).tolist())):
+            key = _digest(blob[place:place + core]), _digest(blob[begin:end], place - begin)
+            number = self.numbers.setdefault(key, len(self.classes))
+            if number == len(self.classes):
+                self.classes.append((_digest(blob[place:place + min(FIRST, core)]), *key, end - begin))
+                self.suffixes.append(blob[place:min(place + self.length, end)])
+            named[k] = number
+        self.members.append((named, rows, low - base))
         self.size += len(blob)
 
     def transform(self) -> pa.RecordBatch | None:
-        """A row for each class, in the order of the suffixes."""
-        if not self.found:
+        """A row for each class, in the order of the suffixes; then the stretches that classes of several members cover."""
+        if not self.classes:
             return None
-        order = sorted(range(len(self.found)), key=self.suffixes.__getitem__)
-        found = np.array(self.found, np.uint64)[order]
-        first, core, full, width, row, start = found.T
-        interval = np.cumsum(np.diff(core, prepend=core[:1]) != 0)
-        by = np.lexsort((full, interval))
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(interval[by]) != 0) | (np.diff(full[by]) != 0)]))
-        lists = pa.array(np.append(new, len(by)), pa.int32())
-        heads, whole = by[new], lambda x: pa.array(x.view(np.int64))
-        return record(first=whole(first[heads]), core=whole(core[heads]), full=whole(full[heads]), width=pa.array(width[heads].astype(np.int32)),
-                      rows=pa.ListArray.from_arrays(lists, whole(row[by])), starts=pa.ListArray.from_arrays(lists, pa.array(start[by].astype(np.int64))))
+        of, row, start = (np.concatenate(x) for x in zip(*self.members))
+        first, core, full, width = np.array(self.classes, np.uint64).T
+        counts, (_, heads) = np.bincount(of), np.unique(of, return_index=True)
+        order = np.array(sorted(range(len(self.classes)), key=self.suffixes.__getitem__))
+        again = np.flatnonzero(counts[of] > 1)
+        spans = covered(row[again], start[again], start[again] + width[of[again]].astype(np.int64))
+        none, whole = [None] * len(spans[0]), lambda x: x.view(np.int64).tolist()
+        return record(first=pa.array(whole(first[order]) + none, pa.int64()), core=pa.array(whole(core[order]) + none, pa.int64()),
+                      full=pa.array(whole(full[order]) + none, pa.int64()), width=pa.array(width[order].tolist() + none, pa.int32()),
+                      members=pa.array(counts[order].tolist() + none, pa.int64()),
+                      row=pa.array(np.concatenate([row[heads][order], spans[0]])),
+                      start=pa.array(np.concatenate([start[heads][order], spans[1]])),
+                      end=pa.array([None] * len(order) + spans[2].tolist(), pa.int64()))
+
+
+def covered(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of rows put together where they overlap or touch."""
+    if not len(row):
+        return row, start, end
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    apart = np.cumsum(np.diff(row, prepend=row[:1]) != 0) * (int(end.max()) + 1)  # no row reaches into the next one
+    reached = np.maximum.accumulate(end + apart)
+    new = np.flatnonzero(np.concatenate([[True], start[1:] + apart[1:] > reached[:-1]]))
+    last = np.append(new[1:] - 1, len(row) - 1)
+    return row[new], start[new], reached[last] - apart[last]
 
 
 def _pieces(row: int, text: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
@@ -124,7 +146,8 @@ def _pieces(row: int, text: bytes, length: int) -> Iterator[tuple[int, int, byte
 
 
 def transforms(texts: DataFrame, length: int) -> DataFrame:
-    """first, core, full, width, rows, starts: the classes of every shard. texts: row, text."""
+    """first, core, full, width, members, row, start (of one of them): the classes of every shard; and, without these
+    digests, row, start, end: what classes with several members in a shard cover. texts: row, text."""
 
     def run(batches):
         shard, held, size = Shard(length), [], 0
@@ -146,29 +169,33 @@ def transforms(texts: DataFrame, length: int) -> DataFrame:
         if rest is not None:
             yield rest
 
-    return texts.mapInArrow(run, "first long, core long, full long, width int, rows array<long>, starts array<long>")
+    return texts.mapInArrow(run, "first long, core long, full long, width int, members long, row long, start long, end long")
 
 
 def interleaved(classes: DataFrame) -> DataFrame:
-    """The classes (stored; they go) in blocks that hold two suffixes or more once their cores are compared."""
-    live = classes
+    """The classes in blocks that hold two suffixes or more once their cores are compared; stored."""
+    live, last = classes, None
     for compared in ("first", "core"):
-        blocks = live.groupBy(compared).agg(F.sum(F.size("rows")).alias("suffixes")).filter("suffixes > 1")
-        last, live = live, stored(live.join(blocks.select(compared), compared, "left_semi"), f"live-{compared}")
-        dropped(last)
+        blocks = live.groupBy(compared).agg(F.sum("members").alias("suffixes")).filter("suffixes > 1")
+        live = stored(live.join(blocks.select(compared), compared, "left_semi"), f"live-{compared}")
+        if last is not None:
+            dropped(last)
+        last = live
     return live
 
 
 def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """row, spans: of each text (row, text; stored) stretches in which every string of `length` bytes is repeated; all such
     strings lie in one of them."""
-    live = interleaved(stored(transforms(texts, length), "transforms"))
-    first = F.struct(F.element_at("rows", 1).alias("row"), F.element_at("starts", 1).alias("start"))
-    classes = stored(live.groupBy("core", "full", "width").agg(F.sum(F.size("rows")).alias("members"), F.min(first).alias("one")), "classes")
+    found = stored(transforms(texts, length), "transforms")
+    inner = stored(found.filter("core IS NULL").select("row", "start", "end"), "spans")
+    live = interleaved(found.filter("core IS NOT NULL").drop("end"))
+    dropped(found)
+    classes = stored(live.groupBy("core", "full", "width").agg(F.sum("members").alias("members"), F.min(F.struct("row", "start")).alias("one")),
+                     "classes")
     several = classes.filter("members > 1").select("core", "full", "width")
-    whole = (live.join(several, ["core", "full", "width"], "left_semi")
-             .select("width", F.explode(F.arrays_zip("rows", "starts")).alias("at"))
-             .select(F.col("at.rows").alias("row"), F.col("at.starts").alias("start"), (F.col("at.starts") + F.col("width")).alias("end")))
+    whole = (live.filter("members = 1").join(several, ["core", "full", "width"], "left_semi")
+             .select("row", "start", (F.col("start") + F.col("width")).alias("end")).union(inner))
     mixed = classes.groupBy("core").agg(F.count("*").alias("classes"), F.min("members").alias("least")).filter("classes > 1 AND least = 1")
     asked = classes.join(mixed.select("core"), "core").select("one.*", "core", "width", (F.col("members") == 1).alias("alone"))
     hashes = stored(_hashed(texts, asked, length), "strings")
@@ -177,7 +204,7 @@ def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     crossing = hashes.filter("alone").join(shared.select("core", "string"), ["core", "string"], "left_semi")
     spans = whole.union(crossing.select("row", "start", (F.col("start") + length).alias("end")))
     found = stored(spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")  # of one text
-    dropped(live, classes, hashes)
+    dropped(inner, live, classes, hashes)
     return found
 
 

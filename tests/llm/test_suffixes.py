@@ -83,3 +83,21 @@ def test_odd_rows(spark, none):
     assert result(suffixes.dedup(spark.createDataFrame([(1, text), (1, text), (2, text + "x")], "doc_id long, text string")))[0][2] == 0
     with pytest.raises(ValueError):
         suffixes.reach(15)
+
+
+def test_texts_of_few_different_strings_stay_small():
+    """Every string of such a text names a sample of its own; they are one class, and one stretch."""
+    shard = suffixes.Shard(400)
+    text = b"a" * 300_000
+    shard.add([(7, 0, text)])
+    rows = shard.transform().to_pylist()
+    assert len(shard.suffixes) == 1 and [r["members"] for r in rows] == [len(text) - 399, None]
+    assert (rows[1]["row"], rows[1]["start"], rows[1]["end"]) == (7, 0, len(text))
+
+
+def test_stretches_are_put_together():
+    rng = np.random.default_rng(0)
+    row, start = rng.integers(0, 5, 200), rng.integers(0, 300, 200)
+    end = start + rng.integers(1, 9, 200)
+    want = [(r, a, b) for r in range(5) for a, b in suffixes.merged(list(zip(start[row == r].tolist(), end[row == r].tolist())))]
+    assert list(zip(*(x.tolist() for x in suffixes.covered(row, start, end)))) == want
