@@ -23,4 +23,4 @@ def numbered(df: DataFrame, key, order, name="place") -> DataFrame:
     same = F.col("_part") == F.col("_p")
     for i, k in enumerate(key):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return held.join(counts, same).select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias(name))
+    return held.join(counts.hint("merge"), same).select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias(name))

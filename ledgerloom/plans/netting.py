@@ -8,6 +8,9 @@ each of which takes every pair that is the best of both its rows at once.
 Rows of one person, size, account, day and side are alike but for their ids, so offers are made between such cells and carry a
 number of rows: a size that everybody moves is a few cells. For each day only the two least accounts are offered, as any
 account but one's own will do, so a cell meets at most 2 * days + 1 rows and no pairs are listed.
+
+Cells are as many as transfers, whatever their compressed tables look like, so every join asks for a merge: none sends a
+side through the driver.
 """
 
 from functools import reduce
@@ -37,7 +40,7 @@ def _best(own: DataFrame, other: DataFrame, days: int) -> DataFrame:
                .withColumnRenamed("day", "day2"))
     near = own.select(*KEY, "day", "account_id", F.explode(F.sequence(F.lit(-days), F.lit(days))).alias("by"))
     near = near.withColumn("day2", F.date_add("day", F.col("by")))
-    met = near.join(offered, [*KEY, "day2"]).withColumn(
+    met = near.join(offered.hint("merge"), [*KEY, "day2"]).withColumn(
         "account2", F.when(F.col("one") != F.col("account_id"), F.col("one")).otherwise(F.col("two")))
     return (met.filter(F.col("account2") != F.col("account_id")).groupBy(*KEY, "day", "account_id")
             .agg(F.min(F.struct(F.abs("by").alias("far"), "day2", "account2")).alias("offer"))
@@ -54,10 +57,10 @@ def flows(cells: DataFrame, days: int) -> DataFrame:
         answers = _best(back, out, days).select(
             *KEY, F.col("day").alias("day2"), F.col("account_id").alias("account2"), F.col("day2").alias("day"),
             F.col("account2").alias("account_id"))
-        mutual = offers.join(answers, [*KEY, "day", "account_id", "day2", "account2"])
+        mutual = offers.join(answers.hint("merge"), [*KEY, "day", "account_id", "day2", "account2"])
         theirs = back.select(*KEY, F.col("day").alias("day2"), F.col("account_id").alias("account2"),
                              F.col("n").alias("n2"), F.col("used").alias("in_from"))
-        taken = mutual.join(out, [*KEY, "day", "account_id"]).join(theirs, [*KEY, "day2", "account2"]).select(
+        taken = mutual.join(out.hint("merge"), [*KEY, "day", "account_id"]).join(theirs.hint("merge"), [*KEY, "day2", "account2"]).select(
             *KEY, "day", "account_id", "day2", "account2", F.col("used").alias("out_from"), "in_from",
             F.least("n", "n2").alias("passed"))
         taken = lineage.stored(taken, "netted")
@@ -71,7 +74,7 @@ def flows(cells: DataFrame, days: int) -> DataFrame:
 
 def _left(cells: DataFrame, taken: DataFrame, day: str, account: str) -> DataFrame:
     gone = taken.select(*KEY, F.col(day).alias("day"), F.col(account).alias("account_id"), "passed")
-    left = cells.join(gone, [*KEY, "day", "account_id"], "left").select(
+    left = cells.join(gone.hint("merge"), [*KEY, "day", "account_id"], "left").select(
         *KEY, "day", "account_id", (F.col("n") - F.coalesce("passed", F.lit(0))).alias("n"),
         (F.col("used") + F.coalesce("passed", F.lit(0))).alias("used"))
     return lineage.stored(left.filter("n > 0"), "cells")
@@ -90,5 +93,5 @@ def transfer_netting(df: DataFrame, days=5) -> DataFrame:
     ins = ranked.filter("side = 'in'").select(
         *KEY, F.col("day").alias("day2"), F.col("account_id").alias("account2"), F.col("rank").alias("in_rank"),
         F.col("transaction_id").alias("in_id"))
-    return (pairs.join(outs, [*cell, "out_rank"]).join(ins, [*KEY, "day2", "account2", "in_rank"])
+    return (pairs.join(outs.hint("merge"), [*cell, "out_rank"]).join(ins.hint("merge"), [*KEY, "day2", "account2", "in_rank"])
             .select("out_id", "in_id", "person", F.col("abs_amount").cast("double").alias("amount")))
