@@ -1,8 +1,8 @@
-from datetime import date
+from datetime import date, datetime
 from decimal import Decimal
 
 from ledgerloom.catalog import build
-from ledgerloom.operators import diff, ingest
+from ledgerloom.operators import diff, enrich, ingest
 from ledgerloom.plans import lineage, netting
 from ledgerloom.sources import sinks, tables
 
@@ -50,3 +50,47 @@ def test_given_cells_when_they_look_for_partners_then_none_goes_through_the_driv
     out, back = (spark.createDataFrame([("p", Decimal(5), date(2024, 1, k), a, 1, 0)], ddl) for k, a in ((1, "a"), (2, "b")))
     offers = netting._best(out, back, 5)
     assert "Broadcast" not in plan(offers) and [r["account2"] for r in offers.collect()] == ["b"]
+
+
+def test_given_a_feed_when_settled_then_records_are_made_after_rows_are_dealt_and_sorted(spark, monkeypatch):
+    ddl = {"lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                       "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+           "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+           "part": "p_partkey long, p_name string, p_size int", "customer": "c_custkey long, c_nationkey int",
+           "nation": "n_nationkey int, n_name string, n_regionkey int", "region": "r_regionkey int, r_name string"}
+    day = datetime(2024, 1, 2)
+    held = {"lineitem": [(1, 5, 7, 1, 1.0, price, 0.0, 0.0, "N", "F", day) for price in (10.0, 12.5)],
+            "orders": [(1, 3, "F", day, "1-URGENT")], "part": [(5, "tea", 1)], "customer": [(3, 0)],
+            "nation": [(0, "PERU", 1)], "region": [(1, "AMERICA")]}
+    monkeypatch.setattr(tables, "read", lambda s, sf, name: spark.createDataFrame(held[name], ddl[name]))
+    df = build.settled(spark, "nowhere")
+    rows = {r["transaction_id"]: r for r in df.collect()}
+    line, bill = rows["1-1"], rows["bill-3-11"]
+    assert len(rows) == 13 and line["amount"] == Decimal("12.50") and line["original_description"] == "COT*FLT TEA #1 CARD XXXX5"
+    assert line["location"]["country"] == "US" and line["counterparties"][0]["entity_id"] == "ent_7"
+    assert line["personal_finance_category"]["version"] == "v2" and line["seq"]["l_extendedprice"] == 12.5
+    assert bill["name"] == "BILL d" and bill["personal_finance_category"]["confidence_level"] == "VERY_HIGH"
+    assert bill["amount"] == Decimal("25.00") and bill["counterparties"] is None
+    text = plan(df.select("transaction_id", "original_description"))
+    assert "CARD XXXX" in text and "CARD XXXX" not in text[text.index("Window"):]
+
+
+def test_given_rows_with_a_key_when_enriched_then_the_same_rows_and_only_keys_meet_accounts_and_merchants(spark, make):
+    days = ["2024-01-01", "2024-01-31", "2024-03-01", "2024-03-31"]
+    rows = make(*[{"transaction_id": f"{m}{k}{a}", "authorized_date": day, "merchant_entity_id": m or None, "merchant_name": m or None, "parties": None,
+                   "account_id": a, "amount": 9 + (k if m == "x" else 0) * 50}
+                  for m in ("s", "x", "") for a in ("a", "off") for k, day in enumerate(days) if (m, a) != ("", "off")])
+    rows = ingest.canonicalize(ingest.dedupe_last(rows))
+    accounts = spark.createDataFrame([("a", "p", "credit", "n", "i", True), ("a", "q", "credit", "n", "i", True),
+                                      ("off", "p", "credit", "n", "i", False)],
+                                     "account_id string, person string, type string, name string, institution string, include boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = enrich.enrich(rows, accounts)  # an account that comes twice doubles its rows
+        keyed = enrich.enrich(rows, accounts, key="transaction_id", with_recurrence=False)
+        found = enrich.recurrence(keyed, "transaction_id").select(*plain.columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+        moved = [line for line in plan(enrich.account_facets(rows, accounts, "transaction_id")).splitlines() if "hashpartitioning(account_id" in line]
+        assert moved and "recurring" in {r["recurrence"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
