@@ -1,5 +1,6 @@
 import time
 from datetime import datetime
+from decimal import Decimal
 
 from conftest import rows
 
@@ -58,3 +59,19 @@ def test_given_what_stores_write_when_done_then_no_shuffle_files_are_left(spark,
             break
         time.sleep(0.1)
     assert not files() - before
+
+
+def test_given_rows_that_a_query_reads_several_times_when_asked_then_they_are_made_once(spark, monkeypatch):
+    from ledgerloom.catalog import categorize, enrichment
+
+    made = "transaction_id string, date_resolved string, merchant string, atom string, abs_amount decimal(18,2), flow string, tier1 string, " \
+           "category_update_step string, category_update_reason string, review_pending boolean, category_path array<string>, spend decimal(18,2)"
+    held = [(f"t{k}", "2024-01-02", "Tea", "TRAVEL_FLIGHTS", k, "spend", "Travel", "mechanical", "", False, ["a", f"b{k % 2}"], k) for k in range(6)]
+    cube = spark.createDataFrame([(*r[:4], Decimal(r[4]), *r[5:11], Decimal(r[11])) for r in held], made)
+    monkeypatch.setattr(enrichment.build, "cube", lambda s, sf: cube)
+    monkeypatch.setattr(categorize, "ccube", lambda s, sf: cube)
+    detail, buckets = categorize.txn_detail(spark, "nowhere"), enrichment.frontier_assign(spark, "nowhere")
+    assert [(r["transaction_id"], r["abs_amount"]) for r in detail.collect()] == [(f"t{k}", float(k)) for k in range(5, -1, -1)]
+    assert rows(buckets) == [("a/b0", 6.0, 3), ("a/b1", 9.0, 3)]
+    for df in (detail, buckets):
+        assert "ExistingRDD[transaction_id" not in df._jdf.queryExecution().executedPlan().toString()
