@@ -27,7 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
+    """Keeps the first document of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more: SimHash
+    links, verified, and the pairs that its bits do not tell."""
     return jaccard.keep_first(docs, words=5)
 
 

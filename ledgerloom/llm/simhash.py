@@ -30,9 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_slices, record, slices, stored, table, text_rows
+from ledgerloom.llm.common import map_slices, numbered, record, slices, stored, table, text_rows
 from ledgerloom.llm.components import components
-from ledgerloom.llm.jaccard import numbered
 
 BITS = 64
 SAMPLE = 4000  # fingerprints that the partitions are fitted on

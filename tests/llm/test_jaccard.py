@@ -101,3 +101,38 @@ def test_columns_named_like_our_own_stay(spark):
     rows = [(1, "a b c d e f", 10, 5), (2, "a b c d e f", 20, 6), (3, "other words than those", 30, 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _row long, row long")
     assert sorted(tuple(r) for r in jaccard.keep_first(docs, words=5).collect()) == [rows[0], rows[2]]
+
+
+def test_simhash_links_are_a_step_of_near_dedup(spark, monkeypatch):
+    """Fingerprints of all distinct texts are linked, and what they link is verified on the whole sets."""
+    rng, seen = random.Random(4), []
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(400)]
+    rows = [(k, " ".join(t)) for k, t in enumerate([base, base[1:], base[::-1], base])]
+    linked = jaccard.simhash.links
+
+    def watched(nodes, limit):
+        seen.extend(r["fp"] for r in nodes.collect())
+        return linked(nodes, limit)
+
+    monkeypatch.setattr(jaccard.simhash, "links", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == brute(rows) == [0, 2]
+    assert set(seen) == {fingerprint(t, 5) for _, t in rows}
+
+
+def test_a_large_bucket_of_unlike_texts_makes_few_pairs(spark, monkeypatch):
+    rng, made = random.Random(5), []
+    passage = [f"p{k}" for k in range(120)]
+    rows = [(k, " ".join(passage + [f"w{rng.randrange(10 ** 6)}" for _ in range(45)])) for k in range(150)]
+    stored = jaccard.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), words=5)
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute(rows) == list(range(150))
+    assert sum(made) < 300  # of 11175 pairs
