@@ -94,3 +94,28 @@ def test_given_rows_with_a_key_when_enriched_then_the_same_rows_and_only_keys_me
         assert moved and "recurring" in {r["recurrence"] for r in found.collect()}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_given_keys_that_repeat_beside_the_lines_when_a_feed_is_deduplicated_then_no_line_is_multiplied(spark, monkeypatch):
+    ddl = {"lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                       "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+           "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+           "part": "p_partkey long, p_name string, p_size int", "customer": "c_custkey long, c_nationkey int",
+           "nation": "n_nationkey int, n_name string, n_regionkey int", "region": "r_regionkey int, r_name string"}
+    day = datetime(2024, 1, 2)
+    lines = [(1, 5, 7, k, 1.0, price, 0.0, 0.0, "N", "F", day) for k in (1, 2) for price in (10.0, 12.5)]
+    # of a repeated key the rows that find no partner do not count: (3, 9) has no nation, (0, 'GONE', 4) no region
+    held = {"lineitem": [*lines, (1, 6, 7, 3, 1.0, 1.0, 0.0, 0.0, "N", "F", day), (None, 5, 7, 4, 1.0, 1.0, 0.0, 0.0, "N", "F", day)],
+            "orders": [(1, 3, "F", day, "1-URGENT")] * 20 + [(1, 8, "P", day, "5-LOW"), (None, 3, "F", day, None)],
+            "part": [(5, "tea", 1)] * 20, "customer": [(3, 0)] * 20 + [(3, 9)], "nation": [(0, "PERU", 1)] * 20 + [(0, "ZZ", 4)],
+            "region": [(1, "AMERICA")] * 20}
+    monkeypatch.setattr(tables, "read", lambda s, sf, name: spark.createDataFrame(held[name], ddl[name]))
+    feed = tables.feed(spark, "nowhere").filter("NOT is_bill")
+    assert feed.count() == len(lines)
+    held |= {"orders": held["orders"][19:], "customer": held["customer"][19:], "nation": held["nation"][19:],
+             "part": held["part"][:1], "region": held["region"][:1]}
+    raw = tables.raw_feed(spark, "nowhere").filter("NOT is_bill")
+    both = [ingest.dedupe_last(x).select(*raw.columns).collect() for x in (feed, raw)]
+    assert raw.count() == len(lines) and sorted(map(str, both[0])) == sorted(map(str, both[1])) and len(both[0]) == 2
+    line, = build.settled(spark, "nowhere").filter("transaction_id = '1-2'").collect()
+    assert line["amount"] == Decimal("12.50") and line["location"]["country"] == "US"
