@@ -195,7 +195,9 @@ def links(rows: DataFrame, nodes: int, words: int) -> DataFrame:
     sketches = stored(_sketches(rows, words), "sketches")
     total = sketches.agg(F.sum("size")).first()[0] or 0
     found, done, upto = [_verified(_fingerprint_pairs(rows, words), rows, words, sketches, total)], 0, 1
-    live = stored(_marked(_rooted(_buckets(rows, nodes, words), found), sketches), "buckets")
+    shared = stored(_buckets(rows, nodes, words), "shared")
+    live = stored(_marked(_rooted(shared, found), sketches), "buckets")
+    dropped(shared)
     while not live.isEmpty():
         hubs = live.filter(F.col("place").between(done + 1, upto)).select(
             "shingle", F.col("row").alias("hub"), F.col("root").alias("top"), F.col("place").alias("turn"), F.col("size").alias("own"),
