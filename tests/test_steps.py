@@ -1,4 +1,4 @@
-from ledgerloom import schema
+from ledgerloom import schema, session
 from ledgerloom.operators import diff
 from conftest import rows
 
@@ -13,3 +13,14 @@ def test_given_conflicts_when_counted_then_their_keys_are_told(spark, make):
     assert counts.columns == ["sync_class", "n", "transaction_id"]
     assert rows(counts) == [("conflict", 1, "c1"), ("conflict", 1, "c2"), ("conflict", 2, None), ("in_sync", 1, None),
                             ("local_only", 2, None)]
+
+
+def test_given_a_session_of_somebody_else_when_prepared_then_its_own_limit_stays(spark):
+    other = spark.newSession()
+    other.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    other.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    session.compiled(other)
+    assert other.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    other.conf.set("spark.sql.codegen.hugeMethodLimit", "4000")
+    session.compiled(other)
+    assert other.conf.get("spark.sql.codegen.hugeMethodLimit") == "4000"
