@@ -69,3 +69,30 @@ def test_places_within_keys_that_span_partitions(spark):
     for key in {k for k, _ in rows}:
         want |= {(key, at, i) for i, at in enumerate(sorted(a for k, a in rows if k == key))}
     assert got == want
+
+
+def test_a_day_full_of_accounts_is_netted_at_once(spark, monkeypatch):
+    from decimal import Decimal
+
+    made = []
+    kept = netting.lineage.stored
+    monkeypatch.setattr(netting.lineage, "stored", lambda df, name: made.append(name) or kept(df, name))
+    rows = [(f"o{k:02}", f"a{k:02}", "p", Decimal(100), on(0), "out") for k in range(12)]
+    rows += [(f"i{k:02}", f"b{k:02}", "p", Decimal(100), on(0), "in") for k in range(15)]
+    assert netted(spark, rows) == [(f"o{k:02}", f"i{k:02}") for k in range(12)]
+    assert made.count("netted") == 2  # one round and the one that finds nothing
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_accounts_that_stand_on_both_sides_against_brute_force(spark, seed):
+    from decimal import Decimal
+
+    rng = random.Random(seed)
+    rows = []
+    for p in range(12):  # few days and accounts, so that most places meet their own account
+        accounts, size = rng.randrange(1, 5), rng.randrange(1, 4)
+        rows += [(f"t{p}-{k:02}", f"a{rng.randrange(accounts)}", f"p{p}", Decimal(100), on(rng.randrange(size)), rng.choice(("out", "in")))
+                 for k in range(rng.randrange(4, 26))]
+    want = brute(rows, 5)
+    assert len(want) > 30
+    assert netted(spark, rows) == want
