@@ -1,6 +1,9 @@
-from ledgerloom import schema, session
-from ledgerloom.operators import diff
 from conftest import rows
+from pyspark.sql import functions as F
+
+from ledgerloom import schema, session
+from ledgerloom.operators import diff, rules, sieve
+from ledgerloom.sources import sinks
 
 
 def test_given_conflicts_when_counted_then_their_keys_are_told(spark, make):
@@ -24,3 +27,43 @@ def test_given_a_session_of_somebody_else_when_prepared_then_its_own_limit_stays
     other.conf.set("spark.sql.codegen.hugeMethodLimit", "4000")
     session.compiled(other)
     assert other.conf.get("spark.sql.codegen.hugeMethodLimit") == "4000"
+
+
+def test_given_a_sieve_when_asked_then_no_key_of_the_table_is_lost(spark):
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(300)] + [(None,), ("k1",)], "k string")
+    asked = spark.createDataFrame([(f"k{i}",) for i in range(300)] + [(f"other {i}",) for i in range(3000)] + [(None,)], "a string")
+    told = [r["a"] for r in asked.filter(sieve.among(keys, "k", F.col("a"))).collect()]
+    assert {f"k{i}" for i in range(300)} <= set(told) and None not in told and len(told) < 330
+    assert asked.filter(sieve.among(keys.filter("false"), "k", F.col("a"))).count() == 0
+
+
+def test_given_rows_with_an_id_when_looked_up_then_as_without_and_whole_rows_stay(spark, make, tmp_path):
+    df = make({"transaction_id": "e", "merchant_entity_id": "ent_1"}, {"transaction_id": "n", "merchant_entity_id": None,
+              "merchant_name": "Acme 12"}, {"transaction_id": "none", "merchant_entity_id": "", "merchant_name": None},
+              {"transaction_id": "both", "merchant_entity_id": "ent_2", "merchant_name": "ACME"})
+    memory = spark.createDataFrame([("ent:ent_1", "TRAVEL", "TRAVEL_FLIGHTS"), ("name:acme", "INCOME", "INCOME_WAGES"),
+                                    ("ent:ent_2", "NO", "SUCH"), ("ent:ent_2", "TRAVEL", "TRAVEL_FLIGHTS")],
+                                   "key string, primary string, detailed string")
+    want = rows(rules.memory_lookup(df, memory), "transaction_id", "_mem")
+    assert rows(rules.memory_lookup(df, memory, "transaction_id"), "transaction_id", "_mem") == want and len(want) == 5
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "500")
+    try:
+        store = sinks.KeyedStore(spark, str(tmp_path / "s"), buckets=4)
+        store.write(df)
+        plan = rules.memory_lookup(store.read(), memory, "transaction_id")._jdf.queryExecution().executedPlan().toString()
+        nodes = plan.split("\n\n")[0].splitlines()
+        # below an exchange only ids and keys are read of the store: its one whole scan has none above it
+        whole = [k for k, line in enumerate(nodes) if "FileScan" in line and "location" in line.split("Batched")[0]]
+        assert len(whole) == 1
+        depth = len(nodes[whole[0]]) - len(nodes[whole[0]].lstrip(" :+-*()0123456789"))
+        above = []
+        for line in reversed(nodes[:whole[0]]):
+            at = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            if at < depth:
+                above.append(line)
+                depth = at
+        assert above and not any("Exchange" in line for line in above)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
