@@ -2,8 +2,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from ledgerloom import schema, session
-from ledgerloom.operators import diff, rules, sieve
-from ledgerloom.sources import sinks
+from ledgerloom.operators import diff, enrich, intents, project, rules, sieve
+from ledgerloom.sources import sinks, tables
 
 
 def test_given_conflicts_when_counted_then_their_keys_are_told(spark, make):
@@ -67,3 +67,34 @@ def test_given_rows_with_an_id_when_looked_up_then_as_without_and_whole_rows_sta
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_given_ids_that_repeat_when_keyed_then_accounts_and_intents_as_without(spark, make):
+    once = make({"transaction_id": "a", "account_id": "A", "merchant_entity_id": "ent_1"},
+                {"transaction_id": "b", "account_id": "B", "merchant_entity_id": None, "merchant_name": "Acme 12"},
+                {"transaction_id": "c", "account_id": None, "merchant_entity_id": "ent_9", "merchant_name": None})
+    twice = once.unionByName(once.filter("transaction_id <> 'c'")).withColumn("owner", F.lit(None).cast("string"))
+    accounts = spark.createDataFrame([("A", "p", "t", "n", "i", True), ("B", "q", "t", "n", "i", False), ("A", "p2", "t", "n", "i", None)],
+                                     "account_id string, person string, type string, name string, institution string, include boolean")
+    want = rows(enrich.account_facets(twice, accounts), "transaction_id", "person", "account_name")
+    assert rows(enrich.account_facets(twice, accounts, "transaction_id", once), "transaction_id", "person", "account_name") == want
+    assert len(want) == 5
+
+    log = spark.createDataFrame(
+        [(1, "m1", "merchant", None, "ent_1", None), (2, "m2", "merchant", None, None, "acme"), (3, "t", "transaction", "c", None, None)],
+        "seq long, id string, scope string, match_transaction_id string, match_entity_id string, match_name string")
+    for c in tables.INTENT_COLUMNS:
+        log = log if c in log.columns else log.withColumn(c, F.lit("TRAVEL" if c == "set_primary" else "TRAVEL_FLIGHTS").cast("string"))
+    want = rows(intents.match_intents(twice, log), "transaction_id", "intent.id")
+    assert rows(intents.match_intents(twice, log, once), "transaction_id", "intent.id") == want
+    assert want == [("a", "m1"), ("a", "m1"), ("b", "m2"), ("b", "m2"), ("c", "t")]
+
+
+def test_given_rows_with_an_id_when_flattened_with_accounts_then_as_without(spark, make):
+    df = make({"transaction_id": "a", "account_id": "A"}, {"transaction_id": "b", "account_id": None}, {"transaction_id": "c", "account_id": "C"})
+    meta = spark.createDataFrame([("A", "i", "n", None, "o", "t", "s"), ("", "blank", "n", None, None, "t", "s")],
+                                 "account_id string, " + ", ".join(f"{n} string" for n in project.ACCOUNT_META))
+    want = project.flatten_with_account(df, meta)
+    got = project.flatten_with_account(df, meta, "transaction_id")
+    assert got.columns == want.columns and rows(got) == rows(want)
+    assert rows(got, "transaction_id", "institution") == [("a", "i"), ("b", "blank"), ("c", "")]
